@@ -2,7 +2,7 @@
 D12-D14, D36, D37, J16, J18). Pure column arithmetic; small code tables are
 literal and therefore broadcast with a size known at plan time.
 
-Python's ``round`` (half-even) is reproduced with ``bround``.
+Python's ``round`` (half-even on the exact double) is reproduced by ``pyround``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.functions.mathfn import pyround
+
 # Activity level -> calorie multiplier (unknown levels use 1.2).
 ACTIVITY_MULTIPLIERS = [
     ("Sedentary", 1.2),
@@ -55,11 +57,11 @@ def nutrition_targets(users: DataFrame, spark: SparkSession) -> DataFrame:
     goal = F.col("health_goal")
     cal = (F.when(goal == "Weight Loss", base - 500)
            .when(goal.isin("Weight Gain", "Muscle Gain"), base + 500).otherwise(base))
-    u = u.withColumn("bmi", F.bround(w / ((h / 100) * (h / 100)), 1)) \
+    u = u.withColumn("bmi", pyround(w / ((h / 100) * (h / 100)), 1)) \
          .withColumn("daily_calories", cal.cast("int")) \
-         .withColumn("daily_protein", F.bround(w * 1.6, 1))
-    u = u.withColumn("daily_fat", F.bround(F.col("daily_calories") * 0.25 / 9, 1))
-    u = u.withColumn("daily_carbohydrate", F.bround(
+         .withColumn("daily_protein", pyround(w * 1.6, 1))
+    u = u.withColumn("daily_fat", pyround(F.col("daily_calories") * 0.25 / 9, 1))
+    u = u.withColumn("daily_carbohydrate", pyround(
         (F.col("daily_calories") - F.col("daily_protein") * 4 - F.col("daily_fat") * 9) / 4, 1))
     return u.withColumn("daily_fiber", F.lit(30).cast("int"))
 

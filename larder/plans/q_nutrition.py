@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions import jsonfn
+from larder.functions.mathfn import pyround_sql as pyround
 from larder.operators import nutrition as nu
 from larder.plans import analogues as an
 from larder.plans.registry import register
 
 USERS = an.USERS_SQL
-def pyround(x: str, n: int) -> str:
-    """DuckDB twin of Python's half-even ``round`` of a double (exact binary
-    value, ties to even)."""
-    return f"CAST(round_even(CAST(({x}) AS DECIMAL(38,17)), {n}) AS DOUBLE)"
-
-
 ACT_SQL = "(VALUES " + ", ".join(f"('{a}', {m}::DOUBLE)" for a, m in nu.ACTIVITY_MULTIPLIERS) + ") AS a(activity_level, multiplier)"
 
 
