@@ -302,6 +302,7 @@ FROM (SELECT l_orderkey, l_linenumber, COUNT(*) AS n_meals, SUM(l_quantity * 20
 JOIN orders o ON d.l_orderkey = o.o_orderkey"""
 
 UNIT_BY_LINE = [(1, "cups"), (2, "lbs"), (3, "fl oz"), (4, "can"), (5, "bunch"), (6, " G "), (7, "box of cans")]
+LIQUID_SUFFIX = [(0, " milk"), (1, " juice"), (2, ""), (3, " flour")]
 INV_CATEGORY_BY_TYPE = [("ECONOMY", "Proteins"), ("SMALL", "Produce"), ("MEDIUM", "Dairy"),
                         ("LARGE", "Grains"), ("PROMO", "")]
 
@@ -312,14 +313,15 @@ def inventory(spark: SparkSession, d: str) -> DataFrame:
     j = li.join(p, li.l_partkey == p.p_partkey, "inner")
     return j.select(
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("inventory_id"),
-        F.col("l_suppkey").alias("user_id"), F.col("p_name").alias("item_name"),
+        F.col("l_suppkey").alias("user_id"),
+        F.concat(F.col("p_name"), _case(F.col("l_partkey") % 4, LIQUID_SUFFIX)).alias("item_name"),
         (F.col("l_quantity") - 10).alias("quantity"),
         _case(F.col("l_linenumber"), UNIT_BY_LINE).alias("unit"),
         _case(F.col("p_type"), INV_CATEGORY_BY_TYPE).alias("category"))
 
 
 INVENTORY_SQL = f"""SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS inventory_id,
-  l_suppkey AS user_id, p_name AS item_name, l_quantity - 10 AS quantity,
+  l_suppkey AS user_id, p_name || {_case_sql('l_partkey % 4', LIQUID_SUFFIX)} AS item_name, l_quantity - 10 AS quantity,
   {_case_sql('l_linenumber', UNIT_BY_LINE)} AS unit, {_case_sql('p_type', INV_CATEGORY_BY_TYPE)} AS category
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
