@@ -325,8 +325,8 @@ INVENTORY_SQL = f"""SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l
   {_case_sql('l_linenumber', UNIT_BY_LINE)} AS unit, {_case_sql('p_type', INV_CATEGORY_BY_TYPE)} AS category
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
-FEEDBACK_TYPE_BY_EVENT = [("click", "like"), ("purchase", "like"), ("error", "dislike"),
-                          ("view", "cuisine_preference"), ("signup", "dietary_restriction")]
+FEEDBACK_TYPE_BY_EVENT = [("click", "like"), ("purchase", "temporal_preference"), ("error", "dislike"),
+                          ("view", "temporal_preference"), ("signup", "dietary_restriction")]
 
 
 def feedback(spark: SparkSession, d: str) -> DataFrame:
