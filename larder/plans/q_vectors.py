@@ -380,19 +380,23 @@ def q_slice_by_minus(spark, d):
 
 
 @register("factual_accuracy", f"""WITH f AS (SELECT fdc_id, food_name, calories, string_split(food_name, ' ')[-1] AS word FROM ({MART_FOODS})),
-t AS (SELECT w.word, avg(f2.calories) AS truth FROM (SELECT DISTINCT word FROM f) w JOIN f f2 ON lower(f2.food_name) LIKE '%' || w.word || '%' GROUP BY w.word)
+t AS (SELECT word, avg(calories) AS truth FROM (SELECT unnest(list_distinct(string_split(lower(food_name), ' '))) AS word, calories FROM f) GROUP BY word)
 SELECT f.fdc_id, round(greatest(0.0, 1.0 - abs(CAST(regexp_extract('Roughly ' || CAST(CAST(trunc(f.calories) AS BIGINT) + 7 AS VARCHAR) || ' kcal.', '(\\d+\\.?\\d*)', 1) AS DOUBLE) - t.truth) / t.truth), 6) AS accuracy
 FROM f JOIN t ON f.word = t.word""")
 def q_factual_accuracy(spark, d):
-    mt = mart(spark, d).select("fdc_id", "food_name", "calories",
+    return factual_accuracy_rows(spark, d).select("fdc_id", _r6(F.col("accuracy")).alias("accuracy"))
+
+
+def factual_accuracy_rows(spark, d):
+    mt = mart(spark, d).select("fdc_id", "food_name", "calories", "category",
                                F.element_at(F.split("food_name", " "), -1).alias("word"))
-    words = mt.select("word").distinct()
-    # truth: mean calories of the foods whose name matches the word (P19 pattern)
-    truth = (words.join(mt.select(F.col("food_name").alias("fn"), F.col("calories").alias("c")),
-                        F.lower(F.col("fn")).contains(F.col("word")))
-             .groupBy("word").agg(F.avg("c").alias("truth")))
+    # truth: mean calories of the foods having the word among their name
+    # tokens; an equi-join on exploded tokens instead of a LIKE theta join
+    tokens = mt.select(F.explode(F.array_distinct(F.split(F.lower("food_name"), " "))).alias("word"),
+                       F.col("calories").alias("c"))
+    truth = tokens.groupBy("word").agg(F.avg("c").alias("truth"))
     resp = F.concat(F.lit("Roughly "), (F.col("calories").cast("long") + 7).cast("string"), F.lit(" kcal."))
-    return mt.join(truth, "word").select("fdc_id", _r6(vx.factual_accuracy(resp, F.col("truth"))).alias("accuracy"))
+    return mt.join(truth, "word").select("fdc_id", "category", vx.factual_accuracy(resp, F.col("truth")).alias("accuracy"))
 
 
 @register("judge_scores", """SELECT event_id, CASE WHEN n >= 3 THEN CAST(l[1] AS INTEGER) END AS coherence,
