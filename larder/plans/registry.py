@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = ("q_marts", "q_relational", "q_meals", "q_nutrition", "q_pantry",
            "q_memory", "q_vectors", "q_evals", "q_scheduling", "q_quality",
-           "q_functions", "q_sources", "q_streaming")
+           "q_functions", "q_sources", "q_streaming", "q_plandocs")
 
 
 def register(key: str, sql: str | None = None):
