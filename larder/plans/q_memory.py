@@ -168,3 +168,38 @@ def q_user_context_join(spark, d):
     out = mm.user_context_join(an.users(spark, d), an.inventory(spark, d), prev, top)
     return out.select("user_id", "username", "inventory_items", "previous_meals",
                       *[f"{b}_text" for b, _ in mm.BUCKET_LIMITS])
+
+
+INV_CATS_SQL = f"""SELECT user_id, string_agg(category || ': ' || CAST(n AS VARCHAR), ', ' ORDER BY category) AS inventory FROM (
+  SELECT user_id, CASE WHEN category IS NULL OR category = '' THEN 'Other' ELSE category END AS category, COUNT(*) AS n
+  FROM ({an.INVENTORY_SQL}) GROUP BY 1, 2) GROUP BY user_id"""
+
+
+@register("user_prompt_rows", f"""WITH t AS ({__import__('larder.plans.q_nutrition', fromlist=['x']).targets_sql()}),
+m AS (SELECT user_id, string_agg(meal_label, ', ' ORDER BY meal_rank) AS prev FROM ({PREV_MEALS_SQL}) GROUP BY user_id)
+SELECT t.user_id, printf('User %s, age %d, %s, %.1f kg, %.1f cm. Goal: %s. Targets: %d kcal, %.1f g protein. Inventory: %s. Plan dates: %s to %s. Previous meals: %s',
+  t.username, t.age, t.gender, t.weight_kg, t.height_cm, t.health_goal, t.daily_calories, t.daily_protein,
+  COALESCE(i.inventory, 'none'), strftime(DATE '{an.AS_OF}' + 1, '%B %d, %Y'), strftime(DATE '{an.AS_OF}' + 7, '%B %d, %Y'),
+  COALESCE(m.prev, 'none')) AS prompt
+FROM t LEFT JOIN ({INV_CATS_SQL}) i ON t.user_id = i.user_id LEFT JOIN m ON t.user_id = m.user_id""")
+def q_user_prompt_rows(spark, d):
+    """One prompt text per user (text assembly only; the inventory is
+    summarized per category and the meal list is the bounded top 28)."""
+    from larder.operators import nutrition as nu
+    from larder.operators import pantry as pt
+    t = nu.nutrition_targets(an.users(spark, d), spark)
+    inv = an.inventory(spark, d).withColumn("category", pt.inventory_category(F.col("category")))
+    cats = inv.groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    inv_txt = cats.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("category", "n"))),
+                                                                   lambda x: F.concat(x["category"], F.lit(": "), x["n"].cast("string"))), ", ").alias("inventory"))
+    prev = ml.previous_meals(*_frames(spark, d))
+    m = prev.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("meal_rank", "meal_label"))),
+                                                             lambda x: x["meal_label"]), ", ").alias("prev"))
+    as_of = F.lit(an.AS_OF).cast("date")
+    j = t.join(inv_txt, "user_id", "left").join(m, "user_id", "left")
+    prompt = F.format_string(
+        "User %s, age %d, %s, %.1f kg, %.1f cm. Goal: %s. Targets: %d kcal, %.1f g protein. Inventory: %s. Plan dates: %s to %s. Previous meals: %s",
+        "username", "age", "gender", "weight_kg", "height_cm", "health_goal", "daily_calories", "daily_protein",
+        F.coalesce("inventory", F.lit("none")), F.date_format(F.date_add(as_of, 1), "MMMM dd, yyyy"),
+        F.date_format(F.date_add(as_of, 7), "MMMM dd, yyyy"), F.coalesce("prev", F.lit("none")))
+    return j.select("user_id", prompt.alias("prompt"))

@@ -413,3 +413,46 @@ def q_judge_scores(spark, d):
                                       F.concat(F.lit(", Accuracy: "), (F.col("user_id") % 10).cast("string"), F.lit("/10")))
                  .otherwise(F.lit("")))
     return e.select("event_id", *vx.judge_scores(t))
+
+
+@register("keyword_coverage", """WITH m AS (SELECT conv_id, turn, role, text FROM conversations),
+k AS (SELECT a.conv_id, a.turn, lower(a.text) AS response,
+        list_distinct(list_filter(string_split_regex(lower(p.text), '\\s+'), lambda w: length(w) > 3)) AS kw
+      FROM m a JOIN m p ON a.conv_id = p.conv_id AND a.turn = p.turn + 1 WHERE a.role = 'assistant')
+SELECT conv_id, turn, CAST(len(kw) AS BIGINT) AS n_keywords,
+  round(CASE WHEN len(kw) = 0 THEN NULL ELSE len(list_filter(kw, lambda w: contains(response, w))) / len(kw) END, 6) AS coverage FROM k""")
+def q_keyword_coverage(spark, d):
+    # V9: share of the previous message's keywords (words longer than 3) found
+    # in the reply; the previous message is an equi-join on (thread, turn - 1)
+    c = table(spark, d, "conversations")
+    a = c.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    p = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prev"))
+    j = a.join(p, ["conv_id", "turn"])
+    kw = F.array_distinct(F.filter(F.split(F.lower("prev"), r"\s+"), lambda w: F.length(w) > 3))
+    return j.select("conv_id", "turn", F.size(kw).cast("long").alias("n_keywords"),
+                    _r6(vx.share_found(F.col("text"), kw)).alias("coverage"))
+
+
+@register("context_retention")
+def q_context_retention(spark, d):
+    """Per conversation, for each user turn after the first, the share
+    of the turn's retrieved names already retrieved at an earlier turn; the
+    mean and 1 - population std. Queries are the cumulative user texts (W13),
+    embedded with the feature-hash stand-in (V18) in the same space as the
+    food texts. A name is "seen" at turn t when its first turn in the thread
+    is earlier, so no pairs of turns are formed."""
+    from larder.operators import memory as mm
+    msgs = an.messages(spark, d).where(F.col("role") == "user")
+    cum = mm.cumulative_conversation(msgs).select(
+        "thread_id", "turn", (F.col("thread_id") * 1000 + F.col("turn")).alias("qid"), "cumulative_query")
+    qv = vx.hash_embedding(cum, "cumulative_query", "qid", 64).withColumnRenamed("embedding", "qvec")
+    foods = vx.embedding_text(mart(spark, d), False)
+    fv = vx.hash_embedding(foods, "embedding_text", "fdc_id", 64).join(foods.select("fdc_id", "food_name"), "fdc_id")
+    res = vx.vector_topk_batch(fv, qv, 5).join(cum.select("qid", "thread_id", "turn"), "qid")
+    names = res.select("thread_id", "turn", "food_name").distinct()
+    first = names.groupBy("thread_id", "food_name").agg(F.min("turn").alias("first_turn"))
+    start = names.groupBy("thread_id").agg(F.min("turn").alias("t0"))
+    j = names.join(first, ["thread_id", "food_name"]).join(start, "thread_id").where(F.col("turn") > F.col("t0"))
+    per_turn = j.groupBy("thread_id", "turn").agg((F.sum((F.col("first_turn") < F.col("turn")).cast("int")) / F.count(F.lit(1))).alias("overlap"))
+    g = per_turn.groupBy("thread_id").agg(F.avg("overlap").alias("mean_overlap"), F.stddev_pop("overlap").alias("sd"))
+    return g.select("thread_id", _r6(F.col("mean_overlap")).alias("mean_overlap"), _r6(F.lit(1.0) - F.col("sd")).alias("retention"))
