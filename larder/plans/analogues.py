@@ -330,7 +330,10 @@ FEEDBACK_TYPE_BY_EVENT = [("click", "like"), ("purchase", "temporal_preference")
 
 
 def feedback(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+    return feedback_from(table(spark, d, "events"))
+
+
+def feedback_from(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("feedback_id"), "user_id",
@@ -355,7 +358,10 @@ FEEDBACK_SQL = f"""SELECT event_id AS feedback_id, user_id,
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations")
+    return messages_from(table(spark, d, "conversations"))
+
+
+def messages_from(c: DataFrame) -> DataFrame:
     created = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id as int), cast(turn div 2 as int), 0)")
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("message_id"),
                     F.col("conv_id").alias("thread_id"), "turn", "role",
