@@ -22,6 +22,8 @@ def pyround(x: Column, n: int) -> Column:
     just below the tie). Here the product ``x * 10**n`` is formed with its
     exact rounding error (Dekker's two-product); the error decides the side
     of a tie. Pure column arithmetic, so it stays inside whole-stage codegen.
+    ``x`` is referenced several times: pass a column or a cheap expression
+    (compute an expensive one in an earlier projection).
     """
     c = F.lit(float(10 ** n))
     p = x * c

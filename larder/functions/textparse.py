@@ -32,12 +32,14 @@ def extract_plan_calories(response: Column) -> Column:
     first three sections after the text before the first heading) the
     largest ``N kcal`` within 1000..4000, else 0; a section with no kcal
     adds nothing; without headings the ``Total Calories: N kcal`` values in
-    range; padded with 0 to three values."""
+    range; padded with 0 to three values. Each section is scanned once (the
+    kcal list is produced by an inner transform and consumed by an outer
+    one)."""
     sections = F.split(response, PLAN_SPLIT)
-    per = F.transform(F.slice(sections, 2, 3), lambda s: F.when(
-        F.size(F.regexp_extract_all(s, F.lit(KCAL), 1)) > 0,
-        F.coalesce(F.array_max(F.filter(F.transform(F.regexp_extract_all(s, F.lit(KCAL), 1), lambda x: x.cast("double")),
-                                        lambda v: (v >= PLAN_MIN) & (v <= PLAN_MAX))), F.lit(0.0))))
+    kcal_lists = F.transform(F.slice(sections, 2, 3),
+                             lambda s: F.transform(F.regexp_extract_all(s, F.lit(KCAL), 1), lambda x: x.cast("double")))
+    per = F.transform(kcal_lists, lambda v: F.when(
+        F.size(v) > 0, F.coalesce(F.array_max(F.filter(v, lambda c: (c >= PLAN_MIN) & (c <= PLAN_MAX))), F.lit(0.0))))
     headed = F.filter(per, lambda x: x.isNotNull())
     totals = F.filter(F.transform(F.regexp_extract_all(response, F.lit(TOTAL_KCAL), 1), lambda x: x.cast("double")),
                       lambda v: (v >= PLAN_MIN) & (v <= PLAN_MAX))
@@ -45,18 +47,20 @@ def extract_plan_calories(response: Column) -> Column:
     return F.slice(F.concat(vals, F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))), 1, 3)
 
 
-def calorie_error(cals: Column, target: Column) -> Column:
-    """Mean of the positive values vs target -> struct(actual,
-    error_kcal, error_pct, success); none positive -> 0, target, 100 %;
-    100 % or more is a failure."""
-    pos = F.filter(cals, lambda c: c > 0)
-    n = F.size(pos)
-    mean = F.aggregate(pos, F.lit(0.0), lambda a, x: a + x) / n
+def with_calorie_error(df, cals: str, target: str, out: str = "e"):
+    """D17 as two projections: one pass over the plan values (sum and count
+    of the positive ones), then the error struct from that pair, so the
+    parsed values are not recomputed per output field."""
+    acc = F.aggregate(F.col(cals), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+                      lambda a, c: F.when(c > 0, F.struct((a["s"] + c).alias("s"), (a["n"] + 1).alias("n"))).otherwise(a))
+    x = df.withColumn("_acc", acc)
+    n, s, t = F.col("_acc.n"), F.col("_acc.s"), F.col(target)
+    mean = s / n
     actual = F.when(n > 0, mean).otherwise(F.lit(0.0))
-    err = F.when(n > 0, F.abs(mean - target)).otherwise(target.cast("double"))
-    pct = F.when(n > 0, F.try_divide(F.abs(mean - target), target) * 100).otherwise(F.lit(100.0))
-    return F.struct(actual.alias("actual_calories"), err.alias("error_kcal"), pct.alias("error_pct"),
-                    (pct < 100).alias("success"))
+    err = F.when(n > 0, F.abs(mean - t)).otherwise(t.cast("double"))
+    pct = F.when(n > 0, F.try_divide(F.abs(mean - t), t) * 100).otherwise(F.lit(100.0))
+    return x.withColumn(out, F.struct(actual.alias("actual_calories"), err.alias("error_kcal"), pct.alias("error_pct"),
+                                      (pct < 100).alias("success"))).drop("_acc")
 
 
 def fenced_body(c: Column) -> Column:

@@ -60,10 +60,9 @@ def _unit_map(rows) -> Column:
     return F.create_map(*kv)
 
 
-def standardize_unit(quantity: Column, unit: Column, item_name: Column) -> Column:
-    """struct(std_quantity, std_unit) following the five ordered rules:
-    container default ml, liquid item in a container (500 ml), weight table,
-    volume table, else pieces (quantity unrounded). Rules 1-4 round to 2."""
+def unit_factor(unit: Column, item_name: Column) -> Column:
+    """D5 rules 1-5 as struct(factor, std_unit, rounded): the multiplier
+    each rule applies (rule 5 keeps the quantity: factor 1, not rounded)."""
     u = F.lower(F.trim(F.coalesce(unit, F.lit(""))))
     item = F.lower(F.coalesce(item_name, F.lit("")))
     is_container = _any_contains(u, LIQUID_CONTAINERS)
@@ -76,16 +75,54 @@ def standardize_unit(quantity: Column, unit: Column, item_name: Column) -> Colum
     w = F.element_at(_unit_map(WEIGHT_UNITS), u)
     v = F.element_at(_unit_map(VOLUME_UNITS), u)
 
-    def out(q, unit_name):
-        return F.struct(q.cast("double").alias("std_quantity"), F.lit(unit_name).alias("std_unit")) \
-            if isinstance(unit_name, str) else \
-            F.struct(q.cast("double").alias("std_quantity"), unit_name.alias("std_unit"))
+    def out(f, unit_name, rounded=True):
+        return F.struct(f.cast("double").alias("factor"),
+                        (F.lit(unit_name) if isinstance(unit_name, str) else unit_name).alias("std_unit"),
+                        F.lit(rounded).alias("rounded"))
+    return (F.when(container_ok & default_ml.isNotNull(), out(default_ml, "ml"))
+            .when(is_liquid & is_container, out(F.lit(LIQUID_ITEM_ML), "ml"))
+            .when(w.isNotNull(), out(w["m"], w["u"]))
+            .when(v.isNotNull(), out(v["m"], v["u"]))
+            .otherwise(out(F.lit(1.0), "pieces", False)))
+
 
-    return (F.when(container_ok & default_ml.isNotNull(), out(pyround(quantity * default_ml, 2), "ml"))
-            .when(is_liquid & is_container, out(pyround(quantity * LIQUID_ITEM_ML, 2), "ml"))
-            .when(w.isNotNull(), out(pyround(quantity * w["m"], 2), w["u"]))
-            .when(v.isNotNull(), out(pyround(quantity * v["m"], 2), v["u"]))
-            .otherwise(out(quantity, "pieces")))
+def standardize_unit(quantity: Column, unit: Column, item_name: Column) -> Column:
+    """struct(std_quantity, std_unit) following the five ordered rules:
+    container default ml, liquid item in a container (500 ml), weight table,
+    volume table, else pieces (quantity unrounded). Rules 1-4 round to 2.
+    For large inputs prefer :func:`with_standard_unit`, which evaluates the
+    rule chain once per row."""
+    f = unit_factor(unit, item_name)
+    q = quantity * f["factor"]
+    return F.struct(F.when(f["rounded"], pyround(q, 2)).otherwise(quantity).cast("double").alias("std_quantity"),
+                    f["std_unit"].alias("std_unit"))
+
+
+def with_standard_unit(df: DataFrame, quantity: str, unit: str, item: str, out: str = "std") -> DataFrame:
+    """D5 staged for large inputs: normalized unit/item text, then the
+    container flags and table lookups, then the chosen factor, then the
+    rounded product. Each stage reads plain columns of the previous one, so
+    no text function or map lookup is evaluated more than once per row."""
+    x = (df.withColumn("_u", F.lower(F.trim(F.coalesce(F.col(unit), F.lit("")))))
+         .withColumn("_i", F.lower(F.coalesce(F.col(item), F.lit("")))))
+    dml = None
+    for word, ml in CONTAINER_DEFAULT_ML:
+        cond = F.contains(F.col("_u"), F.lit(word))
+        dml = F.when(cond, F.lit(ml)) if dml is None else dml.when(cond, F.lit(ml))
+    x = x.select("*", _any_contains(F.col("_u"), LIQUID_CONTAINERS).alias("_cont"),
+                 _any_contains(F.col("_u"), COUNT_WORDS).alias("_cnt"),
+                 _any_contains(F.col("_i"), LIQUID_KEYWORDS).alias("_liq"), dml.alias("_dml"),
+                 F.element_at(_unit_map(WEIGHT_UNITS), F.col("_u")).alias("_w"),
+                 F.element_at(_unit_map(VOLUME_UNITS), F.col("_u")).alias("_v"))
+    factor = (F.when(F.col("_cont") & ~F.col("_cnt") & F.col("_dml").isNotNull(), F.struct(F.col("_dml").alias("f"), F.lit("ml").alias("u")))
+              .when(F.col("_liq") & F.col("_cont"), F.struct(F.lit(LIQUID_ITEM_ML).alias("f"), F.lit("ml").alias("u")))
+              .when(F.col("_w").isNotNull(), F.struct(F.col("_w.m").alias("f"), F.col("_w.u").alias("u")))
+              .when(F.col("_v").isNotNull(), F.struct(F.col("_v.m").alias("f"), F.col("_v.u").alias("u"))))
+    x = x.withColumn("_f", factor).withColumn("_q", F.col(quantity) * F.col("_f.f"))
+    return (x.withColumn(out, F.struct(F.when(F.col("_f").isNotNull(), pyround(F.col("_q"), 2)).otherwise(F.col(quantity))
+                                       .cast("double").alias("std_quantity"),
+                                       F.coalesce(F.col("_f.u"), F.lit("pieces")).alias("std_unit")))
+            .drop("_u", "_i", "_cont", "_cnt", "_liq", "_dml", "_w", "_v", "_f", "_q"))
 
 
 def unit_dim(spark: SparkSession) -> DataFrame:

@@ -232,7 +232,7 @@ def q_extract_plan_calories(spark, d):
 FROM (SELECT response_id, target, len(list_filter(cals, lambda c: c > 0)) AS n,
   list_sum(list_filter(cals, lambda c: c > 0)) / len(list_filter(cals, lambda c: c > 0)) AS m FROM ({_CALS_SQL}))""")
 def q_calorie_error(spark, d):
-    r = responses(spark, d).withColumn("e", tp.calorie_error(tp.extract_plan_calories(F.col("response")), F.col("target")))
+    r = tp.with_calorie_error(responses(spark, d).withColumn("c", tp.extract_plan_calories(F.col("response"))), "c", "target")
     return r.select("response_id", r6(F.col("e.actual_calories")).alias("actual_calories"),
                     r6(F.col("e.error_kcal")).alias("error_kcal"), r6(F.col("e.error_pct")).alias("error_pct"),
                     F.col("e.success").alias("success"))

@@ -44,10 +44,9 @@ _SQ, _SU = standardize_sql("quantity", "unit", "item_name")
 
 @register("standardize_unit", f"SELECT inventory_id, quantity, unit, item_name, {_SQ} AS std_quantity, {_SU} AS std_unit FROM ({INV})")
 def q_standardize_unit(spark, d):
-    inv = an.inventory(spark, d)
-    s = pt.standardize_unit(F.col("quantity"), F.col("unit"), F.col("item_name"))
-    return inv.select("inventory_id", "quantity", "unit", "item_name", s["std_quantity"].alias("std_quantity"),
-                      s["std_unit"].alias("std_unit"))
+    inv = pt.with_standard_unit(an.inventory(spark, d), "quantity", "unit", "item_name")
+    return inv.select("inventory_id", "quantity", "unit", "item_name", F.col("std.std_quantity").alias("std_quantity"),
+                      F.col("std.std_unit").alias("std_unit"))
 
 
 UNIT_DIM_SQL = "(VALUES " + ", ".join(f"('{k}', {mlt}::DOUBLE, '{u}')" for k, mlt, u in pt.WEIGHT_UNITS + pt.VOLUME_UNITS) + \
