@@ -34,22 +34,27 @@ def global_index(df: DataFrame, order_cols: list[str], n_parts: int | None = Non
     """1-based position of each row in the total order ``order_cols``.
 
     No single-partition window: rows are range-partitioned on the order
-    key and sorted inside each partition; the position inside a partition
+    key and sorted inside each partition, and that layout is checkpointed
+    once (reliable checkpoint into ``spark.checkpoint.dir``). Range bounds
+    are sampled per exchange, so the positions and the per-partition counts
+    must read the same materialized layout. The position inside a partition
     comes from ``monotonically_increasing_id`` (partition id in the upper
-    bits), and each partition's offset from a cumulative count over the
+    bits); each partition's offset is a cumulative count over the
     per-partition counts (one row per partition, so that window and its
     broadcast are bounded by the partition count, not by the data).
-    ``order_cols`` must be a total order (unique), so a recomputed task
-    after an executor loss assigns the same positions.
+    ``order_cols`` must be a total order (unique).
     """
+    from pyspark.sql import Window
+    from larder.session import ensure_checkpoint_dir
+
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("_pid", F.spark_partition_id())
+    laid_out = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).checkpoint(eager=True)
+    ranged = (laid_out.withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     return (ranged.join(F.broadcast(offsets), "_pid")

@@ -55,6 +55,14 @@ def test_global_index_is_dense_and_ordered(spark):
     assert got == [(i + 1, i) for i in range(1000)]
 
 
+def test_global_index_large_sampled_layout(spark):
+    n = 200_000
+    df = spark.range(0, n).select(((F.col("id") * 7919) % n).alias("k"))
+    idx = cm.global_index(df, ["k"], n_parts=16)
+    bad = idx.where(F.col("row_index") != F.col("k") + 1).count()
+    assert bad == 0 and idx.count() == n
+
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(5)
     vals = rng.normal(size=301)
