@@ -120,11 +120,13 @@ def thread_context_first_n(messages: DataFrame, n: int) -> DataFrame:
 
 
 def thread_context_last_n(messages: DataFrame, n: int = 5) -> DataFrame:
-    """The last n messages of each thread, numbered oldest first."""
+    """The last n messages of each thread, numbered oldest first. The
+    newest n come from a WindowGroupLimit; the numbering runs over those n
+    rows only, so a long thread never sits in one task."""
     w = Window.partitionBy("thread_id").orderBy(F.col("created_at").desc(), F.col("message_id").desc())
-    last = messages.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
-    cnt = F.least(F.count(F.lit(1)).over(Window.partitionBy("thread_id")), F.lit(n))
-    return last.withColumn("pos", (cnt - F.col("back") + 1).cast("int")).drop("back")
+    last = messages.withColumn("_back", F.row_number().over(w)).where(F.col("_back") <= n).drop("_back")
+    asc = Window.partitionBy("thread_id").orderBy(F.col("created_at").asc(), F.col("message_id").asc())
+    return last.withColumn("pos", F.row_number().over(asc))
 
 
 def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
@@ -160,9 +162,13 @@ def turn_pairs(messages: DataFrame) -> DataFrame:
 
 def dedupe_tool_calls(calls: DataFrame) -> DataFrame:
     """E5: keep only the first execution of each (thread, tool, query);
-    later repeats are flagged ``skipped``."""
-    w = Window.partitionBy("thread_id", "tool", "query").orderBy("turn", "call_pos")
-    return calls.withColumn("skipped", F.row_number().over(w) > 1)
+    later repeats are flagged ``skipped``. The first call per key is an
+    aggregate (combined map-side) joined back, so a key repeated millions
+    of times is not one task."""
+    keys = ["thread_id", "tool", "query"]
+    first = calls.groupBy(*keys).agg(F.min(F.struct("turn", "call_pos")).alias("_first"))
+    return (calls.join(first, keys)
+            .withColumn("skipped", F.struct("turn", "call_pos") != F.col("_first")).drop("_first"))
 
 
 def user_context_join(users: DataFrame, inventory: DataFrame, prev_meals: DataFrame,

@@ -150,10 +150,15 @@ def inventory_category(c: Column) -> Column:
 def inventory_by_category(inv: DataFrame) -> DataFrame:
     """The per-user inventory grouped by category, as ranked rows (the
     grouping is kept in rows, so no user's pantry is collected into one
-    value); items are ordered by name within the category."""
+    value); items are ordered by name within the category. The rank comes
+    from a range-partitioned global index minus the group's first index, so
+    one very large (user, category) group is spread over many tasks."""
+    from larder.operators.common import global_index
     x = inv.withColumn("category", inventory_category(F.col("category")))
-    w = Window.partitionBy("user_id", "category").orderBy("item_name", "inventory_id")
-    return x.withColumn("item_rank", F.row_number().over(w))
+    idx = global_index(x, ["user_id", "category", "item_name", "inventory_id"], name="_gi")
+    start = idx.groupBy("user_id", "category").agg(F.min("_gi").alias("_start"))
+    return (idx.join(start, ["user_id", "category"])
+            .withColumn("item_rank", (F.col("_gi") - F.col("_start") + 1).cast("int")).drop("_gi", "_start"))
 
 
 def category_item_counts(inv: DataFrame) -> DataFrame:
@@ -230,8 +235,8 @@ def shopping_consolidation(b1: DataFrame, b2: DataFrame, key_cols=("plan_id",))
         F.sum("q").alias("q2"), F.sum("t").alias("t2"),
         F.bool_and(F.col("q").isNotNull() & F.col("t").isNotNull()).alias("ok2"),
         F.count(F.lit(1)).alias("n2"))
-    last1 = Window.partitionBy(*keys).orderBy(F.col("pos").desc())
-    p1 = p1.withColumn("_is_last", F.row_number().over(last1) == 1)
+    last_pos = p1.groupBy(*keys).agg(F.max("pos").alias("_last_pos"))
+    p1 = p1.join(last_pos, keys).withColumn("_is_last", F.col("pos") == F.col("_last_pos")).drop("_last_pos")
     j = p1.join(agg2, keys, "left")
     ok = F.col("_is_last") & F.col("ok2") & F.col("q").isNotNull() & F.col("t").isNotNull()
     merged1 = j.select(*keys, "item", "unit", "pos",
