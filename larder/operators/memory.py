@@ -63,18 +63,23 @@ def preference_bucket(ptype: Column, value: Column) -> Column:
 
 def preference_topk(active: DataFrame) -> DataFrame:
     """Per user and bucket, the first n by frequency then recency
-    (5 likes, 5 dislikes, 3 cuisines, all dietary, 1 temporal)."""
+    (5 likes, 5 dislikes, 3 cuisines, all dietary, 1 temporal). Bounded
+    buckets use a constant limit (planned as a WindowGroupLimit, then cut
+    to each bucket's own n); the unbounded bucket is ranked on its own."""
     b = active.withColumn("bucket", preference_bucket(F.col("preference_type"), F.col("preference_value")))
     w = Window.partitionBy("user_id", "bucket").orderBy(
         F.col("frequency").desc(), F.col("last_mentioned").desc(), F.col("preference_key").asc())
-    limit = F.lit(None).cast("int")
-    for name, n in BUCKET_LIMITS:
-        if n is not None:
-            limit = F.when(F.col("bucket") == name, F.lit(n)).otherwise(limit)
-    ranked = b.withColumn("bucket_rank", F.row_number().over(w)).withColumn("_lim", limit)
-    keep = F.col("bucket").isin([n for n, _ in BUCKET_LIMITS]) & \
-        (F.col("_lim").isNull() | (F.col("bucket_rank") <= F.col("_lim")))
-    return ranked.where(keep).drop("_lim")
+    bounded = [(name, n) for name, n in BUCKET_LIMITS if n is not None]
+    unbounded = [name for name, n in BUCKET_LIMITS if n is None]
+    top_n = max(n for _, n in bounded)
+    lim = None
+    for name, n in bounded:
+        lim = F.when(F.col("bucket") == name, F.lit(n)) if lim is None else lim.when(F.col("bucket") == name, F.lit(n))
+    capped = (b.where(F.col("bucket").isin(*[n for n, _ in bounded]))
+              .withColumn("bucket_rank", F.row_number().over(w)).where(F.col("bucket_rank") <= top_n)
+              .where(F.col("bucket_rank") <= lim))
+    rest = b.where(F.col("bucket").isin(*unbounded)).withColumn("bucket_rank", F.row_number().over(w))
+    return capped.unionByName(rest)
 
 
 def explicit_feedback(feedback: Column) -> list[Column]:

@@ -108,7 +108,7 @@ _REPLIES_SQL = """SELECT p_partkey AS reply_id, CASE p_partkey % 4
 _VALID = ", ".join(f"'{c}'" for c in pt.VALID_INVENTORY_CATEGORIES)
 
 
-@register("normalize_inventory", f"""WITH r AS ({_REPLIES_SQL}),
+NORMALIZE_SQL = f"""WITH r AS ({_REPLIES_SQL}),
 b AS (SELECT reply_id, content, regexp_replace(CASE WHEN starts_with(i, 'json') THEN substr(i, 5) ELSE i END, '^\\s+|\\s+$', '', 'g') AS body
       FROM (SELECT reply_id, content, CASE WHEN contains(content, '```') THEN split_part(content, '```', 2) ELSE content END AS i FROM r)),
 k AS (SELECT reply_id, content, CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN '[' || body || ']'
@@ -119,7 +119,10 @@ l AS (SELECT reply_id, CASE WHEN arr IS NOT NULL THEN
 u AS (SELECT reply_id, generate_subscripts(items, 1) - 1 AS item_pos, unnest(items) AS it FROM l)
 SELECT reply_id, CAST(item_pos AS INTEGER) AS item_pos, COALESCE(it.item_name, 'Unknown Item') AS item,
   COALESCE(TRY_CAST(it.quantity AS DOUBLE), 1.0) AS quantity, COALESCE(it.unit, 'unit') AS unit,
-  CASE WHEN it.category IN ({_VALID}) THEN it.category ELSE 'Other' END AS category FROM u""")
+  CASE WHEN it.category IN ({_VALID}) THEN it.category ELSE 'Other' END AS category FROM u"""
+
+
+@register("normalize_inventory", NORMALIZE_SQL)
 def q_normalize_inventory(spark, d):
     return pt.normalize_inventory(_replies(spark, d))
 

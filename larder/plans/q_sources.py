@@ -239,15 +239,20 @@ def q_add_column_if_absent(spark, d):
     return fs.add_column_if_absent(u, "health_goal", "string")  # present: unchanged
 
 
-@register("append_inventory")
+def _append_inventory_sql():
+    from larder.plans.q_pantry import NORMALIZE_SQL, standardize_sql
+    q, u = standardize_sql("quantity", "unit", "item")
+    return f"SELECT reply_id AS user_id, item AS item_name, {q} AS quantity, {u} AS unit, category FROM ({NORMALIZE_SQL})"
+
+
+@register("append_inventory", _append_inventory_sql())
 def q_append_inventory(spark, d):
     """Extracted items (D24) with standardized units (D5) appended to an
     inventory table; returns the table read back."""
     from larder.plans.q_pantry import _replies
-    items = pt.normalize_inventory(_replies(spark, d))
-    s = pt.standardize_unit(F.col("quantity"), F.col("unit"), F.col("item"))
+    items = pt.with_standard_unit(pt.normalize_inventory(_replies(spark, d)), "quantity", "unit", "item")
     rows = items.select(F.col("reply_id").alias("user_id"), F.col("item").alias("item_name"),
-                        s["std_quantity"].alias("quantity"), s["std_unit"].alias("unit"), "category")
+                        F.col("std.std_quantity").alias("quantity"), F.col("std.std_unit").alias("unit"), "category")
     path = scratch_dir(spark, "larder/append_inventory/inventory")
     rows.limit(0).write.mode("overwrite").parquet(path)
     sk.append_table(rows, path)
