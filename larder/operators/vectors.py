@@ -235,3 +235,22 @@ def hash_embedding(texts: DataFrame, text_col: str, id_col: str, dim: int = 64)
     dense = c.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
     return dense.select(id_col, vf.normalize(vec).alias("embedding"))
+
+
+def embed_with(texts: DataFrame, id_col: str, text_col: str, fn, dim: int) -> DataFrame:
+    """V18 plug point: embed texts with a caller-supplied vectorized function
+    ``fn(pandas.Series[str]) -> array-like of shape (n, dim)`` (for example a
+    local ONNX model). Runs per Arrow batch with ``mapInPandas``; the batch
+    size is ``spark.sql.execution.arrow.maxRecordsPerBatch``, so memory per
+    task stays bounded whatever the table size."""
+    import numpy as np
+
+    def run(batches):
+        for pdf in batches:
+            vecs = np.asarray(fn(pdf[text_col]), dtype="float32").reshape(len(pdf), dim)
+            out = pdf[[id_col]].copy()
+            out["embedding"] = list(vecs)
+            yield out
+
+    id_type = texts.schema[id_col].dataType.simpleString()
+    return texts.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, embedding array<float>")

@@ -86,3 +86,12 @@ def test_ttest_p_value(spark):
     assert 0 < r.p_value < 1
     d = abs(a.mean() - b.mean()) / np.sqrt((a.var() + b.var()) / 2)
     assert abs(r.cohens_d - d) < 1e-9
+
+
+def test_embed_with_plug_point(spark):
+    df = spark.createDataFrame([(1, "a bb"), (2, "ccc")], "id long, t string")
+
+    def fn(s):
+        return np.stack([[len(x), x.count(" ")] for x in s])
+    got = sorted((r.id, list(r.embedding)) for r in vx.embed_with(df, "id", "t", fn, 2).collect())
+    assert got == [(1, [4.0, 1.0]), (2, [3.0, 0.0])]
