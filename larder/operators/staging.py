@@ -128,7 +128,10 @@ def int_macronutrients(stg_f: DataFrame, stg_fn: DataFrame, stg_n: DataFrame,
     """
     n = stg_n.select("nutrient_id", "nutrient_name", "unit_name")
     if broadcast_nutrients:
-        n = F.broadcast(n)
+        # the dimension is a code table; broadcast it only after a bounded
+        # size check, else leave the join to sort-merge / AQE
+        from larder.operators.common import broadcast_if_small
+        n = broadcast_if_small(n, 1_000_000)
     facts = (stg_fn.where(F.col("nutrient_amount") > 0)
              .select("fdc_id", "nutrient_id", "nutrient_amount")
              .join(n, "nutrient_id", "left"))
