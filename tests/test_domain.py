@@ -1,0 +1,114 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from larder.operators import evals as ev
+from larder.operators import plandocs as pd_
+from larder.operators import quality as qa
+from larder.operators import scheduling as sc
+from larder.sources import files as fs
+
+D = dt.date
+
+
+def test_generation_queue_and_rollforward(spark):
+    today = "2024-03-10"
+    sched = spark.createDataFrame([
+        (1, 10, D(2024, 3, 8), "ACTIVE"), (2, 11, D(2024, 3, 10), "ACTIVE"), (3, 12, D(2024, 3, 11), "ACTIVE"),
+        (4, 13, D(2024, 3, 20), "ACTIVE"), (5, 14, D(2024, 3, 1), "INACTIVE"), (6, 10, D(2024, 3, 9), "ACTIVE")],
+        "schedule_id long, user_id long, next_plan_date date, status string")
+    users = spark.createDataFrame([(u, f"u{u}") for u in range(10, 15)], "user_id long, username string")
+    q = sc.generation_queue(sc.generation_queue_join(sched, users), today)
+    got = {r.user_id: r.queue_status for r in q.collect() if r.next_plan_date != D(2024, 3, 9)}
+    assert got == {10: "Overdue (Issue)", 11: "Generating Today", 12: "Generating Tomorrow", 13: "Upcoming"}
+    c = sc.queue_status_counts(q).first()
+    assert (c.overdue_count, c.today_count, c.tomorrow_count, c.detail_rows) == (2, 1, 1, 4)
+    first = {r.user_id: r.schedule_id for r in sc.first_schedule_per_user(sched, today).collect()}
+    assert first == {10: 1, 11: 2}   # earliest due date per user (K25)
+    rolled = {r.schedule_id: (r.status, r.next_plan_date) for r in
+              sc.schedule_rollforward(sched, sc.first_schedule_per_user(sched, today), today).collect()}
+    assert rolled[1] == ("ACTIVE", D(2024, 3, 17)) and rolled[6][0] == "INACTIVE" and rolled[3] == ("ACTIVE", D(2024, 3, 11))
+
+
+PLAN_OK = ('{"user_summary": {}, "meal_plan": {"days": [{"day": 2, "day_name": "WrongName", "meals": '
+           '{"breakfast": {"meal_name": "Oats", "servings": 2}, "lunch": {}, "brunch": {"meal_name": "x"}}, '
+           '"total_nutrition": {"calories": 1000.0, "protein_g": 50.25}}, {"day": 1, "total_nutrition": {"calories": 1501.0}}]}, '
+           '"recommendations": {"shopping_list_summary": {"produce": [{"item": "kale", "quantity_to_purchase": "2", "unit": "bunch"}], '
+           '"pantry_items": [{"item": "rice", "quantity_to_purchase": "1", "unit": "kg"}], "total_items_from_inventory": 3}}, '
+           '"metadata": {}, "future_suggestions": [{"item": "tea"}]}')
+PLAN_NO_META = '{"user_summary": {}, "meal_plan": {"days": [{"day": 1}]}, "recommendations": {}}'
+PLAN_NO_DAYS = '{"user_summary": {}, "meal_plan": {"days": []}, "recommendations": {}, "metadata": {}}'
+
+
+def test_plan_documents(spark):
+    docs = spark.createDataFrame([(1, D(2024, 1, 1), PLAN_OK), (2, D(2024, 1, 1), PLAN_NO_META),
+                                  (3, D(2024, 1, 1), PLAN_NO_DAYS), (4, D(2024, 1, 1), "not json")],
+                                 "plan_id long, start_date date, document string")
+    v = {r.plan_id: (r.is_valid, r.reason) for r in pd_.validate_plan(docs).collect()}
+    assert v == {1: (True, None), 2: (False, "missing metadata"), 3: (False, "no days"), 4: (False, "not json")}
+    parsed = pd_.parse_plan(docs.where("plan_id = 1"))
+    t = pd_.flatten_plan(parsed, ["plan_id"])
+    meals = sorted((r.day_number, r.meal_type, r.meal_name, r.servings, r.serving_size, r.difficulty_level)
+                   for r in t["meal_details"].collect())
+    assert meals == [(2, "breakfast", "Oats", 2, "1 serving", "medium"), (2, "lunch", "Unknown Meal", 1, "1 serving", "medium")]
+    days = {r.day_number: r.meal_date for r in t["daily_meals"].collect()}
+    assert days == {2: D(2024, 1, 2), 1: D(2024, 1, 1)}
+    plan = t["meal_plans"].first()
+    assert plan.plan_name == "Week of January 01, 2024" and plan.end_date == D(2024, 1, 7)
+    fixed = sorted((r.pos, r.fixed_day, r.fixed_day_name) for r in pd_.fix_day_names(parsed).collect())
+    assert fixed == [(0, 1, "Monday"), (1, 2, "Tuesday")]
+    items = sorted((r.category, r.item) for r in pd_.shopping_list_items(parsed, ["plan_id"]).collect())
+    assert items == [("pantry_items", "rice"), ("produce", "kale")]
+    ws = pd_.week_summary(parsed, ["plan_id"]).first()
+    assert (ws.average_daily_calories, ws.average_daily_protein) == (int(2501.0 / 2), round(50.25 / 2, 1))
+    sugg = pd_.plan_suggestions(parsed, ["plan_id"]).first()
+    assert (sugg.item, sugg.reason, sugg.category, sugg.suggested_quantity, sugg.unit) == ("tea", "", "General", 1.0, "unit")
+
+
+def test_inventory_utilization(spark):
+    df = spark.createDataFrame([(5, 10), (30, 10), (1, 0)], "u int, n int")
+    got = [r[0] for r in df.select(pd_.inventory_utilization(F.col("u"), F.col("n"))).collect()]
+    assert got == [50.0, 100.0, 0.0]
+
+
+def test_mae_summary(spark):
+    rows = [("m1", "P1", 2000.0, 100.0, 5.0, 1.0, True), ("m1", "P2", 2000.0, 300.0, 15.0, 3.0, True),
+            ("m1", "P3", 2000.0, 2000.0, 100.0, 2.0, True), ("m2", "P1", 2000.0, 2000.0, 100.0, 4.0, True)]
+    df = spark.createDataFrame(rows, "Model string, Profile string, Target_Calories double, Error_kcal double, "
+                                     "Error_Percent double, Processing_Time double, Success boolean")
+    got = {r.Model: r for r in ev.mae_summary(df).collect()}
+    assert got["m1"].Success_Rate == "2/3" and got["m1"].MAE_kcal == 200.0 and got["m1"].Total_Time_s == 6.0
+    assert got["m2"].Success_Rate == "0/1" and got["m2"].MAE_kcal is None and got["m2"].Total_Time_s == 4.0
+    ranked = [r.Model for r in ev.model_rank(ev.mae_summary(df)).collect()]
+    assert ranked == ["m1"]
+
+
+def test_quality_checks(spark):
+    child = spark.createDataFrame([(1, 10), (2, 10), (3, 99)], "id long, parent long")
+    parent = spark.createDataFrame([(10,)], "parent long")
+    assert [r.id for r in qa.dq_foreign_keys(child, parent, "parent", "parent").collect()] == [3]
+    assert [(r.parent, r.n) for r in qa.dq_unique(child, ["parent"]).collect()] == [(10, 2)]
+    nulls = {r.column_name: r.null_count for r in qa.dq_not_null(child.withColumn("x", F.lit(None).cast("int")), ["id", "x"]).collect()}
+    assert nulls == {"id": 0, "x": 3}
+    lists = spark.createDataFrame([("None",), ("Vegan, Halal, Paleo, Vegan",), (" Any ",), (None,)], "t string")
+    got = [r[0] for r in lists.select(qa.sentinel_list_parse(F.col("t"), ["Vegan", "Halal"])).collect()]
+    assert got == [[], ["Vegan", "Halal"], [], []]
+
+
+def test_csv_null_spellings_and_bad_values(spark, tmp_path):
+    p = tmp_path / "food.csv"
+    p.write_text('fdc_id,data_type,description,food_category\n1,a,"Apple, raw",Fruits\n2,b,NULL,null\n3,c,,x\n')
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("fdc_id", T.LongType()), T.StructField("data_type", T.StringType()),
+                           T.StructField("description", T.StringType()), T.StructField("food_category", T.StringType())])
+    got = sorted(tuple(r) for r in fs.read_csv_typed(spark, str(p), schema).collect())
+    assert got == [(1, "a", "Apple, raw", "Fruits"), (2, "b", None, None), (3, "c", None, "x")]
+    bad = tmp_path / "bad.csv"
+    bad.write_text("fdc_id,data_type,description,food_category\nabc,a,b,c\n")
+    with pytest.raises(Exception):
+        fs.read_csv_typed(spark, str(bad), schema).collect()
+    tolerant = fs.read_csv_typed(spark, str(bad), schema, tolerant=True).first()
+    assert tolerant.fdc_id is None
+    mig = fs.add_column_if_absent(spark.createDataFrame([(1,)], "a int"), "b", "string")
+    assert mig.columns == ["a", "b"]
