@@ -50,7 +50,7 @@ def q_stream_weekly_nutrition(spark, d):
     # 7-day tumbling windows shifted by 4 days start on Mondays (the epoch is a Thursday)
     g = e.groupBy("user_id", F.window("ts", "7 days", "7 days", "4 days").alias("w")).agg(
         F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("n"))
-    g = g.select("user_id", F.col("w.start").cast("date").alias("week_start"), "avg_value", "n")
+    g = g.select("user_id", sj.wall_date(F.col("w.start")).alias("week_start"), "avg_value", "n")
     latest = sj.read_latest(spark, sj.run_changelog(g, "weekly_nutrition"), ["user_id", "week_start"])
     return latest.select("user_id", "week_start", F.round("avg_value", 6).alias("avg_value"), F.col("n").cast("long").alias("n"))
 
@@ -61,7 +61,7 @@ def q_stream_eval_trend(spark, d):
     e = sj.event_time(sj.stream_table(spark, d, "events"), "ts").withWatermark("ts", "1 day")
     g = e.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.avg("value").alias("avg_value"),
                                                                        F.count(F.lit(1)).alias("n"))
-    g = g.select("event_type", F.col("w.start").cast("date").alias("day"), "avg_value", "n")
+    g = g.select("event_type", sj.wall_date(F.col("w.start")).alias("day"), "avg_value", "n")
     latest = sj.read_latest(spark, sj.run_changelog(g, "eval_trend"), ["event_type", "day"])
     return latest.select("event_type", "day", F.round("avg_value", 6).alias("avg_value"), F.col("n").cast("long").alias("n"))
 
@@ -86,10 +86,10 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
 
 @register("stream_chat_sessions", SESSIONS_SQL)
 def q_stream_chat_sessions(spark, d):
-    e = sj.stream_table(spark, d, "events").select("user_id", "ts")
+    e = sj.event_time(sj.stream_table(spark, d, "events").select("user_id", "ts"), "ts")
     out = sj.sessionize_stream(e, "user_id", "ts", 30 * 60, "chat_sessions")
-    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
-                      F.col("session_end").cast("timestamp_ntz").alias("session_end"),
+    return out.select("user_id", sj.wall_ntz(F.col("session_start")).alias("session_start"),
+                      sj.wall_ntz(F.col("session_end")).alias("session_end"),
                       F.col("n_events").cast("long").alias("n_events"))
 
 
@@ -100,6 +100,6 @@ def q_stream_feedback_sliding(spark, d):
     g = (sj.event_time(fb, "extracted_at").withWatermark("extracted_at", "1 day")
          .groupBy(F.window("extracted_at", "7 days", "1 day").alias("w"), "feedback_type")
          .agg(F.count(F.lit(1)).alias("n")))
-    g = g.select(F.col("w.start").cast("date").alias("window_start"), "feedback_type", "n")
+    g = g.select(sj.wall_date(F.col("w.start")).alias("window_start"), "feedback_type", "n")
     latest = sj.read_latest(spark, sj.run_changelog(g, "feedback_sliding"), ["window_start", "feedback_type"])
     return latest.select("window_start", "feedback_type", F.col("n").cast("long").alias("n"))

@@ -25,10 +25,26 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
             .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
 
 
+_EPOCH_NTZ = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
 def event_time(df: DataFrame, col: str) -> DataFrame:
-    """Watermarks need TIMESTAMP; the tables hold TIMESTAMP_NTZ. With the
-    session time zone at UTC the cast keeps the wall-clock values."""
-    return df.withColumn(col, F.col(col).cast("timestamp"))
+    """Watermarks need TIMESTAMP; the tables hold TIMESTAMP_NTZ. The wall
+    clock is mapped to the UTC instant with the same reading (epoch
+    microseconds), independent of the session time zone, so windows align
+    to wall-clock days and weeks on any cluster."""
+    micros = F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), F.col(col))
+    return df.withColumn(col, F.timestamp_micros(micros))
+
+
+def wall_date(c: Column) -> Column:
+    """Date of an event-time instant, read in UTC (inverse of ``event_time``)."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(c) / 86_400_000_000).cast("int"))
+
+
+def wall_ntz(c: Column) -> Column:
+    """TIMESTAMP_NTZ wall clock of an event-time instant (inverse of ``event_time``)."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr(_EPOCH_NTZ))
 
 
 def run_changelog(df: DataFrame, name: str, output_mode: str = "update") -> str:
