@@ -84,11 +84,11 @@ def _nut_sql(col, field, default0=True):
 
 
 @register("nutrition_history", f"""SELECT dm.user_id, dm.plan_id, mp.start_date, mp.end_date, dm.meal_date,
-  {', '.join(_nut_sql('dm.total_nutrition', f) + ' AS ' + f for f in jsonfn.NUTRITION_FIELDS)}
+  {', '.join('round(' + _nut_sql('dm.total_nutrition', f) + ', 6) AS ' + f for f in jsonfn.NUTRITION_FIELDS)}
 FROM ({DAILY}) dm JOIN ({PLANS}) mp ON dm.plan_id = mp.plan_id WHERE dm.meal_date >= DATE '{AS_OF}' - 28""")
 def q_nutrition_history(spark, d):
     daily, _, plans = _frames(spark, d)
-    return ml.nutrition_history(daily, plans, AS_OF)
+    return _r(ml.nutrition_history(daily, plans, AS_OF), 6)
 
 
 WEEKLY_SQL = f"""SELECT user_id, week_start, avg_calories, avg_protein, avg_carbs, avg_fat, avg_fiber FROM (
