@@ -18,7 +18,7 @@ def test_extract_plan_calories(spark):
 
 def test_calorie_error(spark):
     df = spark.createDataFrame([([1800.0, 0.0, 2200.0], 2000.0), ([0.0, 0.0, 0.0], 2000.0)], "c array<double>, t double")
-    got = [tuple(r.e) for r in df.select(tp.calorie_error(F.col("c"), F.col("t")).alias("e")).collect()]
+    got = [tuple(r.e) for r in tp.with_calorie_error(df, "c", "t").collect()]
     assert got == [(2000.0, 0.0, 0.0, True), (0.0, 2000.0, 100.0, False)]
 
 
