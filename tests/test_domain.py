@@ -112,3 +112,37 @@ def test_csv_null_spellings_and_bad_values(spark, tmp_path):
     assert tolerant.fdc_id is None
     mig = fs.add_column_if_absent(spark.createDataFrame([(1,)], "a int"), "b", "string")
     assert mig.columns == ["a", "b"]
+
+
+# The 20 recorded arena rows (model, latency s, groundedness,
+# input tokens, output tokens) and the per-model means they give.
+ARENA_ROWS = [
+    ("Meta (Llama 3.1 70B)", 3.26, 10.0, 337, 59), ("Anthropic (Claude 3.5 Sonnet)", 2.91, 10.0, 396, 66),
+    ("Mistral (Large 2)", 2.38, 10.0, 414, 50), ("Snowflake (Arctic)", 1.32, 10.0, 433, 105),
+    ("OpenAI (GPT 4.1)", 1.24, 10.0, 335, 53), ("Meta (Llama 3.1 70B)", 3.07, 10.0, 355, 74),
+    ("Anthropic (Claude 3.5 Sonnet)", 3.49, 10.0, 408, 82), ("Mistral (Large 2)", 2.24, 10.0, 440, 67),
+    ("Snowflake (Arctic)", 3.35, 1.0, 473, 418), ("OpenAI (GPT 4.1)", 0.99, 10.0, 351, 56),
+    ("Meta (Llama 3.1 70B)", 2.12, 10.0, 348, 59), ("Anthropic (Claude 3.5 Sonnet)", 2.34, 10.0, 402, 64),
+    ("Mistral (Large 2)", 3.64, 10.0, 444, 71), ("Snowflake (Arctic)", 1.67, 2.0, 457, 153),
+    ("OpenAI (GPT 4.1)", 0.78, 10.0, 340, 46), ("Meta (Llama 3.1 70B)", 9.69, 2.0, 344, 334),
+    ("Anthropic (Claude 3.5 Sonnet)", 2.29, 10.0, 391, 59), ("Mistral (Large 2)", 2.15, 10.0, 427, 69),
+    ("Snowflake (Arctic)", 2.22, 1.0, 460, 247), ("OpenAI (GPT 4.1)", 1.16, 10.0, 342, 47),
+]
+ARENA_MEANS = {  # latency, groundedness, input tokens, output tokens, mean of output/input
+    "Meta (Llama 3.1 70B)": (4.535, 8.0, 346.0, 131.5, 0.3810),
+    "Anthropic (Claude 3.5 Sonnet)": (2.7575, 10.0, 399.25, 67.75, 0.1694),
+    "Mistral (Large 2)": (2.6025, 10.0, 431.25, 64.25, 0.1486),
+    "Snowflake (Arctic)": (2.14, 3.5, 455.75, 230.75, 0.4995),
+    "OpenAI (GPT 4.1)": (1.0425, 10.0, 342.0, 50.5, 0.1476),
+}
+
+
+def test_leaderboard_reproduces_recorded_means(spark):
+    df = spark.createDataFrame(ARENA_ROWS, "model_name string, latency double, groundedness_score double, "
+                                           "input_tokens long, output_tokens long")
+    for r in ev.model_leaderboard(df).collect():
+        want = ARENA_MEANS[r.model_name]
+        got = (r.avg_latency, r.avg_groundedness, r.avg_input_tokens, r.avg_output_tokens, r.avg_token_ratio)
+        assert all(abs(a - b) < 5e-5 for a, b in zip(got[:4], want[:4]))
+        assert abs(got[4] - want[4]) < 5e-5
+        assert r.n == 4

@@ -92,3 +92,21 @@ def test_macro_energy_pct(spark):
     r = df.select(*nu.macro_energy_pct(F.col("p"), F.col("f"), F.col("c"), F.col("e"))).first()
     assert (r.protein_pct, r.fat_pct, r.carbs_pct) == (round(40 / 165 * 100, 1), round(45 / 165 * 100, 1), round(80 / 165 * 100, 1))
     assert not math.isnan(r.protein_pct)
+
+
+# The four recorded food rows (energy kcal, protein g,
+# carbohydrate g, total fat g) and their recorded protein/fat/carbs energy
+# percentages.
+RECORDED_FOODS = [
+    (92.0, 2.5, 19.79, 0.23, 10.9, 2.3, 86.0),
+    (135.0, 6.25, 15.53, 4.76, 18.5, 31.7, 46.0),
+    (105.0, 8.17, 12.29, 2.36, 31.1, 20.2, 46.8),
+    (267.0, 11.77, 28.62, 10.87, 17.6, 36.6, 42.9),
+]
+
+
+def test_macro_energy_pct_reproduces_recorded_rows(spark):
+    df = spark.createDataFrame(RECORDED_FOODS, "e double, p double, c double, f double, pp double, fp double, cp double")
+    out = df.select(*nu.macro_energy_pct(F.col("p"), F.col("f"), F.col("c"), F.col("e")), "pp", "fp", "cp").collect()
+    for r in out:
+        assert (r.protein_pct, r.fat_pct, r.carbs_pct) == (r.pp, r.fp, r.cp)
