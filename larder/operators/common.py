@@ -20,13 +20,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     return F.broadcast(df) if n <= max_rows else df
 
 
-def as_of_date(value) -> Column:
-    """A fixed "today" for reproducible results (never the wall clock)."""
-    return F.lit(value).cast("date")
-
-
-def round_half_up(c: Column, digits: int) -> Column:
-    return F.round(c, digits)
 
 
 def global_index(df: DataFrame, order_cols: list[str], n_parts: int | None = None,
