@@ -2,80 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from larder.operators import memory as mm
 from larder.plans import analogues as an
 from larder.plans.q_memory import D10_SQL, D25_SQL, MSG
 from larder.plans.registry import register
 from larder.streaming import jobs as sj
+from larder.streaming import pipelines as sp
 
 
 @register("stream_preference_memory", D10_SQL)
 def q_stream_preference_memory(spark, d):
-    fb = an.feedback_from(sj.stream_table(spark, d, "events"))
-    g = (fb.groupBy("user_id", F.col("feedback_type").alias("preference_type"), F.col("entity_name").alias("preference_key"))
-         .agg(F.count(F.lit(1)).alias("frequency"),
-              F.max_by(F.col("entity_type"), F.struct("extracted_at", "feedback_id")).alias("preference_value"),
-              F.max("extracted_at").alias("last_mentioned"),
-              F.min_by(F.struct("extracted_at", "timing"), F.struct("extracted_at", "feedback_id")).alias("first")))
-    keys = ["user_id", "preference_type", "preference_key"]
-    latest = sj.read_latest(spark, sj.run_changelog(g, "preference_memory"), keys)
-    # closed-form confidence and expiry from the aggregated state (as D10)
-    expiry = (F.when(F.col("first.timing") == "next_week", F.col("first.extracted_at") + F.make_dt_interval(F.lit(7)))
-              .when(F.col("first.timing") == "this_month", F.col("first.extracted_at") + F.make_dt_interval(F.lit(30))))
-    conf = F.round(F.least(F.lit(mm.CONF_CAP), F.lit(mm.CONF_START) + F.lit(mm.CONF_STEP) * (F.col("frequency") - 1)), 6)
-    return latest.select(*keys, "preference_value", conf.alias("confidence_score"), F.col("frequency").cast("long").alias("frequency"),
-                         "last_mentioned", expiry.alias("expires_at"))
+    return sp.preference_memory(sj.stream_table(spark, d, "events"))
 
 
 @register("stream_thread_counters", D25_SQL)
 def q_stream_thread_counters(spark, d):
-    msgs = an.messages_from(sj.stream_table(spark, d, "conversations"))
-    return sj.read_latest(spark, sj.run_changelog(mm.thread_counters(msgs), "thread_counters"), ["thread_id"])
+    return sp.thread_counters(sj.stream_table(spark, d, "conversations"))
 
 
 @register("stream_latest_checkpoint", f"""SELECT thread_id, arg_max(message_id, (created_at, message_id)) AS checkpoint_id,
   max(created_at) AS created_at, arg_max(role, (created_at, message_id)) AS checkpoint_data FROM ({MSG}) GROUP BY thread_id""")
 def q_stream_latest_checkpoint(spark, d):
-    msgs = an.messages_from(sj.stream_table(spark, d, "conversations"))
-    cp = msgs.select("thread_id", F.col("message_id").alias("checkpoint_id"), "created_at", F.col("role").alias("checkpoint_data"))
-    return sj.read_latest(spark, sj.run_changelog(mm.latest_checkpoint(cp), "latest_checkpoint"), ["thread_id"])
+    return sp.latest_checkpoint(sj.stream_table(spark, d, "conversations"))
 
 
 @register("stream_weekly_nutrition", """SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week_start, round(avg(value), 6) AS avg_value,
   CAST(COUNT(*) AS BIGINT) AS n FROM events GROUP BY 1, 2""")
 def q_stream_weekly_nutrition(spark, d):
-    e = sj.event_time(sj.stream_table(spark, d, "events"), "ts").withWatermark("ts", "2 days")
-    # 7-day tumbling windows shifted by 4 days start on Mondays (the epoch is a Thursday)
-    g = e.groupBy("user_id", F.window("ts", "7 days", "7 days", "4 days").alias("w")).agg(
-        F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("n"))
-    g = g.select("user_id", sj.wall_date(F.col("w.start")).alias("week_start"), "avg_value", "n")
-    latest = sj.read_latest(spark, sj.run_changelog(g, "weekly_nutrition"), ["user_id", "week_start"])
-    return latest.select("user_id", "week_start", F.round("avg_value", 6).alias("avg_value"), F.col("n").cast("long").alias("n"))
+    return sp.weekly_nutrition(sj.stream_table(spark, d, "events"))
 
 
 @register("stream_eval_trend", """SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, round(avg(value), 6) AS avg_value,
   CAST(COUNT(*) AS BIGINT) AS n FROM events GROUP BY 1, 2""")
 def q_stream_eval_trend(spark, d):
-    e = sj.event_time(sj.stream_table(spark, d, "events"), "ts").withWatermark("ts", "1 day")
-    g = e.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.avg("value").alias("avg_value"),
-                                                                       F.count(F.lit(1)).alias("n"))
-    g = g.select("event_type", sj.wall_date(F.col("w.start")).alias("day"), "avg_value", "n")
-    latest = sj.read_latest(spark, sj.run_changelog(g, "eval_trend"), ["event_type", "day"])
-    return latest.select("event_type", "day", F.round("avg_value", 6).alias("avg_value"), F.col("n").cast("long").alias("n"))
+    return sp.daily_trend(sj.stream_table(spark, d, "events"))
 
 
 @register("stream_dedupe_calls", f"""SELECT DISTINCT thread_id, 'search_foods' AS tool, 'q' || CAST(length(content) % 4 AS VARCHAR) AS query
   FROM ({MSG}) WHERE role = 'assistant'""")
 def q_stream_dedupe_calls(spark, d):
-    msgs = an.messages_from(sj.stream_table(spark, d, "conversations")).where(F.col("role") == "assistant")
-    calls = msgs.select("thread_id", "created_at", F.lit("search_foods").alias("tool"),
-                        F.concat(F.lit("q"), (F.length("content") % 4).cast("string")).alias("query"))
-    dedup = (sj.event_time(calls, "created_at").withWatermark("created_at", "1 day")
-             .dropDuplicatesWithinWatermark(["thread_id", "tool", "query"]).drop("created_at"))
-    out = sj.run_changelog(dedup, "dedupe_calls", output_mode="append")
-    return spark.read.parquet(out).select("thread_id", "tool", "query").distinct()
+    return sp.dedupe_calls(sj.stream_table(spark, d, "conversations"))
 
 
 SESSIONS_SQL = """WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
@@ -86,20 +51,10 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
 
 @register("stream_chat_sessions", SESSIONS_SQL)
 def q_stream_chat_sessions(spark, d):
-    e = sj.event_time(sj.stream_table(spark, d, "events").select("user_id", "ts"), "ts")
-    out = sj.sessionize_stream(e, "user_id", "ts", 30 * 60, "chat_sessions")
-    return out.select("user_id", sj.wall_ntz(F.col("session_start")).alias("session_start"),
-                      sj.wall_ntz(F.col("session_end")).alias("session_end"),
-                      F.col("n_events").cast("long").alias("n_events"))
+    return sp.chat_sessions(sj.stream_table(spark, d, "events"))
 
 
 @register("stream_feedback_sliding", f"""SELECT CAST(date_trunc('day', extracted_at) AS DATE) - CAST(k AS INTEGER) AS window_start, feedback_type, CAST(COUNT(*) AS BIGINT) AS n
 FROM ({an.FEEDBACK_SQL}), range(0, 7) r(k) WHERE feedback_type IN ('like', 'dislike') GROUP BY 1, 2""")
 def q_stream_feedback_sliding(spark, d):
-    fb = an.feedback_from(sj.stream_table(spark, d, "events")).where(F.col("feedback_type").isin("like", "dislike"))
-    g = (sj.event_time(fb, "extracted_at").withWatermark("extracted_at", "1 day")
-         .groupBy(F.window("extracted_at", "7 days", "1 day").alias("w"), "feedback_type")
-         .agg(F.count(F.lit(1)).alias("n")))
-    g = g.select(sj.wall_date(F.col("w.start")).alias("window_start"), "feedback_type", "n")
-    latest = sj.read_latest(spark, sj.run_changelog(g, "feedback_sliding"), ["window_start", "feedback_type"])
-    return latest.select("window_start", "feedback_type", F.col("n").cast("long").alias("n"))
+    return sp.feedback_sliding(sj.stream_table(spark, d, "events"))

@@ -49,3 +49,47 @@ def test_sessions_stream_equals_batch_over_batches(spark):
             cur = (u, t, t, 1)
     want.append((cur[0], cur[1], cur[3]))
     assert got == sorted(want)
+
+
+def _split_by_time(spark, name, col, parts=3):
+    """Time-ordered files: each micro-batch is later than the previous one,
+    so no row is late relative to the watermark."""
+    d = tempfile.mkdtemp(prefix="larder-stream-ts-")
+    df = spark.read.parquet(f"{SF}/{name}.parquet")
+    lo, hi = df.agg(F.min(col), F.max(col)).first()
+    step = (hi - lo) / parts
+    for i in range(parts):
+        a, b = lo + step * i, lo + step * (i + 1)
+        part = df.where((F.col(col) >= a) & ((F.col(col) < b) if i < parts - 1 else F.lit(True)))
+        part.coalesce(1).write.parquet(f"{d}/part{i}")
+    return d
+
+
+def _same(a, b):
+    cols = sorted(a.columns)
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    return sorted((tuple(r[c] for c in cols) for r in a.collect()), key=key) == \
+        sorted((tuple(r[c] for c in cols) for r in b.select(*cols).collect()), key=key)
+
+
+def test_preference_memory_stream_over_batches(spark):
+    from larder.streaming import pipelines as sp
+    d = _split_copy(spark, "events")
+    out = sp.preference_memory(_stream(spark, d, "events"))
+    assert _same(out, mm.preference_memory(an.feedback(spark, SF)))
+
+
+def test_windowed_streams_over_time_ordered_batches(spark):
+    from larder.streaming import pipelines as sp
+    d = _split_by_time(spark, "events", "ts")
+    weekly = sp.weekly_nutrition(_stream(spark, d, "events"))
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    want = (e.groupBy("user_id", F.date_trunc("week", "ts").cast("date").alias("week_start"))
+            .agg(F.round(F.avg("value"), 6).alias("avg_value"), F.count(F.lit(1)).alias("n")))
+    assert _same(weekly, want)
+    sliding = sp.feedback_sliding(_stream(spark, d, "events"))
+    fb = an.feedback(spark, SF).where(F.col("feedback_type").isin("like", "dislike"))
+    days = fb.select("feedback_type", F.explode(F.sequence(F.date_sub(F.to_date("extracted_at"), 6),
+                                                             F.to_date("extracted_at"))).alias("window_start"))
+    want2 = days.groupBy("window_start", "feedback_type").agg(F.count(F.lit(1)).alias("n"))
+    assert _same(sliding, want2)
