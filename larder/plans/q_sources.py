@@ -257,3 +257,49 @@ def q_append_inventory(spark, d):
     rows.limit(0).write.mode("overwrite").parquet(path)
     sk.append_table(rows, path)
     return spark.read.parquet(path)
+
+
+def _copy(spark, df, key, schema):
+    """COPY INTO: write the source rows as CSV, then the typed positional load."""
+    path = scratch_dir(spark, f"larder/{key}/csv")
+    fs.write_csv(df, path)
+    return fs.read_csv_typed(spark, path, schema)
+
+
+NUTRIENT_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
+                                T.StructField("unit_name", T.StringType()), T.StructField("nutrient_nbr", T.DoubleType()),
+                                T.StructField("rank_order", T.DoubleType())])
+
+
+@register("copy_into_raw_nutrient", f"""SELECT n.* FROM ({an.RAW_NUTRIENT_SQL}) n
+  WHERE n.id IN (SELECT DISTINCT nutrient_id FROM ({an.RAW_FOOD_NUTRIENT_SQL}))""")
+def q_copy_into_raw_nutrient(spark, d):
+    # the nutrient rows the fact table uses (code table joined to the codes found)
+    used = an.raw_food_nutrient(spark, d).select(F.col("nutrient_id").alias("id")).distinct()
+    rows = F.broadcast(an.raw_nutrient(spark, d)).join(used, "id", "left_semi")
+    return _copy(spark, rows, "copy_into_raw_nutrient", NUTRIENT_SCHEMA)
+
+
+@register("copy_into_raw_food_category", "SELECT min(p_partkey) AS id, p_type AS code, lower(p_type) AS description FROM part GROUP BY p_type")
+def q_copy_into_raw_food_category(spark, d):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("code", T.StringType()),
+                           T.StructField("description", T.StringType())])
+    return _copy(spark, raw_food_category(spark, d), "copy_into_raw_food_category", schema)
+
+
+@register("copy_into_raw_measure_unit", "SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS id, 'unit ' || CAST(l_linenumber AS VARCHAR) AS name FROM lineitem")
+def q_copy_into_raw_measure_unit(spark, d):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    return _copy(spark, raw_measure_unit(spark, d), "copy_into_raw_measure_unit", schema)
+
+
+FOOD_PORTION_SCHEMA = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("fdc_id", T.LongType()), T.StructField("seq_num", T.IntegerType()),
+    T.StructField("amount", T.DoubleType()), T.StructField("measure_unit_id", T.IntegerType()),
+    T.StructField("portion_description", T.StringType()), T.StructField("modifier", T.StringType()),
+    T.StructField("gram_weight", T.DoubleType())])
+
+
+@register("copy_into_raw_food_portion", an.RAW_FOOD_PORTION_SQL)
+def q_copy_into_raw_food_portion(spark, d):
+    return _copy(spark, an.raw_food_portion(spark, d), "copy_into_raw_food_portion", FOOD_PORTION_SCHEMA)

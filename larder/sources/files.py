@@ -17,8 +17,10 @@ NULL_SPELLINGS = ["NULL", "null", ""]
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    # keep surrounding spaces: Spark's CSV writer trims them by default
     (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-     .option("nullValue", "").csv(path))
+     .option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, tolerant: bool = False,
