@@ -54,8 +54,12 @@ def run_changelog(df: DataFrame, name: str, output_mode: str = "update") -> str:
     base = scratch_dir(spark, f"larder/streams/{name}/{uuid.uuid4().hex}")
     out = f"{base}/changelog"
 
+    # an empty typed changelog first, so a stream without rows reads back empty
+    empty_schema = df.schema.add("_batch", "long")
+    spark.createDataFrame([], empty_schema).write.mode("overwrite").parquet(out)
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
 
     q = (df.writeStream.outputMode(output_mode).foreachBatch(write_batch)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
@@ -65,10 +69,7 @@ def run_changelog(df: DataFrame, name: str, output_mode: str = "update") -> str:
 
 def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Newest row per key from a changelog (max_by on the batch id)."""
-    try:
-        log = spark.read.parquet(path)
-    except Exception:  # no batch produced output
-        return None
+    log = spark.read.parquet(path)
     vals = [c for c in log.columns if c not in keys and c != "_batch"]
     latest = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("_batch")).alias("_v"))
     return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in vals])
@@ -127,13 +128,11 @@ def sessionize_stream(events: DataFrame, key: str, ts: str, gap_seconds: int, na
     q = (events.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    if not versions:
-        return None
-    parts = [spark.read.parquet(f"{state_root}/v={versions[-1]}")]
-    try:
-        parts.append(spark.read.parquet(closed_path).drop("_batch", "b"))
-    except Exception:
-        pass
+    empty = spark.createDataFrame([], f"{key} {events.schema[key].dataType.simpleString()}, s timestamp, l timestamp, n long")
+    parts = [spark.read.parquet(f"{state_root}/v={versions[-1]}")] if versions else [empty]
+    if versions:
+        closed = [f"{closed_path}/b={v}" for v in versions]
+        parts.append(spark.read.parquet(*closed).drop("_batch"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     return out.select(key, F.col("s").alias("session_start"), (F.col("l") + gap).alias("session_end"),
                       F.col("n").alias("n_events"))

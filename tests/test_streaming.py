@@ -93,3 +93,17 @@ def test_windowed_streams_over_time_ordered_batches(spark):
                                                              F.to_date("extracted_at"))).alias("window_start"))
     want2 = days.groupBy("window_start", "feedback_type").agg(F.count(F.lit(1)).alias("n"))
     assert _same(sliding, want2)
+
+
+def test_empty_stream_reads_back_empty(spark):
+    from larder.streaming import pipelines as sp
+    d = tempfile.mkdtemp(prefix="larder-stream-empty-")
+    spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(f"{d}/part0")
+    assert sp.thread_counters(_stream(spark, _empty_conv(spark), "conversations")).count() == 0
+    assert sp.chat_sessions(_stream(spark, d, "events")).count() == 0
+
+
+def _empty_conv(spark):
+    d = tempfile.mkdtemp(prefix="larder-stream-empty-conv-")
+    spark.read.parquet(f"{SF}/conversations.parquet").limit(0).write.parquet(f"{d}/part0")
+    return d
