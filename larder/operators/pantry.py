@@ -216,36 +216,41 @@ def shopping_consolidation(b1: DataFrame, b2: DataFrame, key_cols=("plan_id",))
     are summed only when every value involved parses as a number (K9),
     otherwise the batch-1 row is kept as is. Batch-2 names absent from
     batch 1 are added once (their first row, carrying the batch-2 sums under
-    the same rule). Units are not compared. A full outer join on the key
-    replaces the per-item dictionary loop; all work is keyed, so it
-    scales with the number of lists.
+    the same rule). Units are not compared.
+
+    Plan: both batches are stacked and reduced with one conditional
+    aggregate per key (partial aggregation before the shuffle), then the
+    batch-1 rows are joined back to it on the same key; the per-item
+    dictionary loop becomes two keyed stages that scale with the lists.
     """
     keys = list(key_cols) + ["category", "item_key"]
     cats = SHOPPING_CATEGORIES
 
-    def prep(b):
+    def prep(b, n):
         return (b.where(F.col("category").isin(*cats))
-                .withColumn("item_key", F.lower("item"))
+                .withColumn("item_key", F.lower("item")).withColumn("_b", F.lit(n))
                 .withColumn("q", F.col("quantity_to_purchase").try_cast("double"))
                 .withColumn("t", F.col("total_quantity_needed").try_cast("double")))
 
-    p1, p2 = prep(b1), prep(b2)
-    agg2 = p2.groupBy(*keys).agg(
-        F.min_by(F.struct("item", "quantity_to_purchase", "total_quantity_needed", "unit"), F.col("pos")).alias("first2"),
-        F.sum("q").alias("q2"), F.sum("t").alias("t2"),
-        F.bool_and(F.col("q").isNotNull() & F.col("t").isNotNull()).alias("ok2"),
-        F.count(F.lit(1)).alias("n2"))
-    last_pos = p1.groupBy(*keys).agg(F.max("pos").alias("_last_pos"))
-    p1 = p1.join(last_pos, keys).withColumn("_is_last", F.col("pos") == F.col("_last_pos")).drop("_last_pos")
-    j = p1.join(agg2, keys, "left")
-    ok = F.col("_is_last") & F.col("ok2") & F.col("q").isNotNull() & F.col("t").isNotNull()
+    p1, p2 = prep(b1, 1), prep(b2, 2)
+    both = p1.unionByName(p2)
+    in1, in2 = F.col("_b") == 1, F.col("_b") == 2
+    agg = both.groupBy(*keys).agg(
+        F.max(F.when(in1, F.col("pos"))).alias("_last_pos"),
+        F.min_by(F.when(in2, F.struct("item", "quantity_to_purchase", "total_quantity_needed", "unit")),
+                 F.when(in2, F.col("pos"))).alias("first2"),
+        F.sum(F.when(in2, F.col("q"))).alias("q2"), F.sum(F.when(in2, F.col("t"))).alias("t2"),
+        F.coalesce(F.bool_and(F.when(in2, F.col("q").isNotNull() & F.col("t").isNotNull())), F.lit(True)).alias("ok2"),
+        F.count(F.when(in2, 1)).alias("n2"))
+    j = p1.join(agg, keys, "inner")
+    matched = (F.col("pos") == F.col("_last_pos")) & (F.col("n2") > 0) & F.col("ok2") & F.col("q").isNotNull() & F.col("t").isNotNull()
     merged1 = j.select(*keys, "item", "unit", "pos",
-                       F.when(ok, (F.col("q") + F.col("q2")).cast("string")).otherwise(F.col("quantity_to_purchase"))
+                       F.when(matched, (F.col("q") + F.col("q2")).cast("string")).otherwise(F.col("quantity_to_purchase"))
                         .alias("quantity_to_purchase"),
-                       F.when(ok, (F.col("t") + F.col("t2")).cast("string")).otherwise(F.col("total_quantity_needed"))
+                       F.when(matched, (F.col("t") + F.col("t2")).cast("string")).otherwise(F.col("total_quantity_needed"))
                         .alias("total_quantity_needed"),
                        F.lit(1).alias("source_batch"))
-    only2 = agg2.join(p1.select(*keys).distinct(), keys, "left_anti")
+    only2 = agg.where(F.col("_last_pos").isNull())
     ok2 = F.col("ok2") & (F.col("n2") > 1)
     merged2 = only2.select(*keys, F.col("first2.item").alias("item"), F.col("first2.unit").alias("unit"),
                            F.lit(None).cast("long").alias("pos"),
