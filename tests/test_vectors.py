@@ -95,3 +95,25 @@ def test_embed_with_plug_point(spark):
         return np.stack([[len(x), x.count(" ")] for x in s])
     got = sorted((r.id, list(r.embedding)) for r in vx.embed_with(df, "id", "t", fn, 2).collect())
     assert got == [(1, [4.0, 1.0]), (2, [3.0, 0.0])]
+
+
+def test_context_size_choice_and_diversity_brute_force(spark):
+    v, data = _vectors(spark, n=80)
+    v = v.withColumn("food_type", (F.col("fdc_id") % 5).cast("string"))
+    rng = np.random.default_rng(11)
+    qs = rng.normal(size=(3, data.shape[1]))
+    qdf = spark.createDataFrame([(i, [float(x) for x in qs[i]]) for i in range(3)], "qid long, qvec array<double>")
+    res = vx.vector_topk_batch(v, qdf, 20)
+    choice = {r.qid: (r.best_k, r.best_score) for r in vx.context_size_choice(res).collect()}
+    div = {r.qid: r.diversity for r in vx.result_diversity(res, 20).collect()}
+    d = data.astype("float64")
+    for i in range(3):
+        sims = d @ qs[i] / (np.linalg.norm(d, axis=1) * np.linalg.norm(qs[i]))
+        order = sorted(range(len(d)), key=lambda j: (-sims[j], j))
+        scores = []
+        for k in (3, 5, 10, 20):
+            top = order[:k]
+            scores.append((0.7 * np.mean(sims[top]) + 0.3 * len({j % 5 for j in top}) / k, k))
+        best = max(scores, key=lambda x: (x[0], -x[1]))
+        assert choice[i][0] == best[1] and abs(choice[i][1] - best[0]) < 1e-9
+        assert abs(div[i] - len({j % 5 for j in order[:20]}) / 20) < 1e-12
