@@ -198,6 +198,8 @@ def t_two_sided_p(t: float, dof: float) -> float:
 def latency_ttest(df: DataFrame, group_col: str, col: str, a: str, b: str) -> DataFrame:
     """A25 with the p value: the statistics are one Spark aggregate row; the
     p value is computed on that single row (scipy is not available)."""
+    from larder.session import ship_package
+    ship_package(df.sparkSession)
     stats = latency_ttest_stats(df, group_col, col, a, b)
 
     def add_p(it):

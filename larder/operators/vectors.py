@@ -245,6 +245,9 @@ def embed_with(texts: DataFrame, id_col: str, text_col: str, fn, dim: int) -> Da
     task stays bounded whatever the table size."""
     import numpy as np
 
+    from larder.session import ship_package
+    ship_package(texts.sparkSession)
+
     def run(batches):
         for pdf in batches:
             vecs = np.asarray(fn(pdf[text_col]), dtype="float32").reshape(len(pdf), dim)
