@@ -41,10 +41,8 @@ CLASSES = {
     "point": ".,;:'\"()-",
     "mark": "#*$%&|<>!?@/\\_+=[]{}~^`",
 }
-MIN_CHARS, MIN_WORDS = 200, 60
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.45
-CLASS_COLUMNS = [f"_c{k}" for k in range(len(CLASSES))]
-WORD_COLUMNS = [f"_w{k}" for k in range(len(COMMON_WORDS["en"]))]
+MIN_CHARS, MIN_WORDS = 400, 100
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.30
 N_WORDS_LEAST, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
 
@@ -61,11 +59,16 @@ def repeated_words(wh: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(wh) >= window, chain(wh)).otherwise(F.array().cast("array<bigint>"))
 
 
-def covered(win: Column, window: int = WINDOW) -> Column:
-    """Words covered by the windows that repeat, given all windows' hashes."""
-    placed = F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(win)
-    # a window repeats if its neighbour in hash order has its hash
+def by_hash(win: Column) -> Column:
+    """The windows (hash, position) in order of their hashes."""
+    return F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+
+def repeated_starts(placed: Column) -> Column:
+    """Positions, ascending, of the windows that occur twice or more: a
+    neighbour in hash order has the same hash. ``placed`` must be a column
+    that holds ``by_hash``, as the lambda reads it for every element."""
+    n = F.size(placed)
     twice = F.filter(placed, lambda x, k: ((k > 0) & (F.get(placed, k - 1)["h"] == x["h"]))
                      | ((k < n - 1) & (F.get(placed, k + 1)["h"] == x["h"])))
     return F.sort_array(F.transform(twice, lambda x: x["i"]))
@@ -82,19 +85,16 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def distance(p: list[Column], q: list[Column]) -> Column:
-    """Jensen-Shannon distance (base 2) of two histograms of counts."""
-    ps, qs = sum(p[1:], p[0]), sum(q[1:], q[0])
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of two histograms, arrays of counts."""
+    def shares(a: Column) -> Column:
+        total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+        return F.transform(a, lambda x: x / total)
 
-    def part(a: Column, m: Column) -> Column:
-        return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
-    total = None
-    for a, b in zip(p, q):
-        x, y = a / ps, b / qs
-        m = (x + y) / 2
-        term = (part(x, m) + part(y, m)) / 2
-        total = term if total is None else total + term
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
+    def part(x: Column, m: Column) -> Column:
+        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+    terms = F.zip_with(shares(p), shares(q), lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)
+    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -111,58 +111,65 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     d = (d.withColumn("_lang", F.when(known, F.col("_lang")).otherwise("*"))
          .withColumn("_list", F.coalesce(F.element_at(lists, F.col("_lang")), F.array().cast("array<bigint>"))))
     d = d.withColumn("_win", repeated_words(F.col("_wh")))
-    d = d.withColumn("_starts", F.when(F.size(F.array_distinct("_win")) == F.size("_win"), F.array().cast("array<int>"))
-                     .otherwise(covered(F.col("_win"))))
-    chars = [F.col("_n_chars") - _without(F.col("_text"), c) for c in CLASSES.values()]
-    common = [F.when(F.size("_list") > 0, F.size("_wh") - F.size(F.array_remove("_wh", F.get(F.col("_list"), F.lit(k))))).otherwise(0)
-              for k in range(len(WORD_COLUMNS))]
+    # most texts repeat no window: only the others sort theirs
+    d = d.withColumn("_placed", F.when(F.size(F.array_distinct("_win")) < F.size("_win"), by_hash(F.col("_win"))))
+    d = d.withColumn("_starts", F.coalesce(repeated_starts(F.col("_placed")), F.array().cast("array<int>")))
+    chars = F.array(*[(F.col("_n_chars") - _without(F.col("_text"), c)).cast("double") for c in CLASSES.values()])
+    # only the listed words stay; how often each occurs is what removing it takes away
+    d = d.withColumn("_listed", F.filter("_wh", lambda h: F.array_contains(F.col("_list"), h)))
+    common = F.transform("_list", lambda w: (F.size("_listed") - F.size(F.array_remove("_listed", w))).cast("double"))
+
+    def with_rest(a: Column, total: str) -> Column:
+        return F.concat(a, F.array(F.col(total).cast("double") - F.aggregate(a, F.lit(0.0), lambda s, x: s + x)))
     d = d.select(
         *keep, "_lang", "n_words", "word_chars", "_n_chars",
         (F.col("_n_chars") - _without(F.col("_text"), "#*$%&|<>")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        union_length(F.col("_starts")).cast("long").alias("n_repeat_words"),
-        *[c.cast("long").alias(f"_c{k}") for k, c in enumerate(chars)],
-        *[c.cast("long").alias(f"_w{k}") for k, c in enumerate(common)])
+        union_length(F.col("_starts")).cast("long").alias("n_repeat_words"), chars.alias("_chars"), common.alias("_common"))
+    d = (d.withColumn("_chars", with_rest(F.col("_chars"), "_n_chars"))
+         .withColumn("_common", with_rest(F.col("_common"), "n_words")))
     return d.withColumn("base_failed", (F.col("n_words") < N_WORDS_LEAST)
                         | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT))
 
 
-def references(m: DataFrame) -> dict[str, dict[str, float]]:
-    """Summed histograms by language, and over all under ``*``, of the measured
-    documents that pass the base rules: five rows at most."""
+def references(m: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """Summed histograms (characters, words) by language, and over all under
+    ``*``, of the measured documents that pass the base rules: five rows at
+    most reach the driver."""
+    def summed(col: str, n: int) -> list[Column]:
+        return [F.sum(F.get(F.col(col), F.lit(k))) for k in range(n)]
+    nc, nw = len(CLASSES) + 1, len(COMMON_WORDS["en"]) + 1
     sums = (m.where(~F.col("base_failed")).groupBy("_lang")
-            .agg(*[F.sum(c).alias(c) for c in (*CLASS_COLUMNS, *WORD_COLUMNS, "_n_chars", "n_words")]).collect())
-    total = {c: float(sum(r[c] for r in sums)) for c in (*CLASS_COLUMNS, *WORD_COLUMNS, "_n_chars", "n_words")}
-    return {r["_lang"]: {c: float(r[c]) for c in total} for r in sums} | {"*": total}
+            .agg(F.array(*summed("_chars", nc)).alias("c"), F.array(*summed("_common", nw)).alias("w")).collect())
+    found = {r["_lang"]: (list(r["c"]), list(r["w"])) for r in sums}
+    every = ([sum(c[k] for c, _ in found.values()) for k in range(nc)], [sum(w[k] for _, w in found.values()) for k in range(nw)])
+    return found | {"*": every}
 
 
-def judge(m: DataFrame, refs: dict[str, dict[str, float]], max_class: float = MAX_CLASS_DISTANCE,
+def judge(m: DataFrame, refs: dict[str, tuple[list[float], list[float]]], max_class: float = MAX_CLASS_DISTANCE,
           max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """Adds class_distance, word_distance (null where a text is too short or
     has no reference) and kept to measured documents."""
-    def ref(c: str) -> Column:
-        out = F.lit(refs["*"][c])
+    def ref(k: int) -> Column:
+        out = F.array(*[F.lit(float(x)) for x in refs["*"][k]])
         for lang in sorted(refs.keys() - {"*"}):
-            out = F.when(F.col("_lang") == lang, refs[lang][c]).otherwise(out)
+            out = F.when(F.col("_lang") == lang, F.array(*[F.lit(float(x)) for x in refs[lang][k]])).otherwise(out)
         return out
 
-    def histograms(total: str, cols: list[str]) -> tuple[list[Column], list[Column]]:
-        p, q = [F.col(c).cast("double") for c in cols], [ref(c) for c in cols]
-        rest = [x - sum(y[1:], y[0]) for x, y in ((F.col(total).cast("double"), p), (ref(total), q))]
-        return [*p, rest[0]], [*q, rest[1]]
-
-    by_class = (F.col("_n_chars") >= min_chars) & (ref("_n_chars") > 0)
-    by_word = (F.col("n_words") >= min_words) & (F.col("_lang") != "*") & (ref("n_words") > 0)
-    return (m.withColumn("class_distance", F.when(by_class, distance(*histograms("_n_chars", CLASS_COLUMNS))))
-            .withColumn("word_distance", F.when(by_word, distance(*histograms("n_words", WORD_COLUMNS))))
+    known = F.lit(sum(refs["*"][0]) > 0)
+    return (m.withColumn("_cref", ref(0)).withColumn("_wref", ref(1))
+            .withColumn("class_distance", F.when(known & (F.col("_n_chars") >= min_chars), distance(F.col("_chars"), F.col("_cref"))))
+            .withColumn("word_distance", F.when(known & (F.col("n_words") >= min_words) & F.col("_lang").isin(*(refs.keys() - {"*"})),
+                                                distance(F.col("_common"), F.col("_wref"))))
             .withColumn("kept", ~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= max_class)
-                        & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)))
+                        & (F.coalesce("word_distance", F.lit(0.0)) <= max_word))
+            .drop("_cref", "_wref"))
 
 
 def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed, both distances, kept."""
     m = written(measured(docs, ["doc_id"]), "rules-measured")
-    return judge(m, references(m), **limits).drop("_lang", "_n_chars", *CLASS_COLUMNS, *WORD_COLUMNS)
+    return judge(m, references(m), **limits).drop("_lang", "_n_chars", "_chars", "_common")
 
 
 def accepted_documents(docs: DataFrame, **limits) -> DataFrame:
