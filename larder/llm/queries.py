@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import line_crf, line_runs, mixing, rules, secrets, toxicity, winnowing
+from larder.llm import line_crf, line_runs, mixing, packing, rules, secrets, toxicity, winnowing
 from larder.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def token_ranks() -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op9_config_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), token_ranks())
