@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chosen_path, line_crf, line_runs, mixing, packing, rules, secrets, toxicity, winnowing
+from larder.llm import chosen_path, doubling, line_crf, line_runs, mixing, packing, rules, secrets, toxicity, winnowing
 from larder.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_chosen_path", chosen_path.ORACLE_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_level_doubling", doubling.ORACLE_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling.substring_dedup(table(spark, sf_dir, "documents"))
