@@ -43,6 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def only(df: DataFrame, flag: Column) -> DataFrame:
+    """The rows for which ``flag`` holds. A filter would be pushed below the
+    projections that compute it, with a copy of every expression on the way;
+    it stays above a generated column."""
+    return df.withColumn("_flag", F.explode(F.array(flag))).where("_flag").drop("_flag")
+
+
 def running_sum(df: DataFrame, order: list[Column], value: str, out: str, row_id: str, name: str) -> DataFrame:
     """``out``: the sum of ``value`` over all rows up to this one, itself
     included, in the total order ``order``; ``row_id``: an id of the row that

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import SPACES, text_of, words, written
+from larder.llm.common import SPACES, only, text_of, words, written
 
 # Very common words of four languages.
 COMMON_WORDS = {
@@ -139,7 +139,7 @@ def references(m: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     def summed(col: str, n: int) -> list[Column]:
         return [F.sum(F.get(F.col(col), F.lit(k))) for k in range(n)]
     nc, nw = len(CLASSES) + 1, len(COMMON_WORDS["en"]) + 1
-    sums = (m.where(~F.col("base_failed")).groupBy("_lang")
+    sums = (only(m, ~F.col("base_failed")).groupBy("_lang")
             .agg(F.array(*summed("_chars", nc)).alias("c"), F.array(*summed("_common", nw)).alias("w")).collect())
     found = {r["_lang"]: (list(r["c"]), list(r["w"])) for r in sums}
     every = ([sum(c[k] for c, _ in found.values()) for k in range(nc)], [sum(w[k] for _, w in found.values()) for k in range(nw)])
@@ -177,4 +177,4 @@ def accepted_documents(docs: DataFrame, **limits) -> DataFrame:
     that none has to be shuffled."""
     row = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")
     refs = references(measured(docs, ["doc_id"]))
-    return judge(measured(row, ["_row"]), refs, **limits).where("kept").select("_row.*")
+    return only(judge(measured(row, ["_row"]), refs, **limits), F.col("kept")).select("_row.*")
