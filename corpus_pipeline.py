@@ -1,15 +1,17 @@
 """A corpus pipeline over ``documents``.
 
 ``STAGES`` are applied in order; each result is written as Parquet to the
-shared checkpoint folder and read again as the next stage's documents.
+shared checkpoint folder and read again as the next stage's documents. All
+stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import mixing, rules
+from larder.llm import chosen_path, line_runs, mixing, packing, rules
 from larder.llm.common import written
+from larder.llm.queries import token_ranks
 from larder.sources.tables import table
 
 
@@ -18,17 +20,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.accepted_documents(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go, and documents of which nothing is left."""
+    return line_runs.deduplicated_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return chosen_path.one_of_each_group(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in the sequences."""
+    return packing.pack(docs, token_ranks())
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
 
-# Sketches and tokens are beyond SQL: tested against brute force instead.
+# Sketches and tokens are beyond SQL: the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
