@@ -1,17 +1,20 @@
-"""Structured Streaming versions of the stateful jobs.
-
-Sources are the driver parquet tables read as file streams. Aggregations
-run in update mode; every micro-batch appends its updated rows, tagged with
-the batch id, to a changelog folder under the shared checkpoint folder
-(``foreachBatch``: a distributed write, nothing is collected). Readers
-resolve the changelog to the newest row per key, so a replayed batch after a
-failure (same id, same rows) is harmless. Windowed jobs use event-time
-watermarks so their state is dropped once a window can no longer change.
+"""Structured Streaming machinery of the stateful jobs.
+
+A job reads the files of a table's folder as a stream. Each micro-batch is
+reduced to partial aggregates (counts, sums, least and greatest structs, or
+intervals) that are written under the batch's id; the result is those
+partials combined when read. Partials of batches in any order combine to the
+same result, so nothing depends on event time order and no watermark drops
+rows. A replayed batch overwrites its own folder. Output and stream
+checkpoint live at one location: a later run there goes on where the last one
+stopped.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,119 +23,63 @@ from larder.session import scratch_dir
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    """A table as a file stream, be it one file or a folder of files."""
+    base = f"{sf_dir.rstrip('/')}/{name}"
+    schema = spark.read.parquet(f"{base}.parquet").schema
+    # as a pattern the path may name a file as well as a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{base}[.]parquet")
 
 
-_EPOCH_NTZ = "timestamp_ntz'1970-01-01 00:00:00'"
+def job_location(spark: SparkSession, name: str, source: str) -> str:
+    """Where a job over ``source`` keeps its output and checkpoint: the same
+    place for every run within one application."""
+    key = hashlib.sha256(source.rstrip("/").encode()).hexdigest()[:16]
+    return scratch_dir(spark, f"larder/streams/{spark.sparkContext.applicationId}/{key}/{name}")
 
 
-def event_time(df: DataFrame, col: str) -> DataFrame:
-    """Watermarks need TIMESTAMP; the tables hold TIMESTAMP_NTZ. The wall
-    clock is mapped to the UTC instant with the same reading (epoch
-    microseconds), independent of the session time zone, so windows align
-    to wall-clock days and weeks on any cluster."""
-    micros = F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), F.col(col))
-    return df.withColumn(col, F.timestamp_micros(micros))
+def run_partials(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], location: str | None, name: str) -> DataFrame:
+    """Run what is new in ``stream`` and return all partials written so far.
 
+    ``partial`` reduces one micro-batch; its columns plus ``batch`` (the
+    batch's id) are returned. Without ``location`` the run stands alone.
+    """
+    spark = stream.sparkSession
+    base = location or scratch_dir(spark, f"larder/streams/{name}/{uuid.uuid4().hex}")
+    out = f"{base}/partials"
+    schema = partial(spark.createDataFrame([], stream.schema)).schema
+    # a table without rows from the start, so a stream without files reads back empty
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
 
-def wall_date(c: Column) -> Column:
-    """Date of an event-time instant, read in UTC (inverse of ``event_time``)."""
-    return F.date_from_unix_date(F.floor(F.unix_micros(c) / 86_400_000_000).cast("int"))
-
-
-def wall_ntz(c: Column) -> Column:
-    """TIMESTAMP_NTZ wall clock of an event-time instant (inverse of ``event_time``)."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr(_EPOCH_NTZ))
-
-
-def run_changelog(df: DataFrame, name: str, output_mode: str = "update") -> str:
-    """Run ``df`` to completion (availableNow) into a fresh changelog folder;
-    returns the folder. Each run takes a new folder (no clean-up needed)."""
-    spark = df.sparkSession
-    base = scratch_dir(spark, f"larder/streams/{name}/{uuid.uuid4().hex}")
-    out = f"{base}/changelog"
-
-    # an empty typed changelog first, so a stream without rows reads back empty
-    empty_schema = df.schema.add("_batch", "long")
-    spark.createDataFrame([], empty_schema).write.mode("overwrite").parquet(out)
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (df.writeStream.outputMode(output_mode).foreachBatch(write_batch)
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
+    query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(schema.add("batch", "long")).parquet(out)
 
 
-def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest row per key from a changelog (max_by on the batch id)."""
-    log = spark.read.parquet(path)
-    vals = [c for c in log.columns if c not in keys and c != "_batch"]
-    latest = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("_batch")).alias("_v"))
-    return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in vals])
+def gap_of(seconds: int) -> Column:
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
 
 
-def merge_sessions(log: DataFrame, key: str, start: str = "session_start", end: str = "session_end",
-                   n: str = "n_events") -> DataFrame:
-    """Resolve session rows emitted over several batches: sessions only grow
-    or merge, so the final sessions are the islands of overlapping emitted
-    intervals per key (gaps-and-islands over session rows, not events)."""
-    w = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    prev_end = F.max(end).over(w)
-    flagged = log.withColumn("_new", F.when(prev_end.isNull() | (F.col(start) > prev_end), 1).otherwise(0))
-    islands = flagged.withColumn("_island", F.sum("_new").over(
-        Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end),
-                                               F.max(n).alias(n)).drop("_island")
+def merge_intervals(intervals: DataFrame, key: str, gap_seconds: int) -> DataFrame:
+    """Intervals (key, s, l, n) whose distance is under the gap become one:
+    islands over the intervals of a key, in order of their starts."""
+    order = Window.partitionBy(key).orderBy("s", "l")
+    until = F.max("l").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = intervals.withColumn("_new", F.when(until.isNull() | (F.col("s") >= until + gap_of(gap_seconds)), 1).otherwise(0))
+    numbered = flagged.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return (numbered.groupBy(key, "_island").agg(F.min("s").alias("s"), F.max("l").alias("l"), F.sum("n").alias("n")).drop("_island"))
 
 
-def sessionize_stream(events: DataFrame, key: str, ts: str, gap_seconds: int, name: str,
-                      lateness_seconds: int = 3600) -> DataFrame:
-    """Gap-based sessions per key over a stream (R7), exact at every point.
+def event_intervals(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
+    """Sessions of one batch as intervals (key, s, l, n).
 
-    Spark's ``session_window`` runs only in append mode, which holds back the
-    sessions still open when a bounded replay ends. Here each micro-batch
-    is merged with the open sessions of the previous batch (a versioned state
-    table), sessions are formed by gaps-and-islands over intervals, closed
-    ones (last event + gap older than the newest event time minus the allowed
-    lateness) are appended to the output and the rest become the next state
-    version. Versions are keyed by batch id, so a replayed batch rewrites the
-    same files. The result is closed sessions plus the final open ones.
+    Events of a key within one gap-long slot are less than a gap apart, so
+    they are combined first (partial aggregates in every task): a busy key
+    has at most one row per slot in the window that follows.
     """
-    spark = events.sparkSession
-    base = scratch_dir(spark, f"larder/streams/{name}/{uuid.uuid4().hex}")
-    closed_path, state_root = f"{base}/closed", f"{base}/state"
-    gap = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(gap_seconds))
-    versions: list[int] = []
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select(F.col(key), F.col(ts).alias("s"), F.col(ts).alias("l"), F.lit(1).cast("long").alias("n"))
-        iv = new
-        if versions:
-            iv = iv.unionByName(spark.read.parquet(f"{state_root}/v={versions[-1]}"))
-        w = Window.partitionBy(key).orderBy("s", "l")
-        prev_last = F.max("l").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        isl = iv.withColumn("_new", F.when(prev_last.isNull() | (F.col("s") >= prev_last + gap), 1).otherwise(0)) \
-            .withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        sess = isl.groupBy(key, "_i").agg(F.min("s").alias("s"), F.max("l").alias("l"), F.sum("n").alias("n")).drop("_i")
-        horizon = batch.agg(F.max(ts)).scalar() - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lateness_seconds))
-        sess = sess.withColumn("_closed", F.col("l") + gap <= horizon).checkpoint()
-        sess.where("_closed").drop("_closed").withColumn("_batch", F.lit(batch_id)) \
-            .write.mode("overwrite").parquet(f"{closed_path}/b={batch_id}")
-        sess.where(~F.col("_closed")).drop("_closed").write.mode("overwrite").parquet(f"{state_root}/v={batch_id}")
-        versions.append(batch_id)
-
-    q = (events.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    empty = spark.createDataFrame([], f"{key} {events.schema[key].dataType.simpleString()}, s timestamp, l timestamp, n long")
-    parts = [spark.read.parquet(f"{state_root}/v={versions[-1]}")] if versions else [empty]
-    if versions:
-        closed = [f"{closed_path}/b={v}" for v in versions]
-        parts.append(spark.read.parquet(*closed).drop("_batch"))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    return out.select(key, F.col("s").alias("session_start"), (F.col("l") + gap).alias("session_end"),
-                      F.col("n").alias("n_events"))
+    slot = F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts)) / gap_seconds)
+    slots = events.groupBy(key, slot.alias("_slot")).agg(F.min(ts).alias("s"), F.max(ts).alias("l"), F.count(F.lit(1)).alias("n"))
+    return merge_intervals(slots.drop("_slot"), key, gap_seconds)

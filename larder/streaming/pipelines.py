@@ -1,8 +1,8 @@
 """The stateful jobs R1-R8 as functions of a streaming source.
 
-Each takes a streaming DataFrame of the source table, runs the query to
-completion (``availableNow``) and returns the resolved result as a batch
-DataFrame read from the shared checkpoint folder.
+Each takes a streaming DataFrame of the source table, runs what is new in it
+(``availableNow``) and returns the result over all batches so far. Given a
+``location``, a later call with it goes on from there.
 """
 
 from __future__ import annotations
@@ -15,84 +15,92 @@ from larder.plans import analogues as an
 from larder.streaming import jobs as sj
 
 
-def preference_memory(events: DataFrame) -> DataFrame:
-    """D10 incrementally (count / max_by / min_by state per key)."""
-    spark = events.sparkSession
-    fb = an.feedback_from(events)
-    g = (fb.groupBy("user_id", F.col("feedback_type").alias("preference_type"), F.col("entity_name").alias("preference_key"))
-         .agg(F.count(F.lit(1)).alias("frequency"),
-              F.max_by(F.col("entity_type"), F.struct("extracted_at", "feedback_id")).alias("preference_value"),
-              F.max("extracted_at").alias("last_mentioned"),
-              F.min_by(F.struct("extracted_at", "timing"), F.struct("extracted_at", "feedback_id")).alias("first")))
+def preference_memory(events: DataFrame, location: str | None = None) -> DataFrame:
+    """D10 from counts and the first and last mention per key."""
     keys = ["user_id", "preference_type", "preference_key"]
-    latest = sj.read_latest(spark, sj.run_changelog(g, "preference_memory"), keys)
+
+    def partial(batch: DataFrame) -> DataFrame:
+        fb = an.feedback_from(batch)
+        return (fb.groupBy("user_id", F.col("feedback_type").alias("preference_type"), F.col("entity_name").alias("preference_key"))
+                .agg(F.count(F.lit(1)).alias("frequency"),
+                     F.max(F.struct("extracted_at", "feedback_id", "entity_type")).alias("last"),
+                     F.min(F.struct("extracted_at", "feedback_id", "timing")).alias("first")))
+
+    log = sj.run_partials(events, partial, location, "preference_memory")
+    g = log.groupBy(*keys).agg(F.sum("frequency").alias("frequency"), F.max("last").alias("last"), F.min("first").alias("first"))
     expiry = (F.when(F.col("first.timing") == "next_week", F.col("first.extracted_at") + F.make_dt_interval(F.lit(7)))
               .when(F.col("first.timing") == "this_month", F.col("first.extracted_at") + F.make_dt_interval(F.lit(30))))
     conf = F.round(F.least(F.lit(mm.CONF_CAP), F.lit(mm.CONF_START) + F.lit(mm.CONF_STEP) * (F.col("frequency") - 1)), 6)
-    return latest.select(*keys, "preference_value", conf.alias("confidence_score"),
-                         F.col("frequency").cast("long").alias("frequency"), "last_mentioned", expiry.alias("expires_at"))
-
-
-def thread_counters(conversations: DataFrame) -> DataFrame:
-    """R2: D25 incrementally."""
-    msgs = an.messages_from(conversations)
-    return sj.read_latest(conversations.sparkSession, sj.run_changelog(mm.thread_counters(msgs), "thread_counters"), ["thread_id"])
-
-
-def latest_checkpoint(conversations: DataFrame) -> DataFrame:
-    """Newest checkpoint per thread (max_by state)."""
-    msgs = an.messages_from(conversations)
-    cp = msgs.select("thread_id", F.col("message_id").alias("checkpoint_id"), "created_at", F.col("role").alias("checkpoint_data"))
-    return sj.read_latest(conversations.sparkSession, sj.run_changelog(mm.latest_checkpoint(cp), "latest_checkpoint"), ["thread_id"])
-
-
-def weekly_nutrition(events: DataFrame) -> DataFrame:
-    """Weekly means on 7-day tumbling windows starting on Monday (the
-    epoch is a Thursday, so the windows are shifted by 4 days)."""
-    e = sj.event_time(events, "ts").withWatermark("ts", "2 days")
-    g = e.groupBy("user_id", F.window("ts", "7 days", "7 days", "4 days").alias("w")).agg(
-        F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("n"))
-    g = g.select("user_id", sj.wall_date(F.col("w.start")).alias("week_start"), "avg_value", "n")
-    latest = sj.read_latest(events.sparkSession, sj.run_changelog(g, "weekly_nutrition"), ["user_id", "week_start"])
-    return latest.select("user_id", "week_start", F.round("avg_value", 6).alias("avg_value"), F.col("n").cast("long").alias("n"))
-
-
-def daily_trend(events: DataFrame) -> DataFrame:
-    """Daily means per event type on 1-day windows."""
-    e = sj.event_time(events, "ts").withWatermark("ts", "1 day")
-    g = e.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.avg("value").alias("avg_value"),
-                                                                       F.count(F.lit(1)).alias("n"))
-    g = g.select("event_type", sj.wall_date(F.col("w.start")).alias("day"), "avg_value", "n")
-    latest = sj.read_latest(events.sparkSession, sj.run_changelog(g, "eval_trend"), ["event_type", "day"])
-    return latest.select("event_type", "day", F.round("avg_value", 6).alias("avg_value"), F.col("n").cast("long").alias("n"))
-
-
-def dedupe_calls(conversations: DataFrame) -> DataFrame:
-    """E5 with dropDuplicatesWithinWatermark on (thread, tool, query)."""
-    msgs = an.messages_from(conversations).where(F.col("role") == "assistant")
-    calls = msgs.select("thread_id", "created_at", F.lit("search_foods").alias("tool"),
-                        F.concat(F.lit("q"), (F.length("content") % 4).cast("string")).alias("query"))
-    dedup = (sj.event_time(calls, "created_at").withWatermark("created_at", "1 day")
-             .dropDuplicatesWithinWatermark(["thread_id", "tool", "query"]).drop("created_at"))
-    out = sj.run_changelog(dedup, "dedupe_calls", output_mode="append")
-    return conversations.sparkSession.read.parquet(out).select("thread_id", "tool", "query").distinct()
-
-
-def chat_sessions(events: DataFrame, gap_seconds: int = 30 * 60, lateness_seconds: int = 3600) -> DataFrame:
-    """Gap-based sessions per user (foreachBatch sessionizer)."""
-    e = sj.event_time(events.select("user_id", "ts"), "ts")
-    out = sj.sessionize_stream(e, "user_id", "ts", gap_seconds, "chat_sessions", lateness_seconds)
-    return out.select("user_id", sj.wall_ntz(F.col("session_start")).alias("session_start"),
-                      sj.wall_ntz(F.col("session_end")).alias("session_end"),
-                      F.col("n_events").cast("long").alias("n_events"))
-
-
-def feedback_sliding(events: DataFrame) -> DataFrame:
-    """Likes and dislikes over 7-day windows sliding by a day."""
-    fb = an.feedback_from(events).where(F.col("feedback_type").isin("like", "dislike"))
-    g = (sj.event_time(fb, "extracted_at").withWatermark("extracted_at", "1 day")
-         .groupBy(F.window("extracted_at", "7 days", "1 day").alias("w"), "feedback_type")
-         .agg(F.count(F.lit(1)).alias("n")))
-    g = g.select(sj.wall_date(F.col("w.start")).alias("window_start"), "feedback_type", "n")
-    latest = sj.read_latest(events.sparkSession, sj.run_changelog(g, "feedback_sliding"), ["window_start", "feedback_type"])
-    return latest.select("window_start", "feedback_type", F.col("n").cast("long").alias("n"))
+    return g.select(*keys, F.col("last.entity_type").alias("preference_value"), conf.alias("confidence_score"),
+                    F.col("frequency").cast("long").alias("frequency"), F.col("last.extracted_at").alias("last_mentioned"), expiry.alias("expires_at"))
+
+
+def thread_counters(conversations: DataFrame, location: str | None = None) -> DataFrame:
+    """R2: D25 from counts and the latest message per thread."""
+    log = sj.run_partials(conversations, lambda b: mm.thread_counters(an.messages_from(b)), location, "thread_counters")
+    return log.groupBy("thread_id").agg(F.sum("message_count").cast("long").alias("message_count"), F.max("last_message_at").alias("last_message_at"))
+
+
+def latest_checkpoint(conversations: DataFrame, location: str | None = None) -> DataFrame:
+    """The newest checkpoint per thread."""
+    def partial(batch: DataFrame) -> DataFrame:
+        m = an.messages_from(batch)
+        return m.groupBy("thread_id").agg(F.max(F.struct("created_at", F.col("message_id").alias("checkpoint_id"),
+                                                         F.col("role").alias("checkpoint_data"))).alias("c"))
+
+    log = sj.run_partials(conversations, partial, location, "latest_checkpoint")
+    return (log.groupBy("thread_id").agg(F.max("c").alias("c"))
+            .select("thread_id", "c.checkpoint_id", "c.created_at", "c.checkpoint_data"))
+
+
+def _means(events: DataFrame, unit: str, key: str, out: str, location: str | None, name: str) -> DataFrame:
+    def partial(batch: DataFrame) -> DataFrame:
+        return (batch.groupBy(key, F.date_trunc(unit, "ts").cast("date").alias(out))
+                .agg(F.sum("value").alias("total"), F.count("value").alias("n_values"), F.count(F.lit(1)).alias("n")))
+
+    log = sj.run_partials(events, partial, location, name)
+    g = log.groupBy(key, out).agg(F.sum("total").alias("total"), F.sum("n_values").alias("n_values"), F.sum("n").cast("long").alias("n"))
+    return g.select(key, out, F.round(F.try_divide("total", "n_values"), 6).alias("avg_value"), "n")
+
+
+def weekly_nutrition(events: DataFrame, location: str | None = None) -> DataFrame:
+    """Means per user and week (Monday first)."""
+    return _means(events, "week", "user_id", "week_start", location, "weekly_nutrition")
+
+
+def daily_trend(events: DataFrame, location: str | None = None) -> DataFrame:
+    """Means per event type and day."""
+    return _means(events, "day", "event_type", "day", location, "eval_trend")
+
+
+def dedupe_calls(conversations: DataFrame, location: str | None = None) -> DataFrame:
+    """Each (thread, tool, query) once, however far apart its calls are."""
+    def partial(batch: DataFrame) -> DataFrame:
+        calls = an.messages_from(batch).where(F.col("role") == "assistant")
+        return calls.select("thread_id", F.lit("search_foods").alias("tool"),
+                            F.concat(F.lit("q"), (F.length("content") % 4).cast("string")).alias("query")).distinct()
+
+    return sj.run_partials(conversations, partial, location, "dedupe_calls").drop("batch").distinct()
+
+
+def chat_sessions(events: DataFrame, gap_seconds: int = 30 * 60, location: str | None = None) -> DataFrame:
+    """Sessions per user that end with a gap. A batch leaves intervals;
+    intervals of all batches that come within the gap are one session."""
+    log = sj.run_partials(events.select("user_id", "ts"), lambda b: sj.event_intervals(b, "user_id", "ts", gap_seconds), location, "chat_sessions")
+    merged = sj.merge_intervals(log.drop("batch"), "user_id", gap_seconds)
+    return merged.select("user_id", F.col("s").alias("session_start"), (F.col("l") + sj.gap_of(gap_seconds)).alias("session_end"),
+                         F.col("n").cast("long").alias("n_events"))
+
+
+def feedback_sliding(events: DataFrame, location: str | None = None) -> DataFrame:
+    """Likes and dislikes over 7-day windows that slide by a day, from
+    counts per day."""
+    def partial(batch: DataFrame) -> DataFrame:
+        fb = an.feedback_from(batch).where(F.col("feedback_type").isin("like", "dislike"))
+        return fb.groupBy(F.to_date("extracted_at").alias("day"), "feedback_type").agg(F.count(F.lit(1)).alias("n"))
+
+    log = sj.run_partials(events, partial, location, "feedback_sliding")
+    days = log.groupBy("day", "feedback_type").agg(F.sum("n").alias("n"))
+    start = F.explode(F.sequence(F.date_sub("day", 6), F.col("day")))
+    return (days.select(start.alias("window_start"), "feedback_type", "n")
+            .groupBy("window_start", "feedback_type").agg(F.sum("n").cast("long").alias("n")))

@@ -1,109 +1,108 @@
+"""Streams equal their batch twins on a folder of files that is not in time
+order, and after a stop and a restart."""
+
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import memory as mm
 from larder.plans import analogues as an
+from larder.plans.q_streaming import SESSIONS_SQL
 from larder.streaming import jobs as sj
+from larder.streaming import pipelines as sp
 
 SF = "/root/testdata/sf0.001"
 
 
-def _split_copy(spark, name, parts=3):
-    """Copy a table into several files so a replay runs several micro-batches."""
-    d = tempfile.mkdtemp(prefix="larder-stream-src-")
-    df = spark.read.parquet(f"{SF}/{name}.parquet")
-    for i in range(parts):
-        df.where(F.pmod(F.hash(*df.columns[:1]), F.lit(parts)) == i).coalesce(1).write.parquet(f"{d}/part{i}")
-    # flatten into files named <name>.parquet-like: one folder per part, globbed by the reader
-    return d
-
-
-def _stream(spark, d, name):
-    schema = spark.read.parquet(f"{SF}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/part*")
-
-
-def test_thread_counters_stream_equals_batch_over_batches(spark):
-    d = _split_copy(spark, "conversations")
-    msgs = an.messages_from(_stream(spark, d, "conversations"))
-    out = sj.read_latest(spark, sj.run_changelog(mm.thread_counters(msgs), "t_counters"), ["thread_id"])
-    batch = mm.thread_counters(an.messages(spark, SF))
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.select(*out.columns).collect()))
-
-
-def test_sessions_stream_equals_batch_over_batches(spark):
-    d = _split_copy(spark, "events")
-    ev = _stream(spark, d, "events").select("user_id", "ts")
-    out = sj.sessionize_stream(ev, "user_id", "ts", 1800, "t_sessions", lateness_seconds=10 ** 7)
-    got = sorted((r.user_id, r.session_start.replace(tzinfo=None), r.n_events) for r in out.collect())
-    # batch twin: gaps-and-islands over the sorted events in Python
-    rows = sorted((r.user_id, r.ts) for r in spark.read.parquet(f"{SF}/events.parquet").collect())
-    want, cur = [], None
-    for u, t in rows:
-        if cur and cur[0] == u and (t - cur[2]).total_seconds() < 1800:
-            cur = (u, cur[1], t, cur[3] + 1)
-        else:
-            if cur:
-                want.append((cur[0], cur[1], cur[3]))
-            cur = (u, t, t, 1)
-    want.append((cur[0], cur[1], cur[3]))
-    assert got == sorted(want)
-
-
-def _split_by_time(spark, name, col, parts=3):
-    """Time-ordered files: each micro-batch is later than the previous one,
-    so no row is late relative to the watermark."""
-    d = tempfile.mkdtemp(prefix="larder-stream-ts-")
-    df = spark.read.parquet(f"{SF}/{name}.parquet")
-    lo, hi = df.agg(F.min(col), F.max(col)).first()
-    step = (hi - lo) / parts
-    for i in range(parts):
-        a, b = lo + step * i, lo + step * (i + 1)
-        part = df.where((F.col(col) >= a) & ((F.col(col) < b) if i < parts - 1 else F.lit(True)))
-        part.coalesce(1).write.parquet(f"{d}/part{i}")
-    return d
-
-
 def _same(a, b):
     cols = sorted(a.columns)
     key = lambda r: tuple((x is None, str(x)) for x in r)
-    return sorted((tuple(r[c] for c in cols) for r in a.collect()), key=key) == \
+    assert sorted((tuple(r[c] for c in cols) for r in a.collect()), key=key) == \
         sorted((tuple(r[c] for c in cols) for r in b.select(*cols).collect()), key=key)
 
 
-def test_preference_memory_stream_over_batches(spark):
-    from larder.streaming import pipelines as sp
-    d = _split_copy(spark, "events")
-    out = sp.preference_memory(_stream(spark, d, "events"))
-    assert _same(out, mm.preference_memory(an.feedback(spark, SF)))
+def _folder(spark, name):
+    return f"{tempfile.mkdtemp(prefix='larder-stream-')}/{name}.parquet"
 
 
-def test_windowed_streams_over_time_ordered_batches(spark):
-    from larder.streaming import pipelines as sp
-    d = _split_by_time(spark, "events", "ts")
-    weekly = sp.weekly_nutrition(_stream(spark, d, "events"))
-    e = spark.read.parquet(f"{SF}/events.parquet")
-    want = (e.groupBy("user_id", F.date_trunc("week", "ts").cast("date").alias("week_start"))
-            .agg(F.round(F.avg("value"), 6).alias("avg_value"), F.count(F.lit(1)).alias("n")))
-    assert _same(weekly, want)
-    sliding = sp.feedback_sliding(_stream(spark, d, "events"))
+def _add(spark, folder, name, part, parts=3):
+    """One third of a table's rows, from all over its time."""
+    df = spark.read.parquet(f"{SF}/{name}.parquet")
+    df.where(F.pmod(F.hash(*df.columns[:1]), F.lit(parts)) == part).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _sliding(spark):
     fb = an.feedback(spark, SF).where(F.col("feedback_type").isin("like", "dislike"))
-    days = fb.select("feedback_type", F.explode(F.sequence(F.date_sub(F.to_date("extracted_at"), 6),
-                                                             F.to_date("extracted_at"))).alias("window_start"))
-    want2 = days.groupBy("window_start", "feedback_type").agg(F.count(F.lit(1)).alias("n"))
-    assert _same(sliding, want2)
+    days = F.explode(F.sequence(F.date_sub(F.to_date("extracted_at"), 6), F.to_date("extracted_at")))
+    return fb.select("feedback_type", days.alias("window_start")).groupBy("window_start", "feedback_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def test_empty_stream_reads_back_empty(spark):
-    from larder.streaming import pipelines as sp
-    d = tempfile.mkdtemp(prefix="larder-stream-empty-")
-    spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(f"{d}/part0")
-    assert sp.thread_counters(_stream(spark, _empty_conv(spark), "conversations")).count() == 0
-    assert sp.chat_sessions(_stream(spark, d, "events")).count() == 0
+def _means(spark, unit, key, out):
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    return e.groupBy(key, F.date_trunc(unit, "ts").cast("date").alias(out)).agg(F.round(F.avg("value"), 6).alias("avg_value"), F.count(F.lit(1)).alias("n"))
+
+
+def _sessions(spark):
+    spark.read.parquet(f"{SF}/events.parquet").createOrReplaceTempView("events")
+    return spark.sql(SESSIONS_SQL)
 
 
-def _empty_conv(spark):
-    d = tempfile.mkdtemp(prefix="larder-stream-empty-conv-")
-    spark.read.parquet(f"{SF}/conversations.parquet").limit(0).write.parquet(f"{d}/part0")
-    return d
+def _checkpoints(spark):
+    m = an.messages(spark, SF)
+    return mm.latest_checkpoint(m.select("thread_id", F.col("message_id").alias("checkpoint_id"), "created_at", F.col("role").alias("checkpoint_data")))
+
+
+def _calls(spark):
+    m = an.messages(spark, SF).where(F.col("role") == "assistant")
+    return m.select("thread_id", F.lit("search_foods").alias("tool"), F.concat(F.lit("q"), (F.length("content") % 4).cast("string")).alias("query")).distinct()
+
+
+TWINS = {
+    "preference_memory": ("events", lambda s: mm.preference_memory(an.feedback(s, SF))),
+    "thread_counters": ("conversations", lambda s: mm.thread_counters(an.messages(s, SF))),
+    "latest_checkpoint": ("conversations", _checkpoints),
+    "weekly_nutrition": ("events", lambda s: _means(s, "week", "user_id", "week_start")),
+    "daily_trend": ("events", lambda s: _means(s, "day", "event_type", "day")),
+    "dedupe_calls": ("conversations", _calls),
+    "chat_sessions": ("events", _sessions),
+    "feedback_sliding": ("events", _sliding),
+}
+
+
+@pytest.mark.parametrize("job", sorted(TWINS))
+def test_stream_equals_batch_after_restart(spark, job):
+    name, twin = TWINS[job]
+    folder, location = _folder(spark, name), tempfile.mkdtemp(prefix="larder-stream-job-")
+    run = getattr(sp, job)
+
+    def source():
+        return sj.stream_table(spark, folder.rsplit("/", 1)[0], name)
+    _add(spark, folder, name, 2)
+    _add(spark, folder, name, 0)
+    before = run(source(), location=location).count()
+    _add(spark, folder, name, 1)  # a new run at the same place takes only the new file
+    _same(run(source(), location=location), twin(spark))
+    log = spark.read.parquet(f"{location}/partials")
+    assert {r.batch for r in log.select("batch").distinct().collect()} == {0, 1, 2} and before > 0
+    _same(run(source(), location=location), twin(spark))
+
+
+def test_stream_of_one_file(spark):
+    _same(sp.thread_counters(sj.stream_table(spark, SF, "conversations")), mm.thread_counters(an.messages(spark, SF)))
+
+
+def test_empty_stream_reads_back_empty(spark):
+    folder = _folder(spark, "conversations")
+    spark.read.parquet(f"{SF}/conversations.parquet").limit(0).write.parquet(folder)
+    assert sp.thread_counters(sj.stream_table(spark, folder.rsplit("/", 1)[0], "conversations")).count() == 0
+
+
+def test_session_slots_and_merge(spark):
+    """Intervals of batches that interleave become the sessions of all events."""
+    rows = [(1, f"2024-01-01 00:{m:02d}:00") for m in (0, 29, 58)] + [(1, "2024-01-01 01:28:00"), (1, "2024-01-01 01:27:59"), (2, "2024-01-01 05:00:00")]
+    e = spark.createDataFrame(rows, "user_id long, t string").select("user_id", F.col("t").cast("timestamp_ntz").alias("ts"))
+    odd = sj.event_intervals(e.where("minute(ts) % 2 = 1"), "user_id", "ts", 1800)
+    even = sj.event_intervals(e.where("minute(ts) % 2 = 0"), "user_id", "ts", 1800)
+    got = sj.merge_intervals(odd.unionByName(even), "user_id", 1800)
+    assert sorted(r.n for r in got.collect()) == sorted(r.n for r in sj.event_intervals(e, "user_id", "ts", 1800).collect()) == [1, 5]
