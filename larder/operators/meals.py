@@ -186,9 +186,9 @@ def next_future_plan(plans: DataFrame, as_of: str) -> DataFrame:
 
 
 def previous_meals(daily, details, plans, limit: int = 28) -> DataFrame:
-    """The user's ``limit`` most recent meals as ``Type: name``, newest
-    plan first, then day and meal type; a per-user top-k."""
-    j = meals_three_way(daily, details, plans)
+    """The user's ``limit`` most recent meals of ACTIVE plans as ``Type:
+    name``, newest plan first, then day and meal type; a per-user top-k."""
+    j = meals_three_way(daily, details, plans.where(F.col("status") == "ACTIVE"))
     label = F.concat(F.upper(F.substring("meal_type", 1, 1)), F.lower(F.expr("substring(meal_type, 2)")),
                      F.lit(": "), F.col("meal_name"))
     w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("plan_id").desc(),

@@ -178,11 +178,11 @@ def dedupe_tool_calls(calls: DataFrame) -> DataFrame:
 
 def user_context_join(users: DataFrame, inventory: DataFrame, prev_meals: DataFrame,
                       top_prefs: DataFrame) -> DataFrame:
-    """One row per user: profile, inventory size, last meals (bounded
+    """One row per user: profile, items in stock, last meals (bounded
     top-k list), preference text per bucket (bounded by W14). Unbounded
     sides are reduced to counts before the join; only bounded lists are
     collected."""
-    inv = inventory.groupBy("user_id").agg(F.count(F.lit(1)).cast("long").alias("inventory_items"))
+    inv = inventory.where(F.col("quantity") > 0).groupBy("user_id").agg(F.count(F.lit(1)).cast("long").alias("inventory_items"))
     meals = prev_meals.groupBy("user_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("meal_rank", "meal_label"))),
                                  lambda x: x["meal_label"]), ", ").alias("previous_meals"))

@@ -169,6 +169,9 @@ def category_item_counts(inv: DataFrame) -> DataFrame:
     return per.join(tot, "user_id")
 
 
+# The totals of a shopping list.
+SHOPPING_TOTALS = ["total_estimated_cost", "total_items_from_inventory", "total_items_to_purchase"]
+
 INVENTORY_ITEM = T.StructType([
     T.StructField("item_name", T.StringType()), T.StructField("quantity", T.StringType()),
     T.StructField("unit", T.StringType()), T.StructField("category", T.StringType()),
@@ -181,7 +184,8 @@ def normalize_inventory(replies: DataFrame, text_col: str = "content") -> DataFr
     Code fences are stripped (text between the first two fences, minus a
     leading ``json``), an object becomes a one-element list, categories
     outside the valid list become Other, defaults fill gaps; text that does
-    not parse becomes one item named by its first 50 characters.
+    not parse, or has a quantity that is no number, becomes one item named by
+    its first 50 characters.
     """
     t = F.col(text_col)
     inner = F.when(F.contains(t, F.lit("```")), F.split(t, "```", 3)[1]).otherwise(t)
@@ -201,7 +205,8 @@ def normalize_inventory(replies: DataFrame, text_col: str = "content") -> DataFr
          .alias("category")))
     fallback = F.array(F.struct(F.substring(t, 1, 50).alias("item"), F.lit(1.0).alias("quantity"),
                                 F.lit("unit").alias("unit"), F.lit("Other").alias("category")))
-    rows = F.when(items.isNotNull(), good).otherwise(fallback)
+    bad = F.exists(items, lambda x: x["quantity"].isNotNull() & x["quantity"].try_cast("double").isNull())
+    rows = F.when(items.isNotNull() & ~F.coalesce(bad, F.lit(False)), good).otherwise(fallback)
     keep = [c for c in replies.columns if c != text_col]
     return (replies.select(*keep, F.posexplode(rows).alias("item_pos", "it"))
             .select(*keep, "item_pos", "it.item", "it.quantity", "it.unit", "it.category"))
@@ -211,57 +216,70 @@ def shopping_consolidation(b1: DataFrame, b2: DataFrame, key_cols=("plan_id",))
     """Merge two shopping batches per (key, category, lower(item)).
 
     Inputs: key columns, category, item, quantity_to_purchase and
-    total_quantity_needed (text), unit, pos (order inside the batch).
-    Matches update the **last** batch-1 row of the name; both quantities
-    are summed only when every value involved parses as a number (K9),
-    otherwise the batch-1 row is kept as is. Batch-2 names absent from
-    batch 1 are added once (their first row, carrying the batch-2 sums under
-    the same rule). Units are not compared.
+    total_quantity_needed (text; NULL stands for a missing one and counts as
+    0), unit, pos (order inside the batch). The base row of a name is its
+    **last** batch-1 row, or else its first batch-2 row. The other batch-2
+    rows are added to it one by one: a row whose quantity is no number is
+    skipped, and one whose total is no number adds its quantity only (K9).
+    Nothing is added to a base whose own value is no number, and a value to
+    which nothing is added keeps its text. Units are not compared.
 
     Plan: both batches are stacked and reduced with one conditional
     aggregate per key (partial aggregation before the shuffle), then the
-    batch-1 rows are joined back to it on the same key; the per-item
-    dictionary loop becomes two keyed stages that scale with the lists.
+    batch-1 rows are joined back to it on the same key.
     """
     keys = list(key_cols) + ["category", "item_key"]
-    cats = SHOPPING_CATEGORIES
+
+    def number(c: str) -> Column:
+        return F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(F.col(c).try_cast("double"))
 
     def prep(b, n):
-        return (b.where(F.col("category").isin(*cats))
+        return (b.where(F.col("category").isin(*SHOPPING_CATEGORIES))
                 .withColumn("item_key", F.lower("item")).withColumn("_b", F.lit(n))
-                .withColumn("q", F.col("quantity_to_purchase").try_cast("double"))
-                .withColumn("t", F.col("total_quantity_needed").try_cast("double")))
+                .withColumn("q", number("quantity_to_purchase")).withColumn("t", number("total_quantity_needed")))
 
     p1, p2 = prep(b1, 1), prep(b2, 2)
     both = p1.unionByName(p2)
     in1, in2 = F.col("_b") == 1, F.col("_b") == 2
+    q2, t2 = in2 & F.col("q").isNotNull(), in2 & F.col("q").isNotNull() & F.col("t").isNotNull()
     agg = both.groupBy(*keys).agg(
         F.max(F.when(in1, F.col("pos"))).alias("_last_pos"),
-        F.min_by(F.when(in2, F.struct("item", "quantity_to_purchase", "total_quantity_needed", "unit")),
+        F.min_by(F.when(in2, F.struct("item", "quantity_to_purchase", "total_quantity_needed", "unit", "q", "t")),
                  F.when(in2, F.col("pos"))).alias("first2"),
-        F.sum(F.when(in2, F.col("q"))).alias("q2"), F.sum(F.when(in2, F.col("t"))).alias("t2"),
-        F.coalesce(F.bool_and(F.when(in2, F.col("q").isNotNull() & F.col("t").isNotNull())), F.lit(True)).alias("ok2"),
-        F.count(F.when(in2, 1)).alias("n2"))
+        F.sum(F.when(q2, F.col("q"))).alias("q2"), F.count(F.when(q2, 1)).alias("nq2"),
+        F.sum(F.when(t2, F.col("t"))).alias("t2"), F.count(F.when(t2, 1)).alias("nt2"))
+
+    def added(own: Column, also: Column, n: Column, least: int, total: Column, text: Column) -> Column:
+        return F.when(own.isNotNull() & also.isNotNull() & (n >= least), total.cast("string")).otherwise(text)
+
     j = p1.join(agg, keys, "inner")
-    matched = (F.col("pos") == F.col("_last_pos")) & (F.col("n2") > 0) & F.col("ok2") & F.col("q").isNotNull() & F.col("t").isNotNull()
+    base = F.col("pos") == F.col("_last_pos")
+    q, t = F.when(base, F.col("q")), F.when(base, F.col("t"))
     merged1 = j.select(*keys, "item", "unit", "pos",
-                       F.when(matched, (F.col("q") + F.col("q2")).cast("string")).otherwise(F.col("quantity_to_purchase"))
-                        .alias("quantity_to_purchase"),
-                       F.when(matched, (F.col("t") + F.col("t2")).cast("string")).otherwise(F.col("total_quantity_needed"))
-                        .alias("total_quantity_needed"),
+                       added(q, q, F.col("nq2"), 1, q + F.col("q2"), F.col("quantity_to_purchase")).alias("quantity_to_purchase"),
+                       added(t, q, F.col("nt2"), 1, t + F.col("t2"), F.col("total_quantity_needed")).alias("total_quantity_needed"),
                        F.lit(1).alias("source_batch"))
-    only2 = agg.where(F.col("_last_pos").isNull())
-    ok2 = F.col("ok2") & (F.col("n2") > 1)
-    merged2 = only2.select(*keys, F.col("first2.item").alias("item"), F.col("first2.unit").alias("unit"),
-                           F.lit(None).cast("long").alias("pos"),
-                           F.when(ok2, F.col("q2").cast("string")).otherwise(F.col("first2.quantity_to_purchase"))
-                            .alias("quantity_to_purchase"),
-                           F.when(ok2, F.col("t2").cast("string")).otherwise(F.col("first2.total_quantity_needed"))
-                            .alias("total_quantity_needed"),
-                           F.lit(2).alias("source_batch"))
+    # the base is among the batch-2 rows that the sums hold
+    q, t = F.col("first2.q"), F.col("first2.t")
+    merged2 = agg.where(F.col("_last_pos").isNull()).select(
+        *keys, F.col("first2.item").alias("item"), F.col("first2.unit").alias("unit"), F.lit(None).cast("long").alias("pos"),
+        added(q, q, F.col("nq2"), 2, F.col("q2"), F.col("first2.quantity_to_purchase")).alias("quantity_to_purchase"),
+        added(t, q, F.col("nt2"), 2, F.col("t2"), F.col("first2.total_quantity_needed")).alias("total_quantity_needed"),
+        F.lit(2).alias("source_batch"))
     return merged1.unionByName(merged2)
 
 
+def shopping_totals(t1: DataFrame, t2: DataFrame, key_cols=("plan_id",)) -> DataFrame:
+    """D6, totals: estimated cost, items from the inventory and items to buy
+    of both batches, summed per key of batch 1; a missing total counts as 0
+    and so does a missing batch 2."""
+    keys = list(key_cols)
+    second = t2.select(*keys, *[F.col(c).alias(f"_{c}") for c in SHOPPING_TOTALS])
+    return t1.join(second, keys, "left").select(
+        *keys, *[(F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).cast("double" if c == "total_estimated_cost" else "long").alias(c)
+                 for c in SHOPPING_TOTALS])
+
+
 def shopping_merge_join(b1: DataFrame, b2: DataFrame, key_cols=("plan_id",)) -> DataFrame:
     """Which (key, category, lower(item)) occur in batch 1, 2 or both."""
     keys = list(key_cols) + ["category", "item_key"]

@@ -116,10 +116,11 @@ def share_found(text: Column, terms: Column) -> Column:
 
 def factual_accuracy(response: Column, truth: Column) -> Column:
     """First number in the response vs the true value:
-    max(0, 1 - |p - t| / t)."""
+    max(0, 1 - |p - t| / t); NULL (not counted) without a number or a truth."""
     p = F.regexp_extract(response, r"(\d+\.?\d*)", 1)
     pv = F.when(p == "", F.lit(None)).otherwise(p).try_cast("double")
-    return F.greatest(F.lit(0.0), F.lit(1.0) - F.try_divide(F.abs(pv - truth), truth))
+    score = F.lit(1.0) - F.try_divide(F.abs(pv - truth), truth)
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), score))
 
 
 # Candidate context sizes and the score weights.

@@ -172,7 +172,7 @@ def q_overall_quality(spark, d):
 
 @register("factual_accuracy_stats", f"""WITH f AS (SELECT fdc_id, food_name, category, calories, string_split(food_name, ' ')[-1] AS word FROM ({MART_FOODS})),
 t AS (SELECT word, avg(calories) AS truth FROM (SELECT unnest(list_distinct(string_split(lower(food_name), ' '))) AS word, calories FROM f) GROUP BY word),
-a AS (SELECT f.category, greatest(0.0, 1.0 - abs(CAST(trunc(f.calories) AS BIGINT) + 7 - t.truth) / t.truth) AS accuracy FROM f JOIN t ON f.word = t.word)
+a AS (SELECT f.category, CASE WHEN f.fdc_id % 11 <> 0 THEN greatest(0.0, 1.0 - abs(CAST(trunc(f.calories) AS BIGINT) + 7 - t.truth) / t.truth) END AS accuracy FROM f JOIN t ON f.word = t.word)
 SELECT category, round(avg(accuracy), 6) AS mean_accuracy, round(min(accuracy), 6) AS min_accuracy, round(max(accuracy), 6) AS max_accuracy
 FROM a GROUP BY category""")
 def q_factual_accuracy_stats(spark, d):

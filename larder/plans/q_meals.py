@@ -168,7 +168,8 @@ def q_next_future_plan(spark, d):
   SELECT dm.user_id, dm.plan_id, dm.day_number, md.meal_type, md.detail_id, md.meal_name,
     ROW_NUMBER() OVER (PARTITION BY dm.user_id ORDER BY mp.created_at DESC, dm.plan_id DESC, dm.day_number,
                        md.meal_type, md.detail_id) AS rn
-  FROM ({DAILY}) dm JOIN ({DETAILS}) md ON dm.meal_id = md.meal_id JOIN ({PLANS}) mp ON dm.plan_id = mp.plan_id)
+  FROM ({DAILY}) dm JOIN ({DETAILS}) md ON dm.meal_id = md.meal_id JOIN ({PLANS}) mp ON dm.plan_id = mp.plan_id
+  WHERE mp.status = 'ACTIVE')
 WHERE rn <= 28""")
 def q_previous_meals(spark, d):
     return ml.previous_meals(*_frames(spark, d)).select(

@@ -148,7 +148,8 @@ def q_dedupe_tool_calls(spark, d):
 PREV_MEALS_SQL = f"""SELECT user_id, upper(left(meal_type, 1)) || lower(substr(meal_type, 2)) || ': ' || meal_name AS meal_label, rn AS meal_rank FROM (
   SELECT dm.user_id, md.meal_type, md.meal_name, ROW_NUMBER() OVER (PARTITION BY dm.user_id ORDER BY mp.created_at DESC, dm.plan_id DESC,
     dm.day_number, md.meal_type, md.detail_id) AS rn
-  FROM ({an.DAILY_MEALS_SQL}) dm JOIN ({an.MEAL_DETAILS_SQL}) md ON dm.meal_id = md.meal_id JOIN ({an.MEAL_PLANS_SQL}) mp ON dm.plan_id = mp.plan_id)
+  FROM ({an.DAILY_MEALS_SQL}) dm JOIN ({an.MEAL_DETAILS_SQL}) md ON dm.meal_id = md.meal_id JOIN ({an.MEAL_PLANS_SQL}) mp ON dm.plan_id = mp.plan_id
+  WHERE mp.status = 'ACTIVE')
 WHERE rn <= 28"""
 
 
@@ -159,7 +160,7 @@ def _btxt(b):
 @register("user_context_join", f"""SELECT u.user_id, u.username, COALESCE(i.n, 0) AS inventory_items, m.previous_meals,
   p.likes_text, p.dislikes_text, p.cuisines_text, p.dietary_text, p.temporal_text
 FROM ({an.USERS_SQL}) u
-LEFT JOIN (SELECT user_id, CAST(COUNT(*) AS BIGINT) AS n FROM ({an.INVENTORY_SQL}) GROUP BY user_id) i ON u.user_id = i.user_id
+LEFT JOIN (SELECT user_id, CAST(COUNT(*) AS BIGINT) AS n FROM ({an.INVENTORY_SQL}) WHERE quantity > 0 GROUP BY user_id) i ON u.user_id = i.user_id
 LEFT JOIN (SELECT user_id, string_agg(meal_label, ', ' ORDER BY meal_rank) AS previous_meals FROM ({PREV_MEALS_SQL}) GROUP BY user_id) m ON u.user_id = m.user_id
 LEFT JOIN (SELECT user_id, {', '.join(_btxt(b) for b, _ in mm.BUCKET_LIMITS)} FROM ({TOPK_SQL}) GROUP BY user_id) p ON u.user_id = p.user_id""")
 def q_user_context_join(spark, d):
@@ -172,7 +173,7 @@ def q_user_context_join(spark, d):
 
 INV_CATS_SQL = f"""SELECT user_id, string_agg(category || ': ' || CAST(n AS VARCHAR), ', ' ORDER BY category) AS inventory FROM (
   SELECT user_id, CASE WHEN category IS NULL OR category = '' THEN 'Other' ELSE category END AS category, COUNT(*) AS n
-  FROM ({an.INVENTORY_SQL}) GROUP BY 1, 2) GROUP BY user_id"""
+  FROM ({an.INVENTORY_SQL}) WHERE quantity > 0 GROUP BY 1, 2) GROUP BY user_id"""
 
 
 @register("user_prompt_rows", f"""WITH t AS ({__import__('larder.plans.q_nutrition', fromlist=['x']).targets_sql()}),
@@ -188,7 +189,7 @@ def q_user_prompt_rows(spark, d):
     from larder.operators import nutrition as nu
     from larder.operators import pantry as pt
     t = nu.nutrition_targets(an.users(spark, d), spark)
-    inv = an.inventory(spark, d).withColumn("category", pt.inventory_category(F.col("category")))
+    inv = an.inventory(spark, d).where(F.col("quantity") > 0).withColumn("category", pt.inventory_category(F.col("category")))
     cats = inv.groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("n"))
     inv_txt = cats.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("category", "n"))),
                                                                    lambda x: F.concat(x["category"], F.lit(": "), x["n"].cast("string"))), ", ").alias("inventory"))

@@ -94,7 +94,7 @@ def _replies(spark, d):
                                        F.lit('", "quantity": "2", "category": "Beverages"}]\n```\nthanks')))
                .when(k == 1, obj)
                .when(k == 2, F.concat(F.lit("I could not read the photo of "), name, F.lit(" on the shelf, sorry about that.")))
-               .otherwise(F.concat(F.lit('[{"quantity": '), size, F.lit(', "category": "Tools"}, {"item_name": "'), name,
+               .otherwise(F.concat(F.lit('[{"quantity": '), F.when(F.col("p_partkey") % 8 == 7, F.lit('"two"')).otherwise(size), F.lit(', "category": "Tools"}, {"item_name": "'), name,
                                    F.lit('"}]'))))
     return p.select(F.col("p_partkey").alias("reply_id"), content.alias("content"))
 
@@ -103,7 +103,7 @@ _REPLIES_SQL = """SELECT p_partkey AS reply_id, CASE p_partkey % 4
   WHEN 0 THEN 'Here you go:' || chr(10) || '```json' || chr(10) || '[' || '{"item_name": "' || p_name || '", "quantity": ' || CAST(p_size AS VARCHAR) || ', "unit": "pcs", "category": "Produce"}' || ', {"item_name": "' || p_brand || '", "quantity": "2", "category": "Beverages"}]' || chr(10) || '```' || chr(10) || 'thanks'
   WHEN 1 THEN '{"item_name": "' || p_name || '", "quantity": ' || CAST(p_size AS VARCHAR) || ', "unit": "pcs", "category": "Produce"}'
   WHEN 2 THEN 'I could not read the photo of ' || p_name || ' on the shelf, sorry about that.'
-  ELSE '[{"quantity": ' || CAST(p_size AS VARCHAR) || ', "category": "Tools"}, {"item_name": "' || p_name || '"}]' END AS content FROM part"""
+  ELSE '[{"quantity": ' || CASE WHEN p_partkey % 8 = 7 THEN '"two"' ELSE CAST(p_size AS VARCHAR) END || ', "category": "Tools"}, {"item_name": "' || p_name || '"}]' END AS content FROM part"""
 
 _VALID = ", ".join(f"'{c}'" for c in pt.VALID_INVENTORY_CATEGORIES)
 
@@ -113,9 +113,9 @@ b AS (SELECT reply_id, content, regexp_replace(CASE WHEN starts_with(i, 'json')
       FROM (SELECT reply_id, content, CASE WHEN contains(content, '```') THEN split_part(content, '```', 2) ELSE content END AS i FROM r)),
 k AS (SELECT reply_id, content, CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN '[' || body || ']'
       WHEN json_valid(body) AND json_type(body) = 'ARRAY' THEN body END AS arr FROM b),
-l AS (SELECT reply_id, CASE WHEN arr IS NOT NULL THEN
-        from_json(arr, '[{{"item_name":"VARCHAR","quantity":"VARCHAR","unit":"VARCHAR","category":"VARCHAR"}}]')
-      ELSE [{{'item_name': substr(content, 1, 50), 'quantity': '1', 'unit': 'unit', 'category': 'Other'}}] END AS items FROM k),
+j AS (SELECT reply_id, content, from_json(arr, '[{{"item_name":"VARCHAR","quantity":"VARCHAR","unit":"VARCHAR","category":"VARCHAR"}}]') AS items FROM k),
+l AS (SELECT reply_id, CASE WHEN items IS NOT NULL AND len(list_filter(items, lambda x: x.quantity IS NOT NULL AND TRY_CAST(x.quantity AS DOUBLE) IS NULL)) = 0 THEN items
+      ELSE [{{'item_name': substr(content, 1, 50), 'quantity': '1', 'unit': 'unit', 'category': 'Other'}}] END AS items FROM j),
 u AS (SELECT reply_id, generate_subscripts(items, 1) - 1 AS item_pos, unnest(items) AS it FROM l)
 SELECT reply_id, CAST(item_pos AS INTEGER) AS item_pos, COALESCE(it.item_name, 'Unknown Item') AS item,
   COALESCE(TRY_CAST(it.quantity AS DOUBLE), 1.0) AS quantity, COALESCE(it.unit, 'unit') AS unit,
@@ -135,9 +135,9 @@ def _batches(spark, d):
     cat = F.element_at(F.array(*[F.lit(c) for c in cats]), (F.col("l_partkey") % 8 + 1).cast("int"))
     rows = j.select(F.col("l_orderkey").alias("plan_id"), cat.alias("category"),
                     F.when(F.col("l_linenumber") >= 5, F.upper("p_name")).otherwise(F.col("p_name")).alias("item"),
-                    F.when(F.col("l_linenumber") == 3, F.lit("a few")).otherwise(F.col("l_quantity").cast("string"))
+                    F.when(F.col("l_linenumber") % 4 == 3, F.lit("a few")).when((F.col("l_linenumber") == 6) & (F.col("l_partkey") % 3 == 0), F.lit(None).cast("string")).otherwise(F.col("l_quantity").cast("string"))
                      .alias("quantity_to_purchase"),
-                    (F.col("l_quantity") + 1).cast("string").alias("total_quantity_needed"),
+                    F.when((F.col("l_linenumber") == 5) & (F.col("l_partkey") % 2 == 0), F.lit("some")).otherwise((F.col("l_quantity") + 1).cast("string")).alias("total_quantity_needed"),
                     F.lit("pcs").alias("unit"),
                     (F.col("l_linenumber") * F.lit(10 ** 12) + F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("pos"),
                     "l_linenumber")
@@ -148,29 +148,33 @@ def _batches(spark, d):
 _CATS = ", ".join(f"'{c}'" for c in pt.SHOPPING_CATEGORIES + ["snacks"])
 _BATCH_SQL = f"""SELECT l_orderkey AS plan_id, [{_CATS}][l_partkey % 8 + 1] AS category,
   CASE WHEN l_linenumber >= 5 THEN upper(p_name) ELSE p_name END AS item,
-  CASE WHEN l_linenumber = 3 THEN 'a few' ELSE CAST(l_quantity AS VARCHAR) END AS quantity_to_purchase,
-  CAST(l_quantity + 1 AS VARCHAR) AS total_quantity_needed, 'pcs' AS unit,
+  CASE WHEN l_linenumber % 4 = 3 THEN 'a few' WHEN l_linenumber = 6 AND l_partkey % 3 = 0 THEN NULL ELSE CAST(l_quantity AS VARCHAR) END AS quantity_to_purchase,
+  CASE WHEN l_linenumber = 5 AND l_partkey % 2 = 0 THEN 'some' ELSE CAST(l_quantity + 1 AS VARCHAR) END AS total_quantity_needed, 'pcs' AS unit,
   l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS pos, l_linenumber
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 _VALIDCATS = ", ".join(f"'{c}'" for c in pt.SHOPPING_CATEGORIES)
-_B1 = f"SELECT *, lower(item) AS item_key, TRY_CAST(quantity_to_purchase AS DOUBLE) AS q, TRY_CAST(total_quantity_needed AS DOUBLE) AS t FROM ({_BATCH_SQL}) WHERE l_linenumber <= 4 AND category IN ({_VALIDCATS})"
-_B2 = f"SELECT *, lower(item) AS item_key, TRY_CAST(quantity_to_purchase AS DOUBLE) AS q, TRY_CAST(total_quantity_needed AS DOUBLE) AS t FROM ({_BATCH_SQL}) WHERE l_linenumber >= 5 AND category IN ({_VALIDCATS})"
+_B1 = f"SELECT *, lower(item) AS item_key, TRY_CAST(COALESCE(quantity_to_purchase, '0') AS DOUBLE) AS q, TRY_CAST(COALESCE(total_quantity_needed, '0') AS DOUBLE) AS t FROM ({_BATCH_SQL}) WHERE l_linenumber <= 4 AND category IN ({_VALIDCATS})"
+_B2 = f"SELECT *, lower(item) AS item_key, TRY_CAST(COALESCE(quantity_to_purchase, '0') AS DOUBLE) AS q, TRY_CAST(COALESCE(total_quantity_needed, '0') AS DOUBLE) AS t FROM ({_BATCH_SQL}) WHERE l_linenumber >= 5 AND category IN ({_VALIDCATS})"
 
 
+# Base rows with what the other batch-2 rows of the name add.
 @register("shopping_consolidation", f"""WITH b1 AS ({_B1}), b2 AS ({_B2}),
-a2 AS (SELECT plan_id, category, item_key, arg_min(item, pos) AS item2, arg_min(quantity_to_purchase, pos) AS qp2,
-  arg_min(total_quantity_needed, pos) AS tq2, arg_min(unit, pos) AS unit2, SUM(q) AS q2, SUM(t) AS t2,
-  bool_and(q IS NOT NULL AND t IS NOT NULL) AS ok2, COUNT(*) AS n2 FROM b2 GROUP BY 1, 2, 3),
-l1 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY plan_id, category, item_key ORDER BY pos DESC) = 1 AS is_last FROM b1)
-SELECT l1.plan_id, l1.category, l1.item_key, l1.item, l1.unit,
-  CASE WHEN is_last AND ok2 AND q IS NOT NULL AND t IS NOT NULL THEN CAST(q + q2 AS VARCHAR) ELSE quantity_to_purchase END AS quantity_to_purchase,
-  CASE WHEN is_last AND ok2 AND q IS NOT NULL AND t IS NOT NULL THEN CAST(t + t2 AS VARCHAR) ELSE total_quantity_needed END AS total_quantity_needed,
-  1 AS source_batch
-FROM l1 LEFT JOIN a2 ON l1.plan_id = a2.plan_id AND l1.category = a2.category AND l1.item_key = a2.item_key
-UNION ALL
-SELECT a2.plan_id, a2.category, a2.item_key, item2, unit2,
-  CASE WHEN ok2 AND n2 > 1 THEN CAST(q2 AS VARCHAR) ELSE qp2 END, CASE WHEN ok2 AND n2 > 1 THEN CAST(t2 AS VARCHAR) ELSE tq2 END, 2
-FROM a2 WHERE NOT EXISTS (SELECT 1 FROM b1 WHERE b1.plan_id = a2.plan_id AND b1.category = a2.category AND b1.item_key = a2.item_key)""")
+base AS (
+  SELECT plan_id, category, item_key, item, unit, quantity_to_purchase, total_quantity_needed, q, t, pos, 1 AS source_batch,
+    pos = max(pos) OVER (PARTITION BY plan_id, category, item_key) AS takes FROM b1
+  UNION ALL
+  SELECT plan_id, category, item_key, item, unit, quantity_to_purchase, total_quantity_needed, q, t, pos, 2, TRUE FROM b2
+  WHERE NOT EXISTS (FROM b1 WHERE b1.plan_id = b2.plan_id AND b1.category = b2.category AND b1.item_key = b2.item_key)
+  QUALIFY row_number() OVER (PARTITION BY plan_id, category, item_key ORDER BY pos) = 1),
+more AS (
+  SELECT base.plan_id, base.category, base.item_key, base.pos, sum(b2.q) AS q2, sum(CASE WHEN b2.q IS NOT NULL THEN b2.t END) AS t2
+  FROM base JOIN b2 ON base.takes AND base.plan_id = b2.plan_id AND base.category = b2.category AND base.item_key = b2.item_key
+    AND NOT (base.source_batch = 2 AND base.pos = b2.pos) GROUP BY 1, 2, 3, 4)
+SELECT base.plan_id, base.category, base.item_key, item, unit,
+  CASE WHEN q + q2 IS NOT NULL THEN CAST(q + q2 AS VARCHAR) ELSE quantity_to_purchase END AS quantity_to_purchase,
+  CASE WHEN q IS NOT NULL AND t + t2 IS NOT NULL THEN CAST(t + t2 AS VARCHAR) ELSE total_quantity_needed END AS total_quantity_needed, source_batch
+FROM base LEFT JOIN more ON more.plan_id = base.plan_id AND more.category = base.category AND more.item_key = base.item_key
+  AND more.pos = base.pos AND base.takes""")
 def q_shopping_consolidation(spark, d):
     b1, b2 = _batches(spark, d)
     return pt.shopping_consolidation(b1, b2).drop("pos")
@@ -218,3 +222,19 @@ def q_servings_join(spark, d):
 FROM ({_SERV_SQL}) GROUP BY profile_id""")
 def q_profile_totals(spark, d):
     return pt.profile_totals(pt.servings_join(_profiles(spark, d), _food_table(spark, d)))
+
+
+@register("shopping_totals", """WITH t AS (SELECT l_orderkey AS plan_id, l_linenumber >= 5 AS second,
+    sum(CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_extendedprice END) AS cost, sum(l_linenumber) AS inv, count(*) AS buy FROM lineitem GROUP BY 1, 2)
+SELECT a.plan_id, round(coalesce(a.cost, 0) + coalesce(b.cost, 0), 4) AS total_estimated_cost,
+  CAST(a.inv + coalesce(b.inv, 0) AS BIGINT) AS total_items_from_inventory, CAST(a.buy + coalesce(b.buy, 0) AS BIGINT) AS total_items_to_purchase
+FROM t a LEFT JOIN t b ON a.plan_id = b.plan_id AND b.second WHERE NOT a.second""")
+def q_shopping_totals(spark, d):
+    """D6, totals: lines up to 4 are the first batch of a plan, the rest the
+    second; some lines have no price."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    g = li.groupBy(F.col("l_orderkey").alias("plan_id"), (F.col("l_linenumber") >= 5).alias("second")).agg(
+        F.sum(F.when(F.col("l_linenumber") % 3 != 0, F.col("l_extendedprice"))).alias("total_estimated_cost"),
+        F.sum("l_linenumber").alias("total_items_from_inventory"), F.count(F.lit(1)).alias("total_items_to_purchase"))
+    out = pt.shopping_totals(g.where("NOT second"), g.where("second"))
+    return out.withColumn("total_estimated_cost", F.round("total_estimated_cost", 4))

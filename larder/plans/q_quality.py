@@ -33,7 +33,7 @@ def q_dq_foreign_keys(spark, d):
 
 
 # Accepted dietary restrictions for the profile form.
-ALLOWED_RESTRICTIONS = ["Vegetarian", "Vegan", "Gluten-Free", "Dairy-Free", "Nut-Free", "Halal", "Kosher"]
+ALLOWED_RESTRICTIONS = ["Vegetarian", "Vegan", "Gluten-Free", "Dairy-Free", "Keto", "Paleo", "Halal", "Kosher"]
 
 
 @register("sentinel_list_parse", f"""SELECT user_id, CAST(len(l) AS BIGINT) AS n_items, array_to_string(l, '|') AS items FROM (

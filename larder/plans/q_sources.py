@@ -13,7 +13,7 @@ from larder.operators import pantry as pt
 from larder.plans import analogues as an
 from larder.plans.q_marts import MART_MEAL_PLANNING_SQL
 from larder.plans.registry import register
-from larder.session import scratch_dir
+from larder.session import run_dir
 from larder.sources import files as fs
 from larder.sources import sinks as sk
 from larder.sources.tables import table
@@ -41,7 +41,7 @@ _FOOD_NULLS_SQL = f"""SELECT fdc_id, data_type, CASE WHEN fdc_id % 11 = 0 OR fdc
 
 
 def _csv_round_trip(spark, d, key):
-    path = scratch_dir(spark, f"larder/{key}/food_csv")
+    path = run_dir(spark, f"larder/{key}/food_csv")
     fs.write_csv(_food_with_null_spellings(spark, d), path)
     return path
 
@@ -51,17 +51,17 @@ def q_scan_csv_typed(spark, d):
     return fs.read_csv_typed(spark, _csv_round_trip(spark, d, "scan_csv_typed"), RAW_FOOD_SCHEMA)
 
 
-@register("copy_into_raw_food", f"SELECT * FROM ({_FOOD_NULLS_SQL}) WHERE description IS NOT NULL")
+@register("copy_into_raw_food", _FOOD_NULLS_SQL)
 def q_copy_into_raw_food(spark, d):
-    # positional projection with casts (a bad value fails the load), then the
-    # staging rule that needs a description
+    # positional projection with casts (a bad value fails the load); the load
+    # keeps rows without a description, staging drops them
     raw = fs.read_csv_typed(spark, _csv_round_trip(spark, d, "copy_into_raw_food"), RAW_FOOD_SCHEMA)
-    return raw.select(*[raw.columns[i] for i in range(4)]).where(F.col("description").isNotNull())
+    return raw.select(*[raw.columns[i] for i in range(4)])
 
 
 @register("copy_into_raw_food_nutrient", an.RAW_FOOD_NUTRIENT_SQL)
 def q_copy_into_raw_food_nutrient(spark, d):
-    path = scratch_dir(spark, "larder/copy_into_raw_food_nutrient/csv")
+    path = run_dir(spark, "larder/copy_into_raw_food_nutrient/csv")
     fs.write_csv(an.raw_food_nutrient(spark, d), path)
     return fs.read_csv_typed(spark, path, RAW_FOOD_NUTRIENT_SCHEMA)
 
@@ -128,7 +128,7 @@ def q_materialize_view(spark, d):
 
 @register("materialize_table", MART_MEAL_PLANNING_SQL)
 def q_materialize_table(spark, d):
-    return sk.materialize_table(m.mart_meal_planning(an.macros(spark, d)), scratch_dir(spark, "larder/materialize_table/mart"))
+    return sk.materialize_table(m.mart_meal_planning(an.macros(spark, d)), run_dir(spark, "larder/materialize_table/mart"))
 
 
 @register("insert_select_from_temp_view", "SELECT item_id AS id, 64 AS dim, 'hash-64' AS model_name, TIMESTAMP '2024-02-01 00:00:00' AS created_at FROM benchmark")
@@ -138,7 +138,7 @@ def q_insert_select_from_temp_view(spark, d):
     from larder.operators import vectors as vx
     emb = vx.hash_embedding(table(spark, d, "benchmark"), "text", "item_id", 64)
     emb.createOrReplaceTempView("larder_new_vectors")
-    target = scratch_dir(spark, "larder/insert_select/vectors")
+    target = run_dir(spark, "larder/insert_select/vectors")
     spark.createDataFrame([], "id long, dim int, model_name string, created_at timestamp_ntz, embedding array<double>") \
         .write.mode("overwrite").parquet(target)
     rows = spark.sql("""SELECT CAST(item_id AS BIGINT) AS id, size(embedding) AS dim, 'hash-64' AS model_name,
@@ -150,7 +150,7 @@ def q_insert_select_from_temp_view(spark, d):
 @register("truncate_reload", f"SELECT fdc_id, food_name FROM ({MART_MEAL_PLANNING_SQL})")
 def q_truncate_reload(spark, d):
     """Empty then load (overwrite), twice: the second load replaces the first."""
-    path = scratch_dir(spark, "larder/truncate_reload/mart")
+    path = run_dir(spark, "larder/truncate_reload/mart")
     mart = m.mart_meal_planning(an.macros(spark, d)).select("fdc_id", "food_name")
     sk.materialize_table(mart, path)
     return sk.materialize_table(mart, path)
@@ -171,7 +171,7 @@ def q_append_eval_log(spark, d):
     log = an.eval_log(spark, d).drop("run_id", "execution_date", "model_version", "input")
     up = eval_log_upper(log, "manual__2024-01-15", dt.datetime(2024, 1, 15, 6), "v1.0")
     up = up.withColumn("EXECUTION_DAY", F.to_date("EXECUTION_DATE"))
-    path = scratch_dir(spark, "larder/append_eval_log/evaluation_logs")
+    path = run_dir(spark, "larder/append_eval_log/evaluation_logs")
     up.limit(0).write.mode("overwrite").partitionBy("EXECUTION_DAY").parquet(path)
     sk.append_table(up, path, ["EXECUTION_DAY"])
     return spark.read.parquet(path)
@@ -179,7 +179,7 @@ def q_append_eval_log(spark, d):
 
 @register("write_results_csv", an.MODEL_RESULTS_SQL)
 def q_write_results_csv(spark, d):
-    path = scratch_dir(spark, "larder/results_csv/written")
+    path = run_dir(spark, "larder/results_csv/written")
     res = an.model_results(spark, d)
     fs.write_csv(res, path)
     return fs.read_csv_typed(spark, path, res.schema)
@@ -187,7 +187,7 @@ def q_write_results_csv(spark, d):
 
 @register("read_results_csv", f"SELECT Model, CAST(COUNT(*) AS BIGINT) AS n, round(avg(Error_Percent), 6) AS avg_error FROM ({an.MODEL_RESULTS_SQL}) GROUP BY Model")
 def q_read_results_csv(spark, d):
-    path = scratch_dir(spark, "larder/results_csv/read")
+    path = run_dir(spark, "larder/results_csv/read")
     res = an.model_results(spark, d)
     fs.write_csv(res, path)
     back = fs.read_csv_typed(spark, path, res.schema)
@@ -213,7 +213,7 @@ def q_read_eval_cases_json(spark, d):
                        an._case(F.col("quality"), an.INTENT_BY_QUALITY).alias("expected_intent"),
                        ents.alias("expected_entities"),
                        F.when(F.col("doc_id") % 3 == 0, F.lit("high")).otherwise(F.lit("low")).alias("complexity"))
-    path = scratch_dir(spark, "larder/eval_cases_json")
+    path = run_dir(spark, "larder/eval_cases_json")
     cases.write.mode("overwrite").json(path)
     back = fs.read_json_cases(spark, path, CASE_SCHEMA)
     return back.select("id", "category", "expected_intent", F.size("expected_entities").cast("int").alias("n_entities"), "complexity")
@@ -253,7 +253,7 @@ def q_append_inventory(spark, d):
     items = pt.with_standard_unit(pt.normalize_inventory(_replies(spark, d)), "quantity", "unit", "item")
     rows = items.select(F.col("reply_id").alias("user_id"), F.col("item").alias("item_name"),
                         F.col("std.std_quantity").alias("quantity"), F.col("std.std_unit").alias("unit"), "category")
-    path = scratch_dir(spark, "larder/append_inventory/inventory")
+    path = run_dir(spark, "larder/append_inventory/inventory")
     rows.limit(0).write.mode("overwrite").parquet(path)
     sk.append_table(rows, path)
     return spark.read.parquet(path)
@@ -261,7 +261,7 @@ def q_append_inventory(spark, d):
 
 def _copy(spark, df, key, schema):
     """COPY INTO: write the source rows as CSV, then the typed positional load."""
-    path = scratch_dir(spark, f"larder/{key}/csv")
+    path = run_dir(spark, f"larder/{key}/csv")
     fs.write_csv(df, path)
     return fs.read_csv_typed(spark, path, schema)
 

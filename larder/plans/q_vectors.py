@@ -381,7 +381,7 @@ def q_slice_by_minus(spark, d):
 
 @register("factual_accuracy", f"""WITH f AS (SELECT fdc_id, food_name, calories, string_split(food_name, ' ')[-1] AS word FROM ({MART_FOODS})),
 t AS (SELECT word, avg(calories) AS truth FROM (SELECT unnest(list_distinct(string_split(lower(food_name), ' '))) AS word, calories FROM f) GROUP BY word)
-SELECT f.fdc_id, round(greatest(0.0, 1.0 - abs(CAST(regexp_extract('Roughly ' || CAST(CAST(trunc(f.calories) AS BIGINT) + 7 AS VARCHAR) || ' kcal.', '(\\d+\\.?\\d*)', 1) AS DOUBLE) - t.truth) / t.truth), 6) AS accuracy
+SELECT f.fdc_id, round(CASE WHEN f.fdc_id % 11 <> 0 THEN greatest(0.0, 1.0 - abs(CAST(trunc(f.calories) AS BIGINT) + 7 - t.truth) / t.truth) END, 6) AS accuracy
 FROM f JOIN t ON f.word = t.word""")
 def q_factual_accuracy(spark, d):
     return factual_accuracy_rows(spark, d).select("fdc_id", _r6(F.col("accuracy")).alias("accuracy"))
@@ -395,7 +395,9 @@ def factual_accuracy_rows(spark, d):
     tokens = mt.select(F.explode(F.array_distinct(F.split(F.lower("food_name"), " "))).alias("word"),
                        F.col("calories").alias("c"))
     truth = tokens.groupBy("word").agg(F.avg("c").alias("truth"))
-    resp = F.concat(F.lit("Roughly "), (F.col("calories").cast("long") + 7).cast("string"), F.lit(" kcal."))
+    # some replies hold no number
+    resp = F.when(F.col("fdc_id") % 11 == 0, F.lit("I am not sure.")).otherwise(
+        F.concat(F.lit("Roughly "), (F.col("calories").cast("long") + 7).cast("string"), F.lit(" kcal.")))
     return mt.join(truth, "word").select("fdc_id", "category", vx.factual_accuracy(resp, F.col("truth")).alias("accuracy"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("q_marts", "q_relational", "q_meals", "q_nutrition", "q_pantry",
+MODULES = ("q_marts", "q_meals", "q_nutrition", "q_pantry",
            "q_memory", "q_vectors", "q_evals", "q_scheduling", "q_quality",
            "q_functions", "q_sources", "q_streaming", "q_plandocs")
 
@@ -38,9 +38,5 @@ def load_all() -> None:
     if _loaded:
         return
     for m in MODULES:
-        try:
-            importlib.import_module(f"larder.plans.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"larder.plans.{m}":
-                raise
+        importlib.import_module(f"larder.plans.{m}")
     _loaded = True

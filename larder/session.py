@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,8 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that value is
-    always used as is. Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    always used as is. Only a local session may leave it unset (tests): then
+    a scratch folder is created and registered. On a cluster that is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -55,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="larder-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
@@ -62,11 +65,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A sub folder of the shared checkpoint folder for written intermediates."""
+    """A sub folder of the shared checkpoint folder with this very name."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
 
 
+def run_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run's written intermediates: runs at the
+    same time never touch each other's files."""
+    return scratch_dir(spark, f"{name}-{uuid.uuid4().hex}")
+
+
 _SHIPPED: set[str] = set()
 
 

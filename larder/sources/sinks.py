@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.session import scratch_dir
+from larder.session import run_dir
 
 
 def materialize_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -30,7 +30,7 @@ def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None
 
 def write_plan_tables(tables: dict[str, DataFrame], spark: SparkSession, name: str) -> DataFrame:
     """Write the four plan tables; return (table, rows) read back."""
-    base = scratch_dir(spark, f"larder/{name}")
+    base = run_dir(spark, f"larder/{name}")
     out = None
     for t, df in tables.items():
         back = materialize_table(df, f"{base}/{t}")
