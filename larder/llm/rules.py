@@ -137,7 +137,7 @@ def references(m: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     ``*``, of the measured documents that pass the base rules: five rows at
     most reach the driver."""
     def summed(col: str, n: int) -> list[Column]:
-        return [F.sum(F.get(F.col(col), F.lit(k))) for k in range(n)]
+        return [F.coalesce(F.sum(F.get(F.col(col), F.lit(k))), F.lit(0.0)) for k in range(n)]
     nc, nw = len(CLASSES) + 1, len(COMMON_WORDS["en"]) + 1
     sums = (only(m, ~F.col("base_failed")).groupBy("_lang")
             .agg(F.array(*summed("_chars", nc)).alias("c"), F.array(*summed("_common", nw)).alias("w")).collect())
