@@ -46,8 +46,8 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     feed = np.flatnonzero(data == 10)
     # a line ends at a line feed or with its text
     ends = np.concatenate([feed, offs[1:]])
-    order = np.lexsort((np.concatenate([np.zeros(len(feed)), np.ones(n)]), ends))
-    # empty texts end where the one before ends: the stable order keeps texts apart
+    # a text ends before a line feed at the same byte, which is the first of a later text
+    order = np.lexsort((np.concatenate([np.ones(len(feed)), np.zeros(n)]), ends))
     ends, is_text = ends[order], (order >= len(feed))
     text_of_line = np.concatenate([[0], np.cumsum(is_text)[:-1]]).astype(np.int64)
     starts = np.where(np.concatenate([[True], is_text[:-1]]), offs[text_of_line], np.concatenate([[0], ends[:-1] + 1]))
