@@ -62,22 +62,20 @@ def food_nutrition_complete(raw_food: DataFrame, raw_food_nutrient: DataFrame,
                             raw_nutrient: DataFrame) -> DataFrame:
     """Food LEFT JOIN fact LEFT JOIN nutrient; foods without facts stay.
 
-    The nutrient dimension is small but its size is only known at run time,
-    so the join strategy is left to AQE (it turns into a broadcast when the
+    The left join is an inner join, whose large side adaptive execution may
+    split where one food holds very many facts, united with the foods that
+    have none. The nutrient dimension is small but its size is only known at
+    run time, so its join strategy is left to AQE (a broadcast when the
     runtime size is under the threshold) instead of a blind hint.
     """
-    f = raw_food.where(F.col("description").isNotNull()).alias("f")
-    fn = raw_food_nutrient.alias("fn")
-    n = raw_nutrient.alias("n")
-    return (f.join(fn, F.col("f.fdc_id") == F.col("fn.fdc_id"), "left")
-            .join(n, F.col("fn.nutrient_id") == F.col("n.id"), "left")
-            .select(F.col("f.fdc_id").alias("fdc_id"),
-                    F.col("f.description").alias("description"),
-                    F.col("f.food_category").alias("food_category"),
-                    F.col("fn.nutrient_id").alias("nutrient_id"),
-                    F.col("n.name").alias("nutrient_name"),
-                    F.col("n.unit_name").alias("unit_name"),
-                    F.col("fn.amount").alias("amount")))
+    foods = raw_food.where(F.col("description").isNotNull()).select("fdc_id", "description", "food_category")
+    facts = raw_food_nutrient.select("fdc_id", "nutrient_id", "amount")
+    known = facts.join(foods, "fdc_id").select("fdc_id", "description", "food_category", "nutrient_id", "amount")
+    bare = foods.join(facts.select("fdc_id").distinct(), "fdc_id", "left_anti")
+    both = known.unionByName(bare, allowMissingColumns=True)
+    n = raw_nutrient.select(F.col("id").alias("_id"), F.col("name").alias("nutrient_name"), "unit_name")
+    return (both.join(n, F.col("nutrient_id") == F.col("_id"), "left")
+            .select("fdc_id", "description", "food_category", "nutrient_id", "nutrient_name", "unit_name", "amount"))
 
 
 def int_food_nutrition(stg_f: DataFrame, stg_fn: DataFrame, stg_n: DataFrame) -> DataFrame:
