@@ -72,9 +72,13 @@ def positions_and_hashes(marks: Column) -> Column:
         ":", (F.lit(_LOW) - m.bitwiseAND(F.lit(_LOW).cast("long"))).cast("string"), F.shiftright(m, 32).cast("string"))), ",")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared share of the marks' hashes (Jaccard)."""
-    x, y = (F.transform(c, lambda m: F.shiftright(m, 32)) for c in (a, b))
+def hashes(marks: Column) -> Column:
+    """The distinct hashes of the marks, without positions."""
+    return F.array_distinct(F.transform(marks, lambda m: F.shiftright(m, 32).cast("int")))
+
+
+def likeness(x: Column, y: Column) -> Column:
+    """Shared share of two sets of hashes (Jaccard)."""
     both = F.size(F.array_union(x, y))
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / both)
 
@@ -98,20 +102,22 @@ def edited_fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     floor(n_chars / 2) code points replaced by as many first ones of the next
     document (or all it has)."""
     follow = successors(docs)
-    texts = with_marks(docs.select("doc_id", text_of().alias("_text")).withColumn("_h", F.xxhash64("_text")), "_text", "_marks", k, w)
-    # to each document its successor's marks and beginning; a repeated row stands for the document once
-    given = (texts.join(follow.select(F.col("doc_id").alias("to_id"), F.col("_h").alias("to_h"), "_n", "next_id", "next_h").hint("shuffle_hash"),
-                        F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("_h") == F.col("next_h")))
-             .select("to_id", "to_h", F.expr("substring(_text, 1, _n div 2)").alias("_piece"), F.col("_marks").alias("_next_marks")))
+    # both joins below take the texts by the same key, so they move once for the two of them
+    texts = docs.select("doc_id", text_of().alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    to = follow.select(F.col("doc_id").alias("to_id"), F.col("_h").alias("to_h"), "_n", "next_id", "next_h")
+    # to each document its successor's beginning and the hashes of its marks; a repeated row stands for the document once
+    given = (texts.join(to.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("_h") == F.col("next_h")))
+             .select("to_id", "to_h", "_text", F.expr("substring(_text, 1, _n div 2)").alias("_piece")))
+    given = with_marks(given, "_text", "_next", k, w).select("to_id", "to_h", "_piece", hashes(F.col("_next")).alias("_next_hashes"))
     if docs.select("doc_id", F.xxhash64(text_of()).alias("_h")).groupBy("doc_id", "_h").count().where("count > 1").limit(1).count():
         given = given.dropDuplicates(["to_id", "to_h"])
-    n = F.length("_text")
-    own = texts.select("doc_id", "_h", n.alias("_chars"), F.expr("substring(_text, 1, length(_text) - length(_text) div 2)").alias("_head"), "_marks")
-    both = (own.join(given, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("_h") == F.col("to_h")))
-            .select("doc_id", "_chars", "_marks", "_next_marks", F.concat("_head", "_piece").alias("_edited")))
+    both = (texts.join(given, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("_h") == F.col("to_h")))
+            .select("doc_id", "_text", "_next_hashes", F.length("_text").alias("_chars"),
+                    F.expr("concat(substring(_text, 1, length(_text) - length(_text) div 2), _piece)").alias("_edited")))
+    both = with_marks(both, "_text", "_marks", k, w).drop("_text")
     both = with_marks(both, "_edited", "_edited_marks", k, w)
     return both.select("doc_id", F.col("_chars").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
                        positions_and_hashes(F.col("_marks")).alias("fingerprint"),
                        positions_and_hashes(F.col("_edited_marks")).alias("edited_fingerprint"),
-                       likeness(F.col("_marks"), F.col("_edited_marks")).alias("near_edited"),
-                       likeness(F.col("_marks"), F.col("_next_marks")).alias("near_next"))
+                       likeness(hashes(F.col("_marks")), hashes(F.col("_edited_marks"))).alias("near_edited"),
+                       likeness(hashes(F.col("_marks")), F.col("_next_hashes")).alias("near_next"))
