@@ -213,13 +213,13 @@ def latency_ttest(df: DataFrame, group_col: str, col: str, a: str, b: str) -> Da
 
 def best_worst_flags(df: DataFrame, score: str, latency: str) -> DataFrame:
     """Rows equal to the best/worst score and latency; the extremes are
-    one global aggregate read as scalar subqueries."""
-    ext = df.agg(F.max(score).alias("smax"), F.min(score).alias("smin"),
-                 F.min(latency).alias("lmin"), F.max(latency).alias("lmax"))
-    return df.select("*", (F.col(score) == ext.select("smax").scalar()).alias("is_best_score"),
-                     (F.col(score) == ext.select("smin").scalar()).alias("is_worst_score"),
-                     (F.col(latency) == ext.select("lmin").scalar()).alias("is_fastest"),
-                     (F.col(latency) == ext.select("lmax").scalar()).alias("is_slowest"))
+    one global aggregate, one row that every row meets."""
+    ends = df.agg(F.max(score).alias("_smax"), F.min(score).alias("_smin"),
+                  F.min(latency).alias("_lmin"), F.max(latency).alias("_lmax"))
+    return (df.join(F.broadcast(ends))  # one row
+            .withColumn("is_best_score", F.col(score) == F.col("_smax")).withColumn("is_worst_score", F.col(score) == F.col("_smin"))
+            .withColumn("is_fastest", F.col(latency) == F.col("_lmin")).withColumn("is_slowest", F.col(latency) == F.col("_lmax"))
+            .drop("_smax", "_smin", "_lmin", "_lmax"))
 
 
 def model_rank(summary: DataFrame, metric: str = "MAE_Percent", top: int = 3) -> DataFrame:

@@ -298,8 +298,7 @@ def _raw_texts(spark, d):
            .when(k == 1, F.concat(F.lit("Plan: ["), F.col("conv_id").cast("string"), F.lit(", 2, 3] done")))
            .when(k == 2, F.concat(F.lit('Answer {"conv": '), F.col("conv_id").cast("string"), F.lit("} end")))
            .otherwise(F.col("text")))
-    return c.select(F.col("conv_id") * 100 + F.col("turn")).toDF("message_id").join(
-        c.select((F.col("conv_id") * 100 + F.col("turn")).alias("message_id"), raw.alias("raw")), "message_id")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("message_id"), raw.alias("raw"))
 
 
 _RAW_SQL = """SELECT conv_id * 100 + turn AS message_id, CASE turn % 4 WHEN 0 THEN '  [{"turn": ' || CAST(turn AS VARCHAR) || '}]  '

@@ -446,11 +446,11 @@ def q_context_retention(spark, d):
     from larder.operators import memory as mm
     msgs = an.messages(spark, d).where(F.col("role") == "user")
     cum = mm.cumulative_conversation(msgs).select(
-        "thread_id", "turn", (F.col("thread_id") * 1000 + F.col("turn")).alias("qid"), "cumulative_query")
+        "thread_id", "turn", F.concat_ws(":", "thread_id", "turn").alias("qid"), "cumulative_query")
     qv = vx.hash_embedding(cum, "cumulative_query", "qid", 64).withColumnRenamed("embedding", "qvec")
     foods = vx.embedding_text(mart(spark, d), False)
     fv = vx.hash_embedding(foods, "embedding_text", "fdc_id", 64).join(foods.select("fdc_id", "food_name"), "fdc_id")
-    res = vx.vector_topk_batch(fv, qv, 5).join(cum.select("qid", "thread_id", "turn"), "qid")
+    res = vx.vector_topk_batch(fv, qv, 3).join(cum.select("qid", "thread_id", "turn"), "qid")
     names = res.select("thread_id", "turn", "food_name").distinct()
     first = names.groupBy("thread_id", "food_name").agg(F.min("turn").alias("first_turn"))
     start = names.groupBy("thread_id").agg(F.min("turn").alias("t0"))

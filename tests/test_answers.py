@@ -15,8 +15,8 @@ from larder.plans.q_quality import ALLOWED_RESTRICTIONS
 
 def test_previous_meals_are_of_active_plans(spark):
     t = dt.datetime(2024, 1, 1)
-    plans = spark.createDataFrame([(1, 7, "ACTIVE", t), (2, 7, "COMPLETED", t + dt.timedelta(1)), (3, 8, "PENDING", t)],
-                                  "plan_id long, user_id long, status string, created_at timestamp_ntz")
+    plans = spark.createDataFrame([(1, 7, "ACTIVE", t, t, t), (2, 7, "COMPLETED", t, t, t + dt.timedelta(1)), (3, 8, "PENDING", t, t, t)],
+                                  "plan_id long, user_id long, status string, start_date timestamp_ntz, end_date timestamp_ntz, created_at timestamp_ntz")
     daily = spark.createDataFrame([(10, 1, 7, 1), (20, 2, 7, 1), (30, 3, 8, 1)], "meal_id long, plan_id long, user_id long, day_number int")
     details = spark.createDataFrame([(100, 10, 1, 1, "lunch", "Soup"), (200, 20, 2, 1, "lunch", "Stew"), (300, 30, 3, 1, "lunch", "Rice")],
                                     "detail_id long, meal_id long, plan_id long, day_number int, meal_type string, meal_name string")
