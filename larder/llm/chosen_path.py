@@ -5,10 +5,12 @@ in the same order are one class and are represented by their smallest id.
 Representatives descend ``TREES`` independent trees. At a node, a hash of its
 path chooses minwise tokens to follow (one, sometimes two: 1 / similarity on
 average), and every set goes to the child named by its token. Nodes of up to
-``SMALL`` sets are compared exhaustively; in a larger one every set is
-compared with a pivot, and the node branches again while it holds sets of
-more than one component known so far. What is still large at the last level
-is compared in full across components, so nothing is capped.
+``SMALL`` sets are compared exhaustively. In a larger one every set is
+compared with two pivots: the smallest, and the one most like a few others
+(sets alike on average do not part by branching, so their centre is compared
+with all at once). If all but ``SMALL`` are then of one component, those few
+are compared with all; else the node branches again. What is still large at
+the last level is compared in full across components, so nothing is capped.
 
 Only sets of different components are compared, since a link within one adds
 nothing to the result. A pair whose sizes cannot reach the similarity, or
@@ -17,7 +19,7 @@ not confirmed further (a pair at the threshold fails that with a chance of
 about 1e-6). Links are confirmed on the full sets.
 
 A pair at similarity s is missed by all trees with a chance of
-``(1 - s)**TREES`` or less at the first level (2e-10 at 0.85).
+``(1 - s)**TREES`` or less at the first level (6e-9 at 0.85).
 
 Cases: null and empty texts have no shingles and link with nothing; fewer
 words than a shingle are one shingle; rows that repeat an id are one vertex;
@@ -40,7 +42,7 @@ from larder.llm.common import text_of, written
 from larder.llm.graph import components
 
 SHINGLE, PERCENT = 3, 85
-TOKENS, TREES, SMALL, LEVELS, AGREE = 48, 12, 24, 8, 17
+TOKENS, TREES, SMALL, LEVELS, AGREE = 32, 10, 256, 8, 17
 PER_SALT = 500
 
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, TOKENS + 32), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,17 +117,22 @@ def _children(rows: DataFrame) -> DataFrame:
             .withColumn("path", F.xxhash64("path", "_c", F.get("sig", F.col("_c")))).drop("_c", "sig"))
 
 
-def _close(x: str, y: str) -> Column:
-    """Whether sizes and sketches of two struct columns leave a pair possible."""
-    a, b = F.col(x), F.col(y)
-    sizes = F.least(a["n_shingles"], b["n_shingles"]) * 100 >= F.greatest(a["n_shingles"], b["n_shingles"]) * PERCENT
-
+def _agreeing(a: Column, b: Column) -> Column:
+    """In how many of their 32 places two sketches agree."""
     def apart(k: str) -> Column:
         z = a[k].bitwiseXOR(b[k])
         z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
         z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
         return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
-    return sizes & (32 - apart("s1") - apart("s2") >= AGREE)
+    return 32 - apart("s1") - apart("s2")
+
+
+def _close(x: str, y: str) -> Column:
+    """Whether sizes and sketches of two struct columns leave a pair possible."""
+    a, b = F.col(x), F.col(y)
+    sizes = F.least(a["n_shingles"], b["n_shingles"]) * 100 >= F.greatest(a["n_shingles"], b["n_shingles"]) * PERCENT
+
+    return sizes & (_agreeing(a, b) >= AGREE)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -149,6 +156,15 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(known, F.col("id") == F.col("_i"), "left").withColumn("comp", F.coalesce("_l", "id")).drop("_i", "_l")
 
 
+def _centres(members: DataFrame) -> DataFrame:
+    """(path, centre): per node the set most like four others drawn by hash."""
+    drawn = members.groupBy("path").agg(*[F.min_by("_me", F.xxhash64("path", "id", F.lit(k))).alias(f"_d{k}") for k in range(4)])
+    drawn = drawn.withColumnRenamed("path", "_path")
+    near = sum((_agreeing(F.col("_me"), F.col(f"_d{k}")) for k in range(1, 4)), _agreeing(F.col("_me"), F.col("_d0")))
+    both = members.select("path", "id", "_me").join(drawn, F.col("path") == F.col("_path"))
+    return both.groupBy("path").agg(F.max_by("_me", F.struct(near, F.col("id"))).alias("centre"))
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable),
     kept (the document is that one)."""
@@ -177,16 +193,18 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             every = every.unionByName(x)
         labels = components(every)
 
-    def across(members: DataFrame) -> DataFrame:
-        """Possible pairs of different components within one node."""
+    def across(members: DataFrame, others: DataFrame | None = None) -> DataFrame:
+        """Possible pairs of different components within one node; with
+        ``others``, those of a member and one of the others."""
         x = members.select("path", "comp", me.alias("_x"))
-        y = members.select(F.col("path").alias("_p"), F.col("comp").alias("_c"), me.alias("_y"))
-        return (x.join(y, (F.col("path") == F.col("_p")) & (F.col("comp") != F.col("_c")) & (F.col("_x.id") < F.col("_y.id")) & _close("_x", "_y"))
-                .select(F.col("_x.id").alias("a"), F.col("_y.id").alias("b")).distinct())
+        y = (members if others is None else others).select(F.col("path").alias("_p"), F.col("comp").alias("_c"), me.alias("_y"))
+        once = F.col("_x.id") < F.col("_y.id") if others is None else F.lit(True)
+        return (x.join(y, (F.col("path") == F.col("_p")) & (F.col("comp") != F.col("_c")) & once & _close("_x", "_y"))
+                .select(F.least("_x.id", "_y.id").alias("a"), F.greatest("_x.id", "_y.id").alias("b")).distinct())
 
     for level in range(1, LEVELS + 1):
         nodes = written(_children(rows), "near-nodes")
-        groups = (nodes.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.min_by(me, F.xxhash64("path", "id")).alias("pivot"))
+        groups = (nodes.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.min(me).alias("pivot"))
                   .where("_n > 1").withColumnRenamed("path", "_path"))
         members = written(nodes.join(groups, F.col("path") == F.col("_path")).drop("_path").withColumn("_me", me), "near-members")
         if sets is None:
@@ -199,13 +217,24 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             texts = (docs.select(F.col("doc_id").alias("id"), text_of().alias("text"))
                      .join(due.hint("shuffle_hash"), F.col("id") == F.col("_id"), "left_semi"))
             sets = full_sets(texts, n).repartition(parts, "id").checkpoint()
-        settle(members.where((F.col("id") != F.col("pivot.id")) & _close("_me", "pivot"))
+        star = members.select("id", "_me", "pivot")
+        large = members.where(F.col("_n") > SMALL)
+        centres = _centres(large).withColumnRenamed("path", "_path")
+        star = star.unionByName(large.join(centres, F.col("path") == F.col("_path")).select("id", "_me", F.col("centre").alias("pivot")))
+        settle(star.where((F.col("id") != F.col("pivot.id")) & _close("_me", "pivot"))
                .select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct())
         split = _labelled(members.drop("pivot", "_me"), labels)
         mixed = split.groupBy("path").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select(F.col("path").alias("_path"))
         split = written(split.join(mixed, F.col("path") == F.col("_path"), "left_semi"), "near-split")
-        settle(across(split.where(F.col("_n") <= SMALL)))
-        rest = split.where(F.col("_n") > SMALL).drop("_n", "comp")
+        # of a large node, the sets outside its largest component
+        share = split.where(F.col("_n") > SMALL).groupBy("path", "comp").agg(F.count(F.lit(1)).alias("_k"))
+        most = share.groupBy("path").agg(F.max_by("comp", F.struct("_k", "comp")).alias("_main"), (F.sum("_k") - F.max("_k")).alias("_few"))
+        split = written(split.join(most.withColumnRenamed("path", "_path"), F.col("path") == F.col("_path"), "left").drop("_path"), "near-parts")
+        few = split.where((F.col("_n") > SMALL) & (F.col("_few") <= SMALL))
+        pairs = across(split.where(F.col("_n") <= SMALL))
+        pairs = pairs.unionByName(across(few, few.where(F.col("comp") != F.col("_main")))).distinct()
+        settle(pairs)
+        rest = split.where((F.col("_n") > SMALL) & (F.col("_few") > SMALL)).drop("_n", "comp", "_main", "_few")
         if rest.limit(1).count() == 0:
             break
         if level == LEVELS:

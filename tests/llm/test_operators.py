@@ -59,8 +59,9 @@ def test_chosen_path(docs, no_docs, texts):
     assert chosen_path.near_duplicates(no_docs).count() == 0
 
 
-def test_chosen_path_large_nodes(spark):
+def test_chosen_path_large_nodes(spark, monkeypatch):
     """A group larger than a small node whose links form a star, and chains."""
+    monkeypatch.setattr(chosen_path, "SMALL", 24)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(300)]
     texts = {0: " ".join(base)}
