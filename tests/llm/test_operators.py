@@ -62,6 +62,8 @@ def test_chosen_path(docs, no_docs, texts):
 def test_chosen_path_large_nodes(spark, monkeypatch):
     """A group larger than a small node whose links form a star, and chains."""
     monkeypatch.setattr(chosen_path, "SMALL", 24)
+    monkeypatch.setattr(chosen_path, "LEVELS", 2)
+    monkeypatch.setattr(chosen_path, "TREES", 6)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(300)]
     texts = {0: " ".join(base)}
