@@ -26,8 +26,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return chosen_path.one_of_each_group(docs)
+    """One document of each group of near-duplicates (five-word shingles,
+    similarity 0.8 or more) stays."""
+    return chosen_path.one_of_each_group(docs, n=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

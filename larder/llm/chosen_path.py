@@ -14,9 +14,9 @@ the last level is compared in full across components, so nothing is capped.
 
 Only sets of different components are compared, since a link within one adds
 nothing to the result. A pair whose sizes cannot reach the similarity, or
-whose 32 half-byte minwise sketches agree in fewer than ``AGREE`` places, is
-not confirmed further (a pair at the threshold fails that with a chance of
-about 1e-6). Links are confirmed on the full sets.
+whose 32 half-byte minwise sketches agree in too few places, is not confirmed
+further (``least_agreeing``: a pair at the threshold fails that with a chance
+of ``SKETCH_MISS`` at most). Links are confirmed on the full sets.
 
 A pair at similarity s is missed by all trees with a chance of
 ``(1 - s)**TREES`` or less at the first level (6e-9 at 0.85).
@@ -30,6 +30,7 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +43,11 @@ from larder.llm.common import text_of, written
 from larder.llm.graph import components
 
 SHINGLE, PERCENT = 3, 85
-TOKENS, TREES, SMALL, LEVELS, AGREE = 32, 10, 256, 8, 17
+TOKENS, TREES, SMALL, LEVELS = 32, 10, 256, 8
+PLACES, SKETCH_MISS = 32, 2e-6
 PER_SALT = 500
 
-_seeds = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, TOKENS + 32), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_seeds = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, TOKENS + PLACES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _sets(data: np.ndarray, offs: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -107,11 +109,23 @@ def full_sets(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
     return texts.mapInArrow(take, f"id {texts.schema['id'].dataType.simpleString()}, items array<long>")
 
 
-def _children(rows: DataFrame) -> DataFrame:
+def least_agreeing(percent: int) -> int:
+    """The most places that sketches can be asked to agree in while a pair at
+    the threshold fails with a chance of ``SKETCH_MISS`` at most."""
+    same = percent / 100 + (1 - percent / 100) / 16  # two half-bytes also agree by chance
+    fewer = 0.0
+    for k in range(PLACES):
+        fewer += math.comb(PLACES, k) * same**k * (1 - same)**(PLACES - k)
+        if fewer > SKETCH_MISS:
+            return k
+    return PLACES
+
+
+def _children(rows: DataFrame, percent: int) -> DataFrame:
     """The nodes that the sets of a node (path, id, sig, ...) go to."""
     c1 = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(TOKENS)).cast("int")
     c2 = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(TOKENS)).cast("int")
-    second = (F.pmod(F.xxhash64("path", F.lit(3)), F.lit(100)) < round(100 * (100 / PERCENT - 1))) & (c1 != c2)
+    second = (F.pmod(F.xxhash64("path", F.lit(3)), F.lit(100)) < round(100 * (100 / percent - 1))) & (c1 != c2)
     chosen = F.when(second, F.array(c1, c2)).otherwise(F.array(c1))
     return (rows.withColumn("_c", F.explode(chosen))
             .withColumn("path", F.xxhash64("path", "_c", F.get("sig", F.col("_c")))).drop("_c", "sig"))
@@ -124,18 +138,17 @@ def _agreeing(a: Column, b: Column) -> Column:
         z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
         z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
         return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
-    return 32 - apart("s1") - apart("s2")
+    return PLACES - apart("s1") - apart("s2")
 
 
-def _close(x: str, y: str) -> Column:
+def _close(x: str, y: str, percent: int) -> Column:
     """Whether sizes and sketches of two struct columns leave a pair possible."""
     a, b = F.col(x), F.col(y)
-    sizes = F.least(a["n_shingles"], b["n_shingles"]) * 100 >= F.greatest(a["n_shingles"], b["n_shingles"]) * PERCENT
-
-    return sizes & (_agreeing(a, b) >= AGREE)
+    sizes = F.least(a["n_shingles"], b["n_shingles"]) * 100 >= F.greatest(a["n_shingles"], b["n_shingles"]) * percent
+    return sizes & (_agreeing(a, b) >= least_agreeing(percent))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links. Many pairs may share one ``a``: its
     set is dealt out by salt, so that no task gets them all."""
     # bits of the other side's hash spread the pairs of one ``a``
@@ -146,7 +159,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
              .select("a", "b", "_salt").join(sets, F.col("b") == F.col("id")).select("a", "b", "_salt", F.col("items").alias("_right")))
     both = right.join(left, (F.col("a") == F.col("_a")) & (F.col("_salt") == F.col("_s")))
     same = both.select("a", "b", F.size(F.array_intersect("_left", "_right")).alias("_i"), (F.size("_left") + F.size("_right")).alias("_n"))
-    return same.where((F.col("_i") > 0) & (F.col("_i") * 100 >= (F.col("_n") - F.col("_i")) * PERCENT)).select("a", "b").distinct()
+    return same.where((F.col("_i") > 0) & (F.col("_i") * 100 >= (F.col("_n") - F.col("_i")) * percent)).select("a", "b").distinct()
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -165,9 +178,10 @@ def _centres(members: DataFrame) -> DataFrame:
     return both.groupBy("path").agg(F.max_by("_me", F.struct(near, F.col("id"))).alias("centre"))
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable),
-    kept (the document is that one)."""
+    kept (the document is that one). Links are pairs whose sets of ``n``-word
+    shingles have a Jaccard similarity of ``percent`` or more."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = written(signatures(docs, n), "near-signed")
@@ -187,7 +201,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         """Confirms pairs and merges what they link."""
         nonlocal labels
         pairs = written(pairs, "near-pairs")
-        found.append(written(_confirmed(pairs, sets), "near-links"))
+        found.append(written(_confirmed(pairs, sets, percent), "near-links"))
         every = found[0]
         for x in found[1:]:
             every = every.unionByName(x)
@@ -199,19 +213,19 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         x = members.select("path", "comp", me.alias("_x"))
         y = (members if others is None else others).select(F.col("path").alias("_p"), F.col("comp").alias("_c"), me.alias("_y"))
         once = F.col("_x.id") < F.col("_y.id") if others is None else F.lit(True)
-        return (x.join(y, (F.col("path") == F.col("_p")) & (F.col("comp") != F.col("_c")) & once & _close("_x", "_y"))
+        return (x.join(y, (F.col("path") == F.col("_p")) & (F.col("comp") != F.col("_c")) & once & _close("_x", "_y", percent))
                 .select(F.least("_x.id", "_y.id").alias("a"), F.greatest("_x.id", "_y.id").alias("b")).distinct())
 
     for level in range(1, LEVELS + 1):
-        nodes = written(_children(rows), "near-nodes")
+        nodes = written(_children(rows, percent), "near-nodes")
         groups = (nodes.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.min(me).alias("pivot"))
                   .where("_n > 1").withColumnRenamed("path", "_path"))
         members = written(nodes.join(groups, F.col("path") == F.col("_path")).drop("_path").withColumn("_me", me), "near-members")
         if sets is None:
             # every set that a later level may compare: large nodes, and what is close to something in a small one
             small = _labelled(members.where(F.col("_n") <= SMALL).drop("pivot", "_me"), labels)
-            due = (members.where(F.col("_n") > SMALL).select("id").unionByName(members.where(_close("_me", "pivot")).select(F.col("pivot.id").alias("id")))
-                   .unionByName(members.where(_close("_me", "pivot")).select("id"))
+            due = (members.where(F.col("_n") > SMALL).select("id").unionByName(members.where(_close("_me", "pivot", percent)).select(F.col("pivot.id").alias("id")))
+                   .unionByName(members.where(_close("_me", "pivot", percent)).select("id"))
                    .unionByName(across(small).select(F.explode(F.array("a", "b")).alias("id"))).distinct())
             due = written(due, "near-due").withColumnRenamed("id", "_id")
             texts = (docs.select(F.col("doc_id").alias("id"), text_of().alias("text"))
@@ -221,7 +235,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         large = members.where(F.col("_n") > SMALL)
         centres = _centres(large).withColumnRenamed("path", "_path")
         star = star.unionByName(large.join(centres, F.col("path") == F.col("_path")).select("id", "_me", F.col("centre").alias("pivot")))
-        settle(star.where((F.col("id") != F.col("pivot.id")) & _close("_me", "pivot"))
+        settle(star.where((F.col("id") != F.col("pivot.id")) & _close("_me", "pivot", percent))
                .select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct())
         split = _labelled(members.drop("pivot", "_me"), labels)
         mixed = split.groupBy("path").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select(F.col("path").alias("_path"))
@@ -247,9 +261,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def one_of_each_group(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+def one_of_each_group(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document stays."""
-    gone = near_duplicates(docs, n).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, n, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
