@@ -8,7 +8,7 @@ is served in proportion to its target at any prefix of the mix.
 
 Cases: a null text or one without words has size 0 and takes 0 words; a null
 source is a source of its own, last in order; rows that repeat a document are
-documents of their own; an empty table gives an empty mix; equal finish times
+documents of their own and each row has its own copies; an empty table gives an empty mix; equal finish times
 are ordered by source, hash, id and size.
 """
 
@@ -61,9 +61,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     """One row per row of ``docs``: doc_id, source, size, source_size, target,
     copies (how often the mix takes the document) and taken (its words)."""
     sizes = written(docs.select("doc_id", "source", F.size(words(text_of())).cast("long").alias("size")), "mix-sizes")
+    return _judged(sizes, [], weights, share, max_copies, seed)
+
+
+def _judged(sizes: DataFrame, carried: Sequence[str], weights: Sequence[int] = WEIGHTS, share: float = SHARE,
+            max_copies: int = MAX_COPIES, seed: int = 0) -> DataFrame:
+    """``mix`` of (doc_id, source, size); columns ``carried`` order rows that
+    are equal in those and are returned too."""
     targets = written(source_targets(sizes, weights, share, max_copies), "mix-targets")
     shuffled = sizes.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
-    served = running_sum(shuffled, [F.col("source").asc_nulls_last(), F.col("_key"), F.col("doc_id").asc_nulls_last(), F.col("size")],
+    served = running_sum(shuffled, [F.col("source").asc_nulls_last(), F.col("_key"), F.col("doc_id").asc_nulls_last(), F.col("size"),
+                                    *carried],
                          "size", "_upto", "_row", "mix-served")
     t = targets.withColumnRenamed("source", "_source")
     queued = (served.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -74,19 +82,22 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     budget = targets.agg(F.floor(F.sum("target")).alias("_total"))
     cut = (running_sum(queued, order, "size", "_sent", "_at", "mix-queue").join(F.broadcast(budget))  # one row
            .withColumn("_in", (F.col("_sent") <= F.col("_total")).cast("long")))
-    return (cut.groupBy("_row").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")],
+    return (cut.groupBy("_row").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target", *carried)],
                                     F.sum("_in").alias("copies"), F.sum(F.col("_in") * F.col("size")).alias("taken"))
             .drop("_row"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it.
-    Rows that repeat one id share its copies evenly, rounded down."""
-    times = (mix(docs, **options).groupBy("doc_id")
-             .agg(F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("_n"))
-             .where("_n > 0").withColumnRenamed("doc_id", "_id"))
-    return (docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_id", "_n"))
+    Rows are written with an id of their own, so that rows which share a
+    doc_id, or have none, get the copies that the mix gave to each."""
+    rows = written(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_id")), "mix-rows")
+    text = text_of("_doc.text")
+    sizes = written(rows.select("_doc.doc_id", "_doc.source", F.size(words(text)).cast("long").alias("size"),
+                                F.xxhash64(text).alias("_hash"), "_id"), "mix-sizes")
+    times = _judged(sizes, ["_hash", "_id"], **options).where("copies > 0").select(F.col("_id").alias("_at"), F.col("copies").cast("int"))
+    return (rows.join(times, F.col("_id") == F.col("_at"))
+            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*"))
 
 
 # The hash of an id, the running sums and the water level as DuckDB SQL.

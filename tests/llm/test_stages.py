@@ -1,11 +1,12 @@
 """The pipeline's stages against plain Python."""
 
+from collections import Counter
 from itertools import combinations
 
 import pytest
 
 import corpus_pipeline
-from larder.llm import chosen_path
+from larder.llm import chosen_path, mixing
 from tests.llm import brute
 
 
@@ -49,3 +50,20 @@ def brute_binomial(n, k, p):
     for j in range(k):
         out *= (n - j) / (j + 1) * p
     return out * (1 - p)**(n - k)
+
+
+def test_mixed_documents_keep_the_copies_of_each_row(spark):
+    """Rows without an id and rows that repeat one get what mix() gave each."""
+    rows = [(None, f"n{i} " * 10, "b") for i in range(40)] + [(i % 25, f"w{i} " * (10 + i % 3), s) for s in "ac" for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    judged, left = mixing.mix(docs).collect(), mixing.mixed_documents(docs).collect()
+    exp = Counter()
+    for r in judged:
+        exp[r.doc_id, r.source, r["size"]] += r.copies
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in left)
+    assert got == +exp and any(k[0] is None for k in got)
+    assert {r.copies for r in judged if r.source == "b"} == {0, 1}
+    assert max(Counter((r.source, r.text) for r in left).values()) <= 2
+    assert sum(len(r.text.split()) for r in left) == sum(r.taken for r in judged)
+    again = mixing.mixed_documents(docs.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, left))
