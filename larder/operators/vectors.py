@@ -226,16 +226,17 @@ def embedding_text(foods: DataFrame, with_micros: bool = True) -> DataFrame:
 def hash_embedding(texts: DataFrame, text_col: str, id_col: str, dim: int = 64) -> DataFrame:
     """Deterministic feature-hash vector per text (tokens -> bucket by
     xxhash64, signed counts, L2-normalized), built with explode + groupBy
-    so a long text spreads over the shuffle; stands in for a remote model."""
-    toks = texts.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+")).alias("t")) \
-        .where(F.length("t") > 0)
+    so a long text spreads over the shuffle; a text without a token, or whose
+    counts cancel out, gets the zero vector; stands in for a remote model."""
+    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
+    toks = texts.select(id_col, F.explode_outer(words).alias("t"))   # one NULL token for a text without any
     h = F.xxhash64("t")
-    b = toks.select(id_col, F.pmod(h, F.lit(dim)).cast("int").alias("b"),
-                    F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("s"))
+    sign = F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    b = toks.select(id_col, F.pmod(h, F.lit(dim)).cast("int").alias("b"), F.when(F.col("t").isNull(), F.lit(0.0)).otherwise(sign).alias("s"))
     c = b.groupBy(id_col, "b").agg(F.sum("s").alias("v"))
     dense = c.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return dense.select(id_col, vf.normalize(vec).alias("embedding"))
+    return dense.select(id_col, F.transform(vf.normalize(vec), lambda x: F.coalesce(x, F.lit(0.0))).alias("embedding"))
 
 
 def embed_with(texts: DataFrame, id_col: str, text_col: str, fn, dim: int) -> DataFrame:

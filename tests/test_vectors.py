@@ -117,3 +117,11 @@ def test_context_size_choice_and_diversity_brute_force(spark):
         best = max(scores, key=lambda x: (x[0], -x[1]))
         assert choice[i][0] == best[1] and abs(choice[i][1] - best[0]) < 1e-9
         assert abs(div[i] - len({j % 5 for j in order[:20]}) / 20) < 1e-12
+
+
+def test_hash_embedding_keeps_texts_without_tokens(spark):
+    df = spark.createDataFrame([(1, "apple pie"), (2, "!!!"), (3, ""), (4, None)], "id long, text string")
+    got = {r.id: r.embedding for r in vx.hash_embedding(df, "text", "id", 16).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert abs(np.linalg.norm(got[1]) - 1.0) < 1e-12
+    assert got[2] == got[3] == got[4] == [0.0] * 16
