@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chosen_path, doubling, line_crf, line_runs, mixing, packing, rules, secrets, toxicity, winnowing
+from larder.llm import (chosen_path, doubling, line_crf, line_runs, mixing, packing, periodic_runs, rules, secrets, toxicity,
+                        winnowing)
 from larder.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_level_doubling", doubling.ORACLE_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs", periodic_runs.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.summary(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))

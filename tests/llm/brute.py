@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -151,3 +152,29 @@ def mix(rows, weights=(3, 1, 2), share=1.5):
             return target | {s: w[s] * level for s in free}, dict(sizes)
         target |= {s: 2.0 * sizes[s] for s in over}
         free -= over
+
+
+def periodic(doc_id, w):
+    """The words of a text after about one in ten is made periodic."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not w:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def runs(w, least=12):
+    """(start, length, period) of all runs, by trying every period."""
+    out, n = [], len(w)
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(least, 2 * q) and not any(s <= i and s + m >= j + q for s, m, _ in out):
+                out.append((i, j + q - i, q))
+            i = j + 1
+    return sorted(out, key=lambda x: (x[0], x[2]))
