@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import (chosen_path, doubling, line_crf, line_runs, mixing, packing, periodic_runs, rules, secrets, toxicity,
-                        winnowing)
+from larder.llm import (chosen_path, doubling, importance, language_id, line_crf, line_runs, mixing, packing, periodic_runs,
+                        rules, secrets, toxicity, winnowing)
 from larder.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_periodic_runs", periodic_runs.ORACLE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.summary(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+@query("op12_importance_resampling", importance.ORACLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op11_language_id")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
