@@ -58,7 +58,7 @@ def xxhash64(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     h = np.full(len(at), P5, np.uint64)
     long = np.flatnonzero(left >= 32)
     if len(long):
-        v = [np.full(len(long), x, np.uint64) for x in (P1 + P2, P2, np.uint64(0), np.uint64(0) - P1)]
+        v = [np.full(len(long), x % (1 << 64), np.uint64) for x in (int(P1) + int(P2), int(P2), 0, -int(P1))]
         on = np.arange(len(long))
         while len(on):
             i = long[on]
