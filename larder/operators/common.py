@@ -55,6 +55,40 @@ def global_index(df: DataFrame, order_cols: list[str], n_parts: int | None = Non
             .drop("_pid", "_local", "_off"))
 
 
+def running_totals(df: DataFrame, keys: list[str], order: list[str], values: list[str],
+                   n_parts: int | None = None) -> DataFrame:
+    """The columns ``values`` summed over the rows of a key up to each row, in
+    ``order`` (a total order within a key): a segmented prefix scan.
+
+    Rows are range-partitioned on key and order, so the rows of one key, be
+    they most of the table, are a range of partitions; that layout is
+    checkpointed once. A task sums within its range. A key that goes on over
+    a border gets the totals of its earlier ranges: only the first and last
+    key of a range do, so these offsets are two rows a partition at most and
+    are broadcast.
+    """
+    from pyspark.sql import Window
+    from larder.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).checkpoint(eager=True)
+    ranged = laid.withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    totals = ranged.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    over = Window.partitionBy(*keys)
+    earlier = over.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (totals.withColumn("_n", F.count(F.lit(1)).over(over))
+               .select("_pid", *keys, "_n", *[F.sum(f"_t_{v}").over(earlier).alias(f"_o_{v}") for v in values])
+               .where("_n > 1").drop("_n"))
+    here = Window.partitionBy("_pid", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.select("_pid", *keys, *[c for c in df.columns if c not in keys and c not in values],
+                           *[F.sum(v).over(here).alias(v) for v in values])
+    on = [inside["_pid"] == offsets["_pid"], *[inside[k].eqNullSafe(offsets[k]) for k in keys]]
+    joined = inside.join(F.broadcast(offsets), on, "left")
+    return joined.select(*[(inside[c] + F.coalesce(offsets[f"_o_{c}"], F.lit(0))).alias(c) if c in values else inside[c] for c in df.columns])
+
+
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
                     tiebreak: str) -> DataFrame:
     """Exact linearly interpolated quantiles per group (numpy/pandas

@@ -1,27 +1,25 @@
 """Exact vector retrieval and its evaluation (V1-V20, J8-J12, A23, A24, A31,
 E1, E2, E6, W12, P19, P20).
 
-Search is exact brute force, as in the reference. The query side is a
-bounded set: it is turned into one array value by a scalar subquery, so
-every vector row scores all queries of a block inside one projection (no
-join, no cartesian product operator). More queries than ``QUERY_BLOCK`` are
-split into blocks by a hash of the query id, each block a separate scan.
-Per-query top-k uses ``row_number`` over the query id, planned as a partial
-WindowGroupLimit before the shuffle, so only k rows per query leave each
-task.
+Search is exact brute force, as in the reference. One query is a scalar
+subquery whose value every vector row is scored with inside one projection.
+Many queries meet the vectors block by block in matrix products over Arrow
+batches (``vector_topk_batch``); only k rows per query leave each task.
 """
 
 from __future__ import annotations
 
-import functools
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larder.functions import vector as vf
+from larder.functions.blockscore import BlockTopK
+from larder.operators.common import global_index, running_totals
 
-QUERY_BLOCK = 1024          # queries scored per scan (bounded scalar array)
+QUERY_BLOCK = 4096          # queries that a task scores its vectors with at a time
 
 
 def centroids(vectors: DataFrame, key_cols: list[str], vec_col: str = "embedding") -> DataFrame:
@@ -52,31 +50,84 @@ def vector_topk(vectors: DataFrame, query_vec: Column, k: int, id_col: str = "fd
 def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "fdc_id",
                       vec_col: str = "embedding", qid_col: str = "qid",
                       block: int = QUERY_BLOCK) -> DataFrame:
-    """V4: top-k per query for a set of queries (qid, qvec).
-
-    The query count is checked first; queries are scored in blocks of at
-    most ``block`` (each block is one bounded scalar array), and every
-    block keeps only k rows per query per task before shuffling.
-    Output: qid, rank, id, similarity, plus the vector's other columns.
+    """V4: top-k per query for a table of queries (qid, qvec).
+
+    Vectors are scored in Arrow batches, a matrix product for a batch and a
+    block of queries, and a task holds the k best rows of each query of its
+    block. Up to ``block`` queries are one block that is sent to all tasks;
+    vectors do not move. More queries are a table of blocks: every part of
+    the vectors meets every block in an exchange keyed by both, whose task
+    reads the block first and then streams the vectors. Either way the plan
+    has the same size however many queries there are.
+    Output: qid, rank, id, similarity, plus the vector's other columns; NULL
+    similarities (a zero or NULL vector, unequal lengths) rank last.
     """
-    n_q = queries.count()
-    n_blocks = max(1, math.ceil(n_q / block))
-    qn = queries.select(F.col(qid_col).alias("qid"), "qvec", vf.norm("qvec").alias("qnorm"))
     keep = [c for c in vectors.columns if c != vec_col]
-    vn = vectors.withColumn("_norm", vf.norm(vec_col))
-    w = Window.partitionBy("qid").orderBy(F.col("similarity").desc_nulls_last(), F.col(id_col).asc())
-    parts = []
-    for b in range(n_blocks):
-        qb = qn if n_blocks == 1 else qn.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
-        arr = qb.agg(F.collect_list(F.struct("qid", "qvec", "qnorm")).alias("q")).scalar()
-        # the subquery value is projected first: Spark allows no subquery
-        # inside a lambda
-        scored = vn.withColumn("_q", arr).select(*keep, F.explode(F.transform("_q", lambda q: F.struct(
-            q["qid"].alias("qid"),
-            vf.cosine(F.col(vec_col), q["qvec"], F.col("_norm"), q["qnorm"]).alias("similarity")))).alias("s"))
-        scored = scored.select(*keep, "s.qid", "s.similarity")
-        parts.append(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-    return functools.reduce(lambda a, c: a.unionByName(c), parts)
+    v = vectors.select(F.struct(*keep).alias("row"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    q = queries.select(F.col(qid_col).alias("qid"), "qvec")
+    some = q.limit(block + 1).toArrow()  # block + 1 rows at most
+    best = _scored_by_one(v, q, some, k) if some.num_rows <= block else _scored_by_blocks(v, q, k, block)
+    w = Window.partitionBy("qid").orderBy(F.col("similarity").desc_nulls_last(), F.col("id").asc())
+    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("row.*", "qid", "similarity", "rank")
+
+
+def _result_type(v: DataFrame, q: DataFrame) -> StructType:
+    return (v.select("row", "id").schema.add(q.schema["qid"]).add("similarity", "double"))
+
+
+def _scored_by_one(v: DataFrame, q: DataFrame, block: pa.Table, k: int) -> DataFrame:
+    shared = v.sparkSession.sparkContext.broadcast(block.combine_chunks())  # QUERY_BLOCK rows at most
+
+    def score(batches):
+        table = shared.value
+        best = BlockTopK(*(table[c].combine_chunks() for c in ("qid", "qvec")), k)
+        for batch in batches:
+            best.add(batch)
+        yield from best.results()
+
+    return v.mapInArrow(score, _result_type(v, q))
+
+
+def _scored_by_blocks(v: DataFrame, q: DataFrame, k: int, block: int) -> DataFrame:
+    spark = v.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q = global_index(q, ["qid"], name="_at").withColumn("block", F.floor((F.col("_at") - 1) / block))
+    n_blocks = q.agg(F.max("block")).collect()[0][0] + 1
+    row, vec = (v.schema[c].dataType for c in ("row", "vec"))
+    # queries go to every part, vectors to every block; the queries of a pair come first
+    asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "block", F.lit(0).alias("kind"), "qid", "qvec",
+                     F.lit(None).cast(row).alias("row"), F.lit(None).cast(v.schema["id"].dataType).alias("id"), F.lit(None).cast(vec).alias("vec"))
+    given = v.select(F.pmod(F.xxhash64("id", "vec"), F.lit(parts)).cast("int").alias("part"),
+                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"),
+                     F.lit(None).cast(q.schema["qid"].dataType).alias("qid"), F.lit(None).cast(q.schema["qvec"].dataType).alias("qvec"), "row", "id", "vec")
+    both = asked.unionByName(given).repartition(parts * 4, "part", "block").sortWithinPartitions("part", "block", "kind")
+
+    def score(batches):
+        now, asking, best = None, [], None
+        for batch in batches:
+            pair = batch.column("part").to_numpy() * n_blocks + batch.column("block").to_numpy()
+            kind = batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((pair[1:] != pair[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if a == b:
+                    continue
+                if pair[a] != now:
+                    if best is not None:
+                        yield from best.results()
+                    now, asking, best = pair[a], [], None
+                piece = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    asking.append(piece.select(["qid", "qvec"]))
+                    continue
+                if best is None:
+                    table = pa.Table.from_batches(asking, asking[0].schema)
+                    best = BlockTopK(*(table[c].combine_chunks() for c in ("qid", "qvec")), k)
+                best.add(piece.select(["row", "id", "vec"]))
+        if best is not None:
+            yield from best.results()
+
+    return both.mapInArrow(score, _result_type(v, q))
 
 
 def topk_overlap(a: DataFrame, b: DataFrame, k: int = 5, key: str = "food_name") -> DataFrame:
@@ -210,9 +261,18 @@ def judge_scores(text: Column) -> list[Column]:
             for i, n in enumerate(["coherence", "completeness", "accuracy"])]
 
 
-def embedding_text(foods: DataFrame, with_micros: bool = True) -> DataFrame:
+def embedding_text(foods: DataFrame, with_micros: bool = True, first_n: int | None = None) -> DataFrame:
     """V1: labelled text per food; NULL category -> Unknown, NULL number ->
-    N/A; names must be present. ``with_micros=False`` drops fiber/sodium."""
+    N/A; names must be present. ``with_micros=False`` drops fiber/sodium;
+    ``first_n`` keeps the first foods by id."""
+    named = foods.where(F.col("food_name").isNotNull())
+    if first_n is not None:
+        named = named.orderBy("fdc_id").limit(first_n)
+    return named.withColumn("embedding_text", labelled_text(with_micros))
+
+
+def labelled_text(with_micros: bool = True) -> Column:
+    """The text of ``embedding_text`` from a mart row's columns."""
     def num(c):
         return F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
     parts = [F.lit("Food: "), F.col("food_name"), F.lit(" Category: "), F.coalesce(F.col("category"), F.lit("Unknown")),
@@ -220,23 +280,83 @@ def embedding_text(foods: DataFrame, with_micros: bool = True) -> DataFrame:
              F.lit(" Carbs: "), num("carbohydrate"), F.lit("g"), F.lit(" Fat: "), num("total_fat"), F.lit("g")]
     if with_micros:
         parts += [F.lit(" Fiber: "), num("fiber"), F.lit("g"), F.lit(" Sodium: "), num("sodium"), F.lit("mg")]
-    return foods.where(F.col("food_name").isNotNull()).withColumn("embedding_text", F.concat(*parts))
+    return F.concat(*parts)
 
 
-def hash_embedding(texts: DataFrame, text_col: str, id_col: str, dim: int = 64) -> DataFrame:
-    """Deterministic feature-hash vector per text (tokens -> bucket by
-    xxhash64, signed counts, L2-normalized), built with explode + groupBy
-    so a long text spreads over the shuffle; a text without a token, or whose
-    counts cancel out, gets the zero vector; stands in for a remote model."""
+def token_counts(texts: DataFrame, text_col: str, id_cols: list[str], dim: int = 64) -> DataFrame:
+    """Per id the signed token counts of ``dim`` buckets, as columns ``t0``,
+    ``t1``, ...: a token's md5 names its bucket (first 8 hex digits modulo
+    ``dim``) and its sign (the ninth digit). Tokens are exploded and summed, so
+    a long text spreads over the shuffle; a text without a token counts 0."""
     words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
-    toks = texts.select(id_col, F.explode_outer(words).alias("t"))   # one NULL token for a text without any
-    h = F.xxhash64("t")
-    sign = F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    b = toks.select(id_col, F.pmod(h, F.lit(dim)).cast("int").alias("b"), F.when(F.col("t").isNull(), F.lit(0.0)).otherwise(sign).alias("s"))
-    c = b.groupBy(id_col, "b").agg(F.sum("s").alias("v"))
-    dense = c.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return dense.select(id_col, F.transform(vf.normalize(vec), lambda x: F.coalesce(x, F.lit(0.0))).alias("embedding"))
+    toks = texts.select(*id_cols, F.explode_outer(words).alias("t")).select(*id_cols, F.md5("t").alias("h"))  # one NULL token for a text without any
+    bucket = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dim).cast("int")
+    sign = F.when(F.substring("h", 9, 1) < "8", 1).otherwise(-1)
+    signed = toks.select(*id_cols, bucket.alias("b"), F.when(F.col("h").isNotNull(), sign).otherwise(0).alias("s"))
+    return signed.groupBy(*id_cols).agg(*[F.sum(F.when(F.col("b") == i, F.col("s")).otherwise(0)).alias(f"t{i}") for i in range(dim)])
+
+
+def hash_embedding(texts: DataFrame, text_col: str, id_col: str, dim: int = 64) -> DataFrame:
+    """Deterministic feature-hash vector per text: its token counts,
+    L2-normalized; a text without a token, or whose counts cancel out, gets
+    the zero vector; stands in for a remote model."""
+    vec = F.array(*[F.col(f"t{i}").cast("double") for i in range(dim)])
+    dense = token_counts(texts, text_col, [id_col], dim).select(id_col, vec.alias("v"))
+    return dense.select(id_col, F.transform(vf.normalize("v"), lambda x: F.coalesce(x, F.lit(0.0))).alias("embedding"))
+
+
+def context_retention(turns: DataFrame, foods: DataFrame, k: int = 3, dim: int = 64) -> DataFrame:
+    """Per thread, for each user turn after the first, the share of the
+    turn's retrieved names that were retrieved at an earlier turn; the mean
+    and 1 - population std over the turns.
+
+    The query of a turn is the text of all turns up to it (W13). Its vector
+    needs no joined text: token counts add up, so each turn is counted once
+    and a segmented prefix scan over (thread, turn) gives every query; a
+    thread of any length is spread over tasks. A name is "seen" at a turn if
+    its first turn in the thread is earlier, so no pairs of turns are formed.
+    ``turns``: thread_id, turn, content; ``foods``: fdc_id, food_name,
+    embedding_text.
+    """
+    cols = [f"t{i}" for i in range(dim)]
+
+    def vec(name):
+        return F.array(*[F.col(c).cast("double") for c in cols]).alias(name)
+    counted = token_counts(turns, "content", ["thread_id", "turn"], dim)
+    asked = running_totals(counted, ["thread_id"], ["turn"], cols).select(F.struct("thread_id", "turn").alias("qid"), vec("qvec"))
+    known = token_counts(foods, "embedding_text", ["fdc_id", "food_name"], dim).select("fdc_id", "food_name", vec("embedding"))
+    top = vector_topk_batch(known, asked, k)
+    names = top.select("qid.thread_id", "qid.turn", "food_name").distinct()
+    first = names.groupBy("thread_id", "food_name").agg(F.min("turn").alias("first_turn"))
+    start = turns.groupBy("thread_id").agg(F.min("turn").alias("t0"))
+    j = names.join(first, ["thread_id", "food_name"]).join(start, "thread_id").where(F.col("turn") > F.col("t0"))
+    per_turn = j.groupBy("thread_id", "turn").agg((F.sum((F.col("first_turn") < F.col("turn")).cast("int")) / F.count(F.lit(1))).alias("overlap"))
+    return per_turn.groupBy("thread_id").agg(F.avg("overlap").alias("mean_overlap"), (F.lit(1.0) - F.stddev_pop("overlap")).alias("retention"))
+
+
+def rag_aggregate(top: DataFrame, terms: DataFrame, times: DataFrame, k: int = 5) -> DataFrame:
+    """Per back-end the means over its queries of relevance, response
+    time, context usage and keyword coverage; the winner has the greatest
+    relevance x coverage.
+
+    ``top``: backend, qid, rank, food_name, category, similarity of the first
+    k rows; ``terms``: qid, terms; ``times``: backend, qid, response_ms. The
+    answer of a back-end is the context of the other one (V20); a query's k
+    rows are one row from the first aggregation on.
+    """
+    line = F.format_string("- %s (category %s)", F.col("food_name"), F.col("category").cast("string"))
+    per = top.where(F.col("rank") <= k).groupBy("backend", "qid").agg(
+        F.avg("similarity").alias("relevance"), F.collect_list("food_name").alias("names"),
+        F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))).alias("_l"))
+    per = per.withColumn("context", F.array_join(F.col("_l.l"), "\n")).drop("_l")
+    answer = per.select(F.col("backend").alias("_of"), "qid", F.col("context").alias("answer"))
+    j = per.join(answer, "qid").where(F.col("_of") != F.col("backend")).join(terms, "qid").join(times, ["backend", "qid"])
+    hits = F.size(F.filter(F.array_distinct("names"), lambda n: F.exists("terms", lambda t: F.contains(F.lower(n), t))))
+    scored = j.select("backend", "relevance", "response_ms", share_found(F.col("answer"), F.col("names")).alias("usage"), (hits / k).alias("coverage"))
+    s = scored.groupBy("backend").agg(*[F.avg(c).alias(c) for c in ("relevance", "response_ms", "usage", "coverage")])
+    s = s.withColumn("score", F.col("relevance") * F.col("coverage"))
+    best = s.agg(F.max_by("backend", F.struct("score", "backend")).alias("winner"))  # one row
+    return s.crossJoin(F.broadcast(best)).withColumn("is_winner", F.col("backend") == F.col("winner")).drop("winner")
 
 
 def embed_with(texts: DataFrame, id_col: str, text_col: str, fn, dim: int) -> DataFrame:

@@ -12,6 +12,8 @@ from larder.operators.common import global_index
 from larder.plans import analogues as an
 from larder.plans.q_marts import MART_MEAL_PLANNING_SQL
 from larder.plans.registry import register
+from larder.session import run_dir
+from larder.sources.sinks import materialize_table
 from larder.sources.tables import table
 
 
@@ -190,30 +192,36 @@ def q_context_usage(spark, d):
     return names.join(ctx, "qid").select("qid", vx.share_found(F.col("context"), F.col("names")).alias("context_usage"))
 
 
-@register("rag_aggregate", f"""WITH s AS (
-  SELECT 'A' AS backend, avg(r) AS relevance, avg(t) AS coverage FROM (
-    SELECT x.qid, avg(x.similarity) AS r, (SELECT SUM(CASE WHEN contains(lower(y.food_name), lower(tt.query_text)) THEN 1 ELSE 0 END) / 5
-      FROM (SELECT DISTINCT qid, food_name FROM ({topk_sql(5)})) y JOIN ({TERMS_SQL}) tt ON y.qid = tt.qid WHERE y.qid = x.qid) AS t
-    FROM ({topk_sql(5)}) x GROUP BY x.qid)
-  UNION ALL
-  SELECT 'B', avg(r), avg(t) FROM (
-    SELECT x.qid, avg(x.similarity) AS r, (SELECT SUM(CASE WHEN contains(lower(y.food_name), lower(tt.query_text)) THEN 1 ELSE 0 END) / 5
-      FROM (SELECT DISTINCT qid, food_name FROM ({topk_sql(5, FV_B)})) y JOIN ({TERMS_SQL}) tt ON y.qid = tt.qid WHERE y.qid = x.qid) AS t
-    FROM ({topk_sql(5, FV_B)}) x GROUP BY x.qid))
-SELECT backend, round(relevance, 6) AS relevance, round(coverage, 6) AS coverage, round(relevance * coverage, 6) AS score,
-  backend = (SELECT arg_max(backend, (relevance * coverage, backend)) FROM s) AS is_winner FROM s""")
+# Response times: events stand for the log of answered queries, views of one
+# back-end and clicks of the other.
+TIMED_BACKENDS = [("view", "A"), ("click", "B")]
+TIMES_SQL = f"""SELECT {an._case_sql('event_type', TIMED_BACKENDS)} AS backend, user_id % 10 AS qid, avg(value) AS response_ms
+FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL"""
+
+
+def response_times(spark, d):
+    e = table(spark, d, "events").where(F.col("event_type").isin(*[k for k, _ in TIMED_BACKENDS]))
+    return e.groupBy(an._case(F.col("event_type"), TIMED_BACKENDS).alias("backend"), (F.col("user_id") % 10).alias("qid")) \
+        .agg(F.avg("value").alias("response_ms"))
+
+
+@register("rag_aggregate", f"""WITH top AS (SELECT 'A' AS backend, * FROM ({topk_sql(5)}) UNION ALL SELECT 'B', * FROM ({topk_sql(5, FV_B)})),
+  ctx AS (SELECT 'A' AS backend, * FROM ({RAG_CTX_SQL(FV)}) UNION ALL SELECT 'B', * FROM ({RAG_CTX_SQL(FV_B)})),
+  rel AS (SELECT backend, qid, avg(similarity) AS relevance FROM top GROUP BY ALL),
+  cov AS (SELECT backend, y.qid, SUM(CASE WHEN contains(lower(food_name), lower(query_text)) THEN 1 ELSE 0 END) / 5 AS coverage
+    FROM (SELECT DISTINCT backend, qid, food_name FROM top) y JOIN ({TERMS_SQL}) t ON y.qid = t.qid GROUP BY ALL),
+  used AS (SELECT t.backend, t.qid, SUM(CASE WHEN contains(lower(c.context), lower(t.food_name)) THEN 1 ELSE 0 END) / COUNT(*) AS usage
+    FROM top t JOIN ctx c ON c.qid = t.qid AND c.backend <> t.backend GROUP BY ALL),
+  s AS (SELECT backend, avg(relevance) AS relevance, avg(response_ms) AS response_ms, avg(usage) AS usage, avg(coverage) AS coverage
+    FROM rel JOIN cov USING (backend, qid) JOIN used USING (backend, qid) JOIN ({TIMES_SQL}) USING (backend, qid) GROUP BY backend)
+SELECT backend, round(relevance, 6) AS relevance, round(response_ms, 6) AS response_ms, round(usage, 6) AS usage, round(coverage, 6) AS coverage,
+  round(relevance * coverage, 6) AS score, backend = (SELECT arg_max(backend, (relevance * coverage, backend)) FROM s) AS is_winner FROM s""")
 def q_rag_aggregate(spark, d):
-    terms = query_terms(spark, d)
-    rows = []
-    for name, b in (("A", False), ("B", True)):
-        t = topk(spark, d, 5, b)
-        per = vx.avg_relevance(t).join(vx.term_relevance(t, terms), "qid")
-        rows.append(per.agg(F.avg("avg_relevance").alias("relevance"), F.avg("term_relevance").alias("coverage"))
-                    .withColumn("backend", F.lit(name)))
-    s = rows[0].unionByName(rows[1]).withColumn("score", F.col("relevance") * F.col("coverage"))
-    win = s.agg(F.max_by("backend", F.struct("score", "backend")).alias("w")).scalar()
-    return s.select("backend", _r6(F.col("relevance")).alias("relevance"), _r6(F.col("coverage")).alias("coverage"),
-                    _r6(F.col("score")).alias("score"), (F.col("backend") == win).alias("is_winner"))
+    # both result tables are written once; everything else reads their few rows
+    top = topk(spark, d, 5).withColumn("backend", F.lit("A")).unionByName(topk(spark, d, 5, b=True).withColumn("backend", F.lit("B")))
+    top = materialize_table(top, run_dir(spark, "larder/rag_aggregate/top"))
+    r = vx.rag_aggregate(top, query_terms(spark, d).select("qid", "terms"), response_times(spark, d))
+    return r.select("backend", *[_r6(F.col(c)).alias(c) for c in ("relevance", "response_ms", "usage", "coverage", "score")], "is_winner")
 
 
 @register("union_model_results", f"""SELECT 'A' AS backend, qid, fdc_id, rank FROM ({topk_sql(5)})
@@ -352,17 +360,38 @@ _ET_MICRO = """ || ' Fiber: ' || COALESCE(CAST(fiber AS VARCHAR), 'N/A') || 'g'
 
 @register("embedding_text", f"SELECT fdc_id, {_ET}{_ET_MICRO} AS embedding_text, {_ET} AS embedding_text_short FROM ({MART_FOODS}) WHERE food_name IS NOT NULL")
 def q_embedding_text(spark, d):
-    mt = mart(spark, d)
-    full = vx.embedding_text(mt, True).select("fdc_id", "embedding_text")
-    short = vx.embedding_text(mt, False).select("fdc_id", F.col("embedding_text").alias("embedding_text_short"))
-    return full.join(short, "fdc_id")
+    # both variants are projections of one mart row
+    return vx.embedding_text(mart(spark, d)).select("fdc_id", "embedding_text", vx.labelled_text(False).alias("embedding_text_short"))
+
+
+# Fixed value: how many foods were embedded, the first by id.
+FIRST_N = 10_000
+
+
+@register("embedding_text_first_n", f"SELECT fdc_id, {_ET}{_ET_MICRO} AS embedding_text FROM ({MART_FOODS}) WHERE food_name IS NOT NULL ORDER BY fdc_id LIMIT {FIRST_N}")
+def q_embedding_text_first_n(spark, d):
+    return vx.embedding_text(mart(spark, d), first_n=FIRST_N).select("fdc_id", "embedding_text")
+
+
+def counts_sql(ids, text, src, dim=64):
+    """Signed token counts of ``dim`` buckets per id, as a list of doubles."""
+    return f"""SELECT {ids}, list(coalesce(s, 0)::DOUBLE ORDER BY b) AS vec FROM (
+  SELECT {ids}, b, sum(s) AS s FROM (
+    SELECT {ids}, CASE WHEN t = '' THEN 0 ELSE ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} END AS b,
+      CASE WHEN t = '' THEN 0 WHEN substr(md5(t), 9, 1) < '8' THEN 1 ELSE -1 END AS s
+    FROM (SELECT {ids}, unnest(list_append(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'), '')) AS t FROM ({src}))
+    UNION ALL SELECT {ids}, unnest(range({dim})), 0 FROM ({src})) GROUP BY ALL) GROUP BY ALL"""
 
 
-@register("hash_embedding")
+@register("hash_embedding", f"""SELECT doc_id, CAST(len(vec) AS BIGINT) AS dim, round(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END, 6) AS norm,
+  array_to_string(list_transform(vec, lambda x: CASE WHEN n > 0 THEN round(x / n * 1000000)::BIGINT ELSE 0 END), ',') AS micro
+FROM (SELECT *, sqrt(list_dot_product(vec, vec)) AS n FROM ({counts_sql('doc_id', 'text', 'SELECT doc_id, text FROM documents')}))""")
 def q_hash_embedding(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     h = vx.hash_embedding(docs, "text", "doc_id", 64)
-    return h.select("doc_id", F.size("embedding").cast("long").alias("dim"), _r6(vf.norm("embedding")).alias("norm"))
+    # the vector itself, in millionths
+    micro = F.array_join(F.transform("embedding", lambda x: F.round(x * 1000000).cast("long").cast("string")), ",")
+    return h.select("doc_id", F.size("embedding").cast("long").alias("dim"), _r6(vf.norm("embedding")).alias("norm"), micro.alias("micro"))
 
 
 @register("batch_slices", f"SELECT fdc_id, CAST(ROW_NUMBER() OVER (ORDER BY fdc_id) AS BIGINT) AS row_index, CAST((ROW_NUMBER() OVER (ORDER BY fdc_id) - 1) // 100 AS BIGINT) AS batch FROM ({FV})")
@@ -371,12 +400,13 @@ def q_batch_slices(spark, d):
     return idx.select("fdc_id", "row_index", ((F.col("row_index") - 1) / 100).cast("long").alias("batch"))
 
 
-@register("slice_by_minus", f"""SELECT fdc_id, food_name FROM (SELECT fdc_id, food_name FROM ({FV}) ORDER BY fdc_id LIMIT 200)
-EXCEPT SELECT fdc_id, food_name FROM (SELECT fdc_id, food_name FROM ({FV}) ORDER BY fdc_id LIMIT 100)""")
+@register("slice_by_minus", f"""SELECT DISTINCT CAST((rn - 1) // 100 AS BIGINT) AS slice, fdc_id, food_name
+FROM (SELECT fdc_id, food_name, row_number() OVER (ORDER BY fdc_id) AS rn FROM ({FV}))""")
 def q_slice_by_minus(spark, d):
-    # rows (100, 200] by id: one ranked pass instead of two limits and a set difference
+    # slice i is the first 100 (i + 1) rows by id minus the first 100 i: one
+    # ranked pass gives every slice, without limits and set differences
     idx = global_index(food_vectors(spark, d).select("fdc_id", "food_name"), ["fdc_id"])
-    return idx.where((F.col("row_index") > 100) & (F.col("row_index") <= 200)).select("fdc_id", "food_name").distinct()
+    return idx.select(((F.col("row_index") - 1) / 100).cast("long").alias("slice"), "fdc_id", "food_name").distinct()
 
 
 @register("factual_accuracy", f"""WITH f AS (SELECT fdc_id, food_name, calories, string_split(food_name, ' ')[-1] AS word FROM ({MART_FOODS})),
@@ -435,26 +465,26 @@ def q_keyword_coverage(spark, d):
                     _r6(vx.share_found(F.col("text"), kw)).alias("coverage"))
 
 
-@register("context_retention")
+_TURNS_SQL = f"SELECT thread_id, turn, content FROM ({an.MESSAGES_SQL}) WHERE role = 'user'"
+_FOOD_COUNTS_SQL = counts_sql("fdc_id, food_name", "t", f"SELECT fdc_id, food_name, {_ET} AS t FROM ({MART_FOODS}) WHERE food_name IS NOT NULL")
+
+
+@register("context_retention", f"""WITH c AS ({counts_sql('thread_id, turn', 'content', _TURNS_SQL)}),
+  q AS (SELECT thread_id, turn, list(s ORDER BY b) AS qvec FROM (
+    SELECT thread_id, turn, b, sum(x) OVER (PARTITION BY thread_id, b ORDER BY turn) AS s
+    FROM (SELECT thread_id, turn, unnest(vec) AS x, generate_subscripts(vec, 1) AS b FROM c)) GROUP BY ALL),
+  f AS ({_FOOD_COUNTS_SQL}),
+  s AS (SELECT q.thread_id, q.turn, f.fdc_id, f.food_name,
+    CASE WHEN list_dot_product(q.qvec, q.qvec) > 0 AND list_dot_product(f.vec, f.vec) > 0
+      THEN list_dot_product(f.vec, q.qvec) / (sqrt(list_dot_product(f.vec, f.vec)) * sqrt(list_dot_product(q.qvec, q.qvec))) END AS sim FROM q, f),
+  n AS (SELECT DISTINCT thread_id, turn, food_name FROM (
+    SELECT *, row_number() OVER (PARTITION BY thread_id, turn ORDER BY sim DESC NULLS LAST, fdc_id) AS rn FROM s) WHERE rn <= 3),
+  o AS (SELECT thread_id, turn, avg(CASE WHEN seen < turn THEN 1.0 ELSE 0.0 END) AS overlap FROM (
+    SELECT *, min(turn) OVER (PARTITION BY thread_id, food_name) AS seen, min(turn) OVER (PARTITION BY thread_id) AS t0 FROM n)
+    WHERE turn > t0 GROUP BY ALL)
+SELECT thread_id, round(avg(overlap), 6) AS mean_overlap, round(1.0 - stddev_pop(overlap), 6) AS retention FROM o GROUP BY thread_id""")
 def q_context_retention(spark, d):
-    """Per conversation, for each user turn after the first, the share
-    of the turn's retrieved names already retrieved at an earlier turn; the
-    mean and 1 - population std. Queries are the cumulative user texts (W13),
-    embedded with the feature-hash stand-in (V18) in the same space as the
-    food texts. A name is "seen" at turn t when its first turn in the thread
-    is earlier, so no pairs of turns are formed."""
-    from larder.operators import memory as mm
-    msgs = an.messages(spark, d).where(F.col("role") == "user")
-    cum = mm.cumulative_conversation(msgs).select(
-        "thread_id", "turn", F.concat_ws(":", "thread_id", "turn").alias("qid"), "cumulative_query")
-    qv = vx.hash_embedding(cum, "cumulative_query", "qid", 64).withColumnRenamed("embedding", "qvec")
-    foods = vx.embedding_text(mart(spark, d), False)
-    fv = vx.hash_embedding(foods, "embedding_text", "fdc_id", 64).join(foods.select("fdc_id", "food_name"), "fdc_id")
-    res = vx.vector_topk_batch(fv, qv, 3).join(cum.select("qid", "thread_id", "turn"), "qid")
-    names = res.select("thread_id", "turn", "food_name").distinct()
-    first = names.groupBy("thread_id", "food_name").agg(F.min("turn").alias("first_turn"))
-    start = names.groupBy("thread_id").agg(F.min("turn").alias("t0"))
-    j = names.join(first, ["thread_id", "food_name"]).join(start, "thread_id").where(F.col("turn") > F.col("t0"))
-    per_turn = j.groupBy("thread_id", "turn").agg((F.sum((F.col("first_turn") < F.col("turn")).cast("int")) / F.count(F.lit(1))).alias("overlap"))
-    g = per_turn.groupBy("thread_id").agg(F.avg("overlap").alias("mean_overlap"), F.stddev_pop("overlap").alias("sd"))
-    return g.select("thread_id", _r6(F.col("mean_overlap")).alias("mean_overlap"), _r6(F.lit(1.0) - F.col("sd")).alias("retention"))
+    turns = an.messages(spark, d).where(F.col("role") == "user").select("thread_id", "turn", "content")
+    foods = vx.embedding_text(mart(spark, d), False).select("fdc_id", "food_name", "embedding_text")
+    r = vx.context_retention(turns, foods)
+    return r.select("thread_id", _r6(F.col("mean_overlap")).alias("mean_overlap"), _r6(F.col("retention")).alias("retention"))

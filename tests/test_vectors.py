@@ -25,7 +25,7 @@ def test_topk_batch_matches_brute_force(spark):
     rng = np.random.default_rng(9)
     qs = rng.normal(size=(5, data.shape[1]))
     qdf = spark.createDataFrame([(i, [float(x) for x in qs[i]]) for i in range(5)], "qid long, qvec array<double>")
-    for block in (1024, 2):   # single block and several hash blocks
+    for block in (1024, 2):   # one block sent to all tasks, and a table of blocks
         res = vx.vector_topk_batch(v, qdf, 3, block=block)
         got = {}
         for r in res.collect():
@@ -125,3 +125,90 @@ def test_hash_embedding_keeps_texts_without_tokens(spark):
     assert sorted(got) == [1, 2, 3, 4]
     assert abs(np.linalg.norm(got[1]) - 1.0) < 1e-12
     assert got[2] == got[3] == got[4] == [0.0] * 16
+
+
+def test_topk_batch_edge_cases(spark):
+    """Zero, NULL, short and NULL-holding vectors rank last by id; equal
+    vectors go by id; both ways agree, whatever the size of a block."""
+    rows = [(5, "a", [1.0, 0.0]), (3, "b", [2.0, 0.0]), (9, "c", [0.0, 0.0]), (8, "d", None), (7, "e", [1.0]), (6, "f", [None, 1.0]),
+            (2, "g", [-1.0, 0.5]), (3, "b", [2.0, 0.0])]
+    v = spark.createDataFrame(rows, "fdc_id long, food_name string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([("x", [3.0, 0.0]), ("y", [0.0, 0.0]), ("z", None), ("w", [1.0, 2.0, 3.0]), (None, [0.0, 1.0])], "qid string, qvec array<double>")
+
+    def got(block):
+        return sorted(((r.qid, r.rank, r.fdc_id, r.food_name, None if r.similarity is None else round(r.similarity, 9))
+                       for r in vx.vector_topk_batch(v, q, 7, block=block).collect()), key=str)
+    one = got(10)
+    assert one == got(5) == got(4) == got(1)
+    x = [r[2:] for r in sorted((r for r in one if r[0] == "x"), key=lambda r: r[1])]
+    assert x == [(3, "b", 1.0), (3, "b", 1.0), (5, "a", 1.0), (2, "g", round(-1 / 1.25 ** 0.5, 9)), (6, "f", None), (7, "e", None), (8, "d", None)]
+    assert [r[2] for r in one if r[0] == "y"] == [2, 3, 3, 5, 6, 7, 8] and all(r[4] is None for r in one if r[0] in ("y", "z", "w"))
+    assert vx.vector_topk_batch(v.limit(0), q, 2).count() == 0
+    assert vx.vector_topk_batch(v, q.limit(0), 2).count() == 0
+
+
+def test_topk_batch_many_ties_in_one_batch(spark, monkeypatch):
+    """More equal vectors than a chunk holds: the smallest ids win."""
+    from larder.functions import blockscore
+    monkeypatch.setattr(blockscore, "ROWS", 16)
+    import pyarrow as pa
+    best = blockscore.BlockTopK(pa.array([1, 2]), pa.array([[1.0, 0.0], [0.6, 0.8]]), 3)
+    ids = np.random.default_rng(1).permutation(500)
+    for a in range(0, 500, 100):
+        best.add(pa.RecordBatch.from_arrays([pa.array(ids[a:a + 100]), pa.array([[0.5, 0.5]] * 100)], ["id", "vec"]))
+    out = next(best.results()).to_pylist()
+    assert sorted((r["qid"], r["id"]) for r in out) == [(q, i) for q in (1, 2) for i in range(3)]
+
+
+def test_plan_size_is_free_of_the_query_count(spark):
+    import time
+    v, _ = _vectors(spark, n=30)
+
+    def plan_of(n):
+        q = spark.range(n).select(F.col("id").alias("qid"), F.array(*[F.rand(i) for i in range(8)]).alias("qvec"))
+        started = time.time()
+        df = vx.vector_topk_batch(v, q, 2)
+        plan = df._jdf.queryExecution().toString()
+        return df, len(plan), time.time() - started
+    few, size, _ = plan_of(5000)
+    assert few.groupBy("qid").count().where("count = 2").count() == 5000
+    _, many_size, seconds = plan_of(262_144)
+    assert many_size < size * 1.1 and seconds < 30
+
+
+def test_running_totals(spark):
+    """A key with two thirds of the rows runs over several partitions."""
+    rng = np.random.default_rng(7)
+    rows = [(None if k == 0 else int(k) if k < 5 else 5, i, int(x), -int(x)) for i, (k, x) in enumerate(zip(rng.integers(0, 15, 900), rng.integers(0, 100, 900)))]
+    df = spark.createDataFrame(rows, "k long, t long, a long, b long").repartition(5)
+    got = {(r.k, r.t): (r.a, r.b) for r in cm.running_totals(df, ["k"], ["t"], ["a", "b"], n_parts=6).collect()}
+    sums, exp = {}, {}
+    for k, t, a, b in rows:
+        s = sums.get(k, (0, 0))
+        sums[k] = exp[k, t] = s[0] + a, s[1] + b
+    assert got == exp
+    assert cm.running_totals(df.limit(0), ["k"], ["t"], ["a"]).count() == 0
+
+
+def test_context_retention_brute_force(spark):
+    """The scanned counts give what the joined texts give, for a thread that is longer than a range."""
+    rng = np.random.default_rng(5)
+    words = "oats milk rice beans egg kale fig nut soy corn".split()
+    foods = [(i, f"f{i % 9}", " ".join(rng.choice(words, 4))) for i in range(25)]
+    turns = [(t, i, None if i == 3 else " ".join(rng.choice(words, 2))) for t, n in ((1, 40), (2, 3), (3, 1)) for i in range(n)]
+    f = spark.createDataFrame(foods, "fdc_id long, food_name string, embedding_text string")
+    m = spark.createDataFrame(turns, "thread_id long, turn long, content string")
+    got = {r.thread_id: (r.mean_overlap, r.retention) for r in vx.context_retention(m, f, dim=16).collect()}
+    joined = [(f"{t}:{i}", " ".join(x or "" for a, b, x in turns if a == t and b <= i)) for t, i, _ in turns]
+    emb = {r.id: np.array(r.embedding) for r in vx.hash_embedding(spark.createDataFrame(joined, "id string, text string"), "text", "id", 16).collect()}
+    femb = {r.fdc_id: np.array(r.embedding) for r in vx.hash_embedding(f, "embedding_text", "fdc_id", 16).collect()}
+    seen, exp = {}, {}
+    for t, i, _ in turns:
+        sims = sorted(((-round(float(emb[f"{t}:{i}"] @ femb[k]), 9) if emb[f"{t}:{i}"].any() and femb[k].any() else 9, k, n) for k, n, _ in foods))[:3]
+        names = {n for _, _, n in sims}
+        if t in seen:
+            exp.setdefault(t, []).append(len(names & seen[t]) / len(names))
+        seen[t] = seen.get(t, set()) | names
+    assert set(got) == set(exp) == {1, 2}
+    for t, x in exp.items():
+        assert abs(got[t][0] - np.mean(x)) < 1e-9 and abs(got[t][1] - (1 - np.std(x))) < 1e-9
