@@ -44,6 +44,10 @@ CELLS = 1 << 15
 LANGUAGES = 4096
 #: Different (language, n-gram) pairs that a task holds before it passes them on.
 HELD = 4_000_000
+#: Bytes of text that a task turns into n-grams at a time.
+PIECE = 1 << 20
+#: Tasks that rank the n-grams of one language.
+SHARES = 16
 UNKNOWN = "und"
 
 LETTER = np.zeros(256, bool)
@@ -96,7 +100,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang = pa.array(names, pa.string()).take(pa.array((keys >> np.uint64(40)).astype(np.int64)))
         return pa.RecordBatch.from_arrays([lang, pa.array((keys & np.uint64((1 << 40) - 1)).astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
-    for rows, data, offs in textvec.pieces(map(_lowered, batches)):
+    for rows, data, offs in textvec.pieces(map(_lowered, batches), size=PIECE):
         here = rows.column(rows.schema.get_field_index("lang")).to_pylist()
         for x in here:
             if x not in codes:
@@ -121,8 +125,12 @@ def learned(train: DataFrame, kept: int = KEPT) -> dict[str, np.ndarray]:
     if len(some) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     counts = train.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    top = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= kept).select("lang", "gram").toPandas()  # kept x LANGUAGES rows at most
+    # a share of each language's n-grams first, so that no task ranks all of a language
+    order = [F.col("n").desc(), F.col("gram")]
+    share = F.pmod(F.xxhash64("gram"), F.lit(SHARES))
+    some_of = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))).where(F.col("k") <= kept)
+    best = some_of.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= kept)
+    top = best.select("lang", "gram").toPandas()  # kept x LANGUAGES rows at most
     found = {lang: g["gram"].to_numpy(np.int64).astype(np.uint64) for lang, g in top.groupby("lang")}
     return {r["lang"]: found.get(r["lang"], np.zeros(0, np.uint64)) for r in sorted(some, key=lambda r: r["lang"])}
 
@@ -162,10 +170,12 @@ class Filter:
         n = len(offs) - 1
         total, hits = np.zeros(n), np.zeros((n, len(self.names)))
         for grams, own in ngrams(data, offs):
-            total += np.bincount(own, minlength=n)
+            cuts = np.searchsorted(own, np.arange(n + 1))
+            total += np.diff(cuts)
             found = self.containing(grams)
             for i in range(len(self.names)):
-                hits[:, i] += np.bincount(own, ((found[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(float), n)
+                has = ((found[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(np.uint8)
+                hits[:, i] += np.diff(np.append(0, np.cumsum(has, dtype=np.int64))[cuts])
         share = hits / np.maximum(total, 1)[:, None]
         return np.clip((share - self.false) / (1 - self.false), 0, 1)
 
@@ -178,7 +188,7 @@ def predictions(docs: DataFrame, model: Filter) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = pa.array([*model.names, UNKNOWN], pa.string())
-        for rows, data, offs in textvec.pieces(map(_lowered, batches)):
+        for rows, data, offs in textvec.pieces(map(_lowered, batches), size=PIECE):
             letters = pc.match_substring_regex(rows.column(rows.schema.get_field_index("text")), r"\p{L}").to_numpy(zero_copy_only=False)
             best, score = np.full(rows.num_rows, len(model.names)), np.zeros(rows.num_rows)
             if model.names:

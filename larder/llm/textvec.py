@@ -47,8 +47,8 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of about ``BATCH`` bytes of text: (rows, bytes, offsets)."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BATCH) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of about ``size`` bytes of text: (rows, bytes, offsets)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         wide = pa.types.is_large_string(col.type)
@@ -58,7 +58,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
         data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
         a = 0
         while a < len(col):
-            b = max(a + 1, int(np.searchsorted(offs, offs[a] + BATCH, "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(offs, offs[a] + size, "right")) - 1)
             b = min(b, len(col))
             yield batch.slice(a, b - a), data[offs[a]:offs[b]], offs[a:b + 1] - offs[a]
             a = b
