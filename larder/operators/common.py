@@ -55,38 +55,52 @@ def global_index(df: DataFrame, order_cols: list[str], n_parts: int | None = Non
             .drop("_pid", "_local", "_off"))
 
 
-def running_totals(df: DataFrame, keys: list[str], order: list[str], values: list[str],
-                   n_parts: int | None = None) -> DataFrame:
-    """The columns ``values`` summed over the rows of a key up to each row, in
-    ``order`` (a total order within a key): a segmented prefix scan.
-
-    Rows are range-partitioned on key and order, so the rows of one key, be
-    they most of the table, are a range of partitions; that layout is
-    checkpointed once. A task sums within its range. A key that goes on over
-    a border gets the totals of its earlier ranges: only the first and last
-    key of a range do, so these offsets are two rows a partition at most and
-    are broadcast.
-    """
-    from pyspark.sql import Window
+def laid_out(df: DataFrame, keys: list[str], order: list[str], n_parts: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted by keys and order, checkpointed
+    once, with ``_pid`` (its range) and ``_at`` (ascends within a range): the
+    rows of one key, be they most of the table, are consecutive ranges."""
     from larder.session import ensure_checkpoint_dir
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).checkpoint(eager=True)
-    ranged = laid.withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    totals = ranged.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    return laid.withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+
+
+def scanned(laid: DataFrame, keys: list[str], values: dict[str, Column], op: str, before: bool = False) -> DataFrame:
+    """A segmented prefix scan over ``laid_out`` rows: columns that hold the
+    ``op`` (sum or max) of ``values`` over the rows of the key up to each row,
+    or up to the row ``before`` it.
+
+    A task scans its range. A key that goes on over a border gets the result
+    of its earlier ranges; only the first and last key of a range do, so
+    these are two rows a range at most and are broadcast.
+    """
+    from pyspark.sql import Window
+
+    fold, both = {"sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))), "max": (F.max, F.greatest)}[op]
+    names = list(values)
+    laid = laid.withColumns({f"_v_{n}": c for n, c in values.items()})
+    totals = laid.groupBy("_pid", *keys).agg(*[fold(f"_v_{n}").alias(f"_t_{n}") for n in names])
     over = Window.partitionBy(*keys)
     earlier = over.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (totals.withColumn("_n", F.count(F.lit(1)).over(over))
-               .select("_pid", *keys, "_n", *[F.sum(f"_t_{v}").over(earlier).alias(f"_o_{v}") for v in values])
+    carried = (totals.withColumn("_n", F.count(F.lit(1)).over(over))
+               .select(F.col("_pid").alias("_c_pid"), *[F.col(k).alias(f"_c_{k}") for k in keys], "_n", *[fold(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in names])
                .where("_n > 1").drop("_n"))
-    here = Window.partitionBy("_pid", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    inside = ranged.select("_pid", *keys, *[c for c in df.columns if c not in keys and c not in values],
-                           *[F.sum(v).over(here).alias(v) for v in values])
-    on = [inside["_pid"] == offsets["_pid"], *[inside[k].eqNullSafe(offsets[k]) for k in keys]]
-    joined = inside.join(F.broadcast(offsets), on, "left")
-    return joined.select(*[(inside[c] + F.coalesce(offsets[f"_o_{c}"], F.lit(0))).alias(c) if c in values else inside[c] for c in df.columns])
+    here = Window.partitionBy("_pid", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    inside = laid.withColumns({f"_i_{n}": fold(f"_v_{n}").over(here) for n in names})
+    on = [F.col("_pid") == F.col("_c_pid"), *[F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]]
+    joined = inside.join(F.broadcast(carried), on, "left")
+    out = {n: both(F.col(f"_i_{n}"), F.col(f"_o_{n}")) for n in names}
+    return joined.withColumns(out).drop("_c_pid", *[f"_c_{k}" for k in keys], *[f"_{x}_{n}" for n in names for x in "vio"])
+
+
+def running_totals(df: DataFrame, keys: list[str], order: list[str], values: list[str],
+                   n_parts: int | None = None) -> DataFrame:
+    """The columns ``values`` summed over the rows of a key up to each row, in
+    ``order`` (a total order within a key)."""
+    return scanned(laid_out(df, keys, order, n_parts), keys, {v: F.col(v) for v in values}, "sum").select(*df.columns)
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
