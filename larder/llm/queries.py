@@ -62,7 +62,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_ranks() -> str:
     import public_tokenizers
-    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query("op9_config_packing")

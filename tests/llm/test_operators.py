@@ -153,6 +153,21 @@ def test_doubling_inside_and_across(spark, rows_at_once, monkeypatch):
     assert got == {k: (n, g, brute.sha(t)) for k, (n, g, t) in exp.items()}
 
 
+def test_doubling_rows_of_one_id(spark):
+    """Each text of an id loses its own words only, and each repeats the other's."""
+    run, other = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("r", 30), ("o", 60))]
+    rows = [(1, run), (2, "two words " + run), (2, other), (3, "x " + other), (3, "x " + other), (None, run), (4, other), (4, run + " y")]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in doubling.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 30, 0), (1, 30, 0), (2, 32, 30), (2, 60, 0), (3, 61, 60), (3, 61, 60), (4, 31, 30), (4, 60, 60)]
+
+
+def test_doubling_ids_that_are_strings(spark):
+    run = " ".join(f"r{i}" for i in range(25))
+    df = spark.createDataFrame([("b", run), ("a10", "x " + run), ("a9", run + " y"), (None, run), ("c", None)], "doc_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in doubling.substring_dedup(df).collect()}
+    assert got == {"a10": (26, 0), "a9": (26, 25), "b": (25, 25), None: (25, 0), "c": (0, 0)}
+
+
 def test_winnowing(docs, no_docs, rows):
     got = by_id(winnowing.edited_fingerprints(docs))
     texts = {r[0]: r[1] or "" for r in rows}
@@ -203,11 +218,28 @@ def test_mixing(docs, no_docs, rows):
 @pytest.fixture(scope="module")
 def tokenizer():
     public = pytest.importorskip("public_tokenizers")
-    return str(public.path("byte_bpe_50k.tiktoken")), str(public.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+    path = str(public.path("byte_bpe_50k.json"))
+    plain = Tokenizer.from_file(path)
+    return path, lambda text: plain.encode(text, add_special_tokens=False).ids
+
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y <|endoftext| >", "word " * 30_000 + "<|endoftext|> more"]
+
+
+def test_ids_of_special_tokens(tokenizer):
+    """What the vocabulary adds is one id wherever a text spells it."""
+    encode = packing._tokenizer(tokenizer[0])
+    assert tokenizer[1](SPECIAL[0]) == [64, 220, 50256, 275]
+    for text in SPECIAL:
+        assert [i for p in packing._parts(text) for i in encode(p)] == tokenizer[1](text)
 
 
-def test_packing(docs, no_docs, rows, tokenizer):
-    plain = packing._tokenizer(tokenizer[1])
+def test_packing(spark, docs, no_docs, rows, tokenizer):
+    plain = tokenizer[1]
+    some = [(500 + k, t) for k, t in enumerate(SPECIAL)]
+    docs = docs.select("doc_id", "text", "score").unionByName(spark.createDataFrame([(*r, "x") for r in some], "doc_id long, text string, score string"))
+    rows = [*rows, *some]
     exp = defaultdict(int)
     for r in rows:
         ids = np.array([*plain(r[1] or ""), 0], "<u4")
@@ -233,7 +265,7 @@ def test_packing(docs, no_docs, rows, tokenizer):
 
 def test_packing_long_text_in_parts(tokenizer, monkeypatch):
     text = "Don't stop me now, he'll say 12345 times \n\n  ok?" * 50
-    whole = packing._tokenizer(tokenizer[1])(text)
+    whole = tokenizer[1](text)
     monkeypatch.setattr(packing, "CHUNK", 40)
     encode = packing._tokenizer(tokenizer[0])
     parts = list(packing._parts(text))
