@@ -46,7 +46,7 @@ def job_location(spark: SparkSession, name: str, source: str) -> str:
     """Where a job over ``source`` keeps its output and checkpoint: the same
     place for every run of every application with this checkpoint folder."""
     key = hashlib.sha256(source.rstrip("/").encode()).hexdigest()[:16]
-    return scratch_dir(spark, f"larder/stream-jobs/{key}/{name}")
+    return scratch_dir(spark, f"larder/stream-jobs/v2/{key}/{name}")
 
 
 def _own_location(spark: SparkSession, name: str) -> str:
