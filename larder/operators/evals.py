@@ -245,3 +245,18 @@ def ground_truth_verdict(df: DataFrame, pairs: list[tuple[str, str]], tol: float
     for g, t in pairs:
         cond = cond & (F.abs(F.col(g) - F.col(t)) <= tol * F.col(t))
     return F.when(cond, F.lit("CORRECT")).otherwise(F.lit("INCORRECT"))
+
+
+def actual_intent(plan: Column, error: Column) -> Column:
+    """The first action of a router's plan (a JSON array of steps);
+    ``unknown`` for an empty, missing or unreadable plan, ``ERROR`` for a case
+    that failed."""
+    steps = F.from_json(plan, "array<struct<action string>>")
+    return F.when(error.isNotNull(), F.lit("ERROR")).otherwise(F.coalesce(F.get(steps, F.lit(0))["action"], F.lit("unknown")))
+
+
+def intent_accuracy(cases: DataFrame) -> DataFrame:
+    """Share of cases whose actual intent is the expected one, by
+    category and complexity."""
+    hit = F.when(F.col("actual_intent") == F.col("expected_intent"), 1.0).otherwise(0.0)
+    return cases.groupBy("category", "complexity").agg(F.avg(hit).alias("intent_accuracy"), F.count(F.lit(1)).cast("long").alias("n_cases"))

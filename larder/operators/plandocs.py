@@ -93,6 +93,17 @@ def plan_suggestions(parsed: DataFrame, key_cols: list[str]) -> DataFrame:
                     F.coalesce("s.unit", F.lit("unit")).alias("unit"))
 
 
+def replaced_suggestions(parsed: DataFrame, suggestions: DataFrame, key_cols: list[str]) -> DataFrame:
+    """The new ``suggestions`` (key columns, items) take the place of
+    ``future_suggestions`` inside the week summary of their plan; all else in
+    the summary stays. Plans without a summary or without new suggestions are
+    not updated and have no row. Returns the key columns and the summary as
+    JSON text."""
+    summary = F.col("doc.meal_plan.week_summary")
+    j = parsed.where(summary.isNotNull()).select(*key_cols, summary.alias("_s")).join(suggestions, key_cols)
+    return j.select(*key_cols, F.to_json(F.col("_s").withField("future_suggestions", F.col("items"))).alias("week_summary"))
+
+
 def shopping_list_items(parsed: DataFrame, key_cols: list[str]) -> DataFrame:
     """Every category array of the summary -> (category, item, qty, unit)."""
     shop = F.col("doc.recommendations.shopping_list_summary")

@@ -73,6 +73,22 @@ def new_schedule_dates(start_col="plan_start_date"):
     return [F.date_add(s, 5).alias("next_plan_date"), F.date_add(s, 7).alias("plan_end_date")]
 
 
+def schedules_of_new_plans(planned: DataFrame, run_date: str) -> DataFrame:
+    """D27 (new plan): for each user with a new plan an ACTIVE schedule that
+    starts the day after the run; its id is a hash of user and start, so a
+    run that is repeated makes the same rows."""
+    start = F.date_add(F.lit(run_date).cast("date"), 1)
+    rows = planned.select("user_id").distinct().withColumn("plan_start_date", start)
+    key = F.sha2(F.concat_ws("|", "user_id", "plan_start_date"), 256)
+    return rows.select(key.alias("schedule_id"), "user_id", "plan_start_date", *new_schedule_dates(), F.lit("ACTIVE").alias("status"))
+
+
+def closed_schedules(schedules: DataFrame, planned: DataFrame) -> DataFrame:
+    """D27 (new plan): the ids of the users' earlier schedules, INACTIVE from now on."""
+    old = schedules.join(planned.select("user_id").distinct(), "user_id", "left_semi")
+    return old.select("schedule_id", F.lit("INACTIVE").alias("status"))
+
+
 def workflow_outcome_counts(outcomes: DataFrame) -> DataFrame:
     """Success / failure / error counts of a batch."""
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).cast("long").alias("n"))

@@ -238,13 +238,32 @@ def q_calorie_error(spark, d):
                     F.col("e.success").alias("success"))
 
 
-@register("intent_accuracy", f"""SELECT model_version AS category, round(avg(CASE WHEN actual_intent = expected_intent THEN 1.0 ELSE 0.0 END), 6) AS intent_accuracy,
-  CAST(COUNT(*) AS BIGINT) AS n_cases FROM ({LOG}) GROUP BY model_version""")
+# Plans of the router: the expected action first for most cases, an empty plan,
+# no plan, and text that is no array.
+INTENT_CASES_SQL = f"""SELECT id, model_version AS category, CASE WHEN id % 3 = 0 THEN 'high' ELSE 'low' END AS complexity, expected_intent,
+  CASE WHEN error IS NOT NULL THEN 'ERROR' WHEN id % 7 < 3 OR id % 11 = 0 THEN 'unknown'
+    WHEN id % 5 = 0 THEN 'inventory_update' ELSE expected_intent END AS actual_intent FROM ({LOG})"""
+
+
+def intent_cases(spark, d):
+    lg, i = an.eval_log(spark, d), F.col("id")
+    first = F.when(i % 5 == 0, F.lit("inventory_update")).otherwise(F.col("expected_intent"))
+    steps = F.array(F.struct(first.alias("action"), F.lit("q").alias("query")), F.struct(F.lit("general_chat").alias("action"), F.lit("").alias("query")))
+    plan = (F.when(i % 11 == 0, F.lit("no plan")).when(i % 7 == 0, F.lit("[]")).when(i % 7 == 1, F.lit(None).cast("string"))
+            .when(i % 7 == 2, F.lit('[{"query": "x"}]')).otherwise(F.to_json(steps)))
+    return lg.select("id", F.col("model_version").alias("category"), F.when(i % 3 == 0, F.lit("high")).otherwise(F.lit("low")).alias("complexity"),
+                     "expected_intent", ev.actual_intent(plan, F.col("error")).alias("actual_intent"))
+
+
+@register("actual_intent", f"SELECT id, expected_intent, actual_intent FROM ({INTENT_CASES_SQL})")
+def q_actual_intent(spark, d):
+    return intent_cases(spark, d).select("id", "expected_intent", "actual_intent")
+
+
+@register("intent_accuracy", f"""SELECT category, complexity, round(avg(CASE WHEN actual_intent = expected_intent THEN 1.0 ELSE 0.0 END), 6) AS intent_accuracy,
+  CAST(COUNT(*) AS BIGINT) AS n_cases FROM ({INTENT_CASES_SQL}) GROUP BY ALL""")
 def q_intent_accuracy(spark, d):
-    lg = an.eval_log(spark, d)
-    hit = F.when(F.col("actual_intent") == F.col("expected_intent"), F.lit(1.0)).otherwise(F.lit(0.0))
-    return lg.groupBy(F.col("model_version").alias("category")).agg(
-        r6(F.avg(hit)).alias("intent_accuracy"), F.count(F.lit(1)).cast("long").alias("n_cases"))
+    return ev.intent_accuracy(intent_cases(spark, d)).withColumn("intent_accuracy", r6(F.col("intent_accuracy")))
 
 
 @register("case_result_join", f"""SELECT l.doc_id AS id, CASE l.quality WHEN 0 THEN 'general_chat' ELSE 'meal_retrieval' END AS expected_intent,

@@ -191,3 +191,40 @@ def q_merge_meal_update(spark, d):
                                                       F.lit(999.0).alias("calories"))
     merged, _misses = pd_.merge_meal_update(rows, upd)
     return merged.groupBy("meal_id").agg(F.round(F.sum(F.coalesce(F.col("calories"), F.lit(0.0))), 1).alias("calories"))
+
+
+def _meal_table(spark, d):
+    """Stored meals with unique ids, and updates of which some name no meal."""
+    from larder.session import run_dir
+    from larder.sources.merge import MergeTable
+    rows = _meal_rows(spark, d).dropDuplicates(["meal_id"]).select("meal_id", F.col("day_number").cast("long").alias("day_number"))
+    t = MergeTable(spark, run_dir(spark, "larder/merge_meals"), "meal_id", 16)
+    t.create(rows)
+    upd = rows.where("meal_id % 9 = 0").select(F.when(F.col("meal_id") % 2 == 0, -F.col("meal_id")).otherwise(F.col("meal_id")).alias("meal_id"),
+                                               F.lit(99).cast("long").alias("day_number"))
+    return t, t.update(upd, ["day_number"])
+
+
+_MEAL_IDS = "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS meal_id, CAST(l_linenumber AS BIGINT) AS day_number FROM lineitem"
+
+
+@register("merge_meal_table", f"SELECT meal_id, CASE WHEN meal_id % 9 = 0 AND meal_id % 2 <> 0 THEN 99 ELSE day_number END AS day_number FROM ({_MEAL_IDS})")
+def q_merge_meal_table(spark, d):
+    return _meal_table(spark, d)[0].read()
+
+
+@register("merge_meal_misses", f"SELECT -meal_id AS meal_id FROM ({_MEAL_IDS}) WHERE meal_id % 9 = 0 AND meal_id % 2 = 0 AND meal_id <> 0")
+def q_merge_meal_misses(spark, d):
+    return _meal_table(spark, d)[1].select("meal_id")
+
+
+@register("replace_suggestions", """SELECT o_orderkey AS plan_id, CAST(1 AS BIGINT) AS n_suggestions, 'oats for ' || CAST(o_custkey AS VARCHAR) AS item
+FROM orders WHERE o_orderkey % 3 = 0""")
+def q_replace_suggestions(spark, d):
+    plans = parsed(spark, d)
+    item = F.struct(F.concat(F.lit("oats for "), F.col("user_id").cast("string")).alias("item"), F.lit("liked").alias("reason"), F.lit("Grains").alias("category"),
+                    F.lit(2.0).alias("suggested_quantity"), F.lit("kg").alias("unit"))
+    new = plan_documents(spark, d).where("plan_id % 3 = 0").select("plan_id", F.array(item).alias("items"))
+    out = pd_.replaced_suggestions(plans, new, ["plan_id"])
+    back = out.select("plan_id", F.from_json("week_summary", sc.WEEK_SUMMARY)["future_suggestions"].alias("s"))
+    return back.select("plan_id", F.size("s").cast("long").alias("n_suggestions"), F.col("s")[0]["item"].alias("item"))

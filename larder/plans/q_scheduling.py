@@ -67,6 +67,27 @@ def q_schedule_rollforward(spark, d):
     return sc.schedule_rollforward(s, done, AS_OF).select("schedule_id", "user_id", "status", "next_plan_date")
 
 
+_NEW_PLANS = f"SELECT user_id FROM ({W8_SQL})"
+
+
+@register("new_plan_schedules", f"""SELECT CAST(schedule_id AS VARCHAR) AS schedule_id, user_id, plan_start_date, plan_end_date, next_plan_date,
+  CASE WHEN user_id IN ({_NEW_PLANS}) THEN 'INACTIVE' ELSE status END AS status FROM ({SCHED})
+UNION ALL SELECT sha256(concat_ws('|', user_id, strftime(DATE '{AS_OF}' + 1, '%Y-%m-%d'))), user_id, DATE '{AS_OF}' + 1, DATE '{AS_OF}' + 8, DATE '{AS_OF}' + 6, 'ACTIVE'
+FROM ({_NEW_PLANS})""")
+def q_new_plan_schedules(spark, d):
+    """The schedule table after a run: due users have a new schedule, their
+    earlier ones are closed. Two merges by id."""
+    from larder.session import run_dir
+    from larder.sources.merge import MergeTable
+    s = an.schedules(spark, d).select(F.col("schedule_id").cast("string").alias("schedule_id"), "user_id", "plan_start_date", "plan_end_date", "next_plan_date", "status")
+    due = sc.first_schedule_per_user(an.schedules(spark, d), AS_OF)
+    t = MergeTable(spark, run_dir(spark, "larder/new_plan_schedules"), "schedule_id", 8)
+    t.create(s)
+    t.update(sc.closed_schedules(s, due), ["status"])
+    t.update(sc.schedules_of_new_plans(due, AS_OF), ["user_id", "plan_start_date", "next_plan_date", "plan_end_date", "status"], insert=True)
+    return t.read()
+
+
 @register("workflow_outcome_counts", f"""SELECT outcome, CAST(COUNT(*) AS BIGINT) AS n FROM (
   SELECT CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'error' WHEN o.o_orderstatus = 'P' THEN 'failure' ELSE 'success' END AS outcome
   FROM ({W8_SQL}) w JOIN orders o ON w.schedule_id = o.o_orderkey) GROUP BY outcome""")

@@ -22,9 +22,10 @@ RAW_FOOD_SCHEMA = T.StructType([T.StructField("fdc_id", T.LongType()), T.StructF
                                 T.StructField("description", T.StringType()), T.StructField("food_category", T.StringType())])
 RAW_FOOD_NUTRIENT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("fdc_id", T.LongType()), T.StructField("nutrient_id", T.LongType()),
-    T.StructField("amount", T.DoubleType()), T.StructField("data_points", T.IntegerType()),
-    T.StructField("min_value", T.DoubleType()), T.StructField("max_value", T.DoubleType()),
-    T.StructField("median_value", T.DoubleType()), T.StructField("percent_daily_value", T.DoubleType())])
+    T.StructField("amount", T.DoubleType()), T.StructField("data_points", T.IntegerType()), T.StructField("derivation_id", T.IntegerType()),
+    T.StructField("min_value", T.DoubleType()), T.StructField("max_value", T.DoubleType()), T.StructField("median_value", T.DoubleType()),
+    T.StructField("loq", T.StringType()), T.StructField("footnote", T.StringType()), T.StructField("min_year_acquired", T.IntegerType()),
+    T.StructField("percent_daily_value", T.DoubleType())])
 
 
 def _food_with_null_spellings(spark, d):
@@ -59,10 +60,10 @@ def q_copy_into_raw_food(spark, d):
     return raw.select(*[raw.columns[i] for i in range(4)])
 
 
-@register("copy_into_raw_food_nutrient", an.RAW_FOOD_NUTRIENT_SQL)
+@register("copy_into_raw_food_nutrient", an.RAW_FOOD_NUTRIENT_FILE_SQL)
 def q_copy_into_raw_food_nutrient(spark, d):
     path = run_dir(spark, "larder/copy_into_raw_food_nutrient/csv")
-    fs.write_csv(an.raw_food_nutrient(spark, d), path)
+    fs.write_csv(an.raw_food_nutrient_file(spark, d), path)
     return fs.read_csv_typed(spark, path, RAW_FOOD_NUTRIENT_SCHEMA)
 
 
@@ -219,6 +220,39 @@ def q_read_eval_cases_json(spark, d):
     return back.select("id", "category", "expected_intent", F.size("expected_entities").cast("int").alias("n_entities"), "complexity")
 
 
+def _case_array_files(spark, d):
+    """Cases as files that hold one JSON array each, of one source's labels;
+    every case of an id divisible by 10 is cut off in the middle."""
+    lab = table(spark, d, "labels")
+    i = F.col("doc_id")
+    text = F.to_json(F.struct(F.concat(F.lit("case_"), i.cast("string")).alias("id"), F.lit("general").alias("category"),
+                              F.concat(F.lit('say "hi", {'), i.cast("string"), F.lit("} [x]")).alias("input"),
+                              an._case(F.col("quality"), an.INTENT_BY_QUALITY).alias("expected_intent"),
+                              F.create_map(F.lit("query"), F.lit("oats")).alias("expected_entities"), F.lit("low").alias("complexity")))
+    element = F.when(i % 10 == 0, F.concat(F.lit('{"id": "case_'), i.cast("string"), F.lit('", "category": '))).otherwise(text)
+    group = lab.select((i % 4).alias("g"), i.alias("i"), element.alias("e")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "e"))).alias("l"))
+    array = F.concat(F.lit("[\n  "), F.array_join(F.col("l.e"), ",\n  "), F.lit("\n]\n"))
+    path = run_dir(spark, "larder/eval_case_arrays")
+    group.select(array.alias("value"), "g").write.partitionBy("g").option("lineSep", "\n\n").text(path)
+    return path
+
+
+_ARRAY_CASES = "SELECT 'case_' || CAST(doc_id AS VARCHAR) AS id, doc_id, quality FROM labels"
+
+
+@register("read_eval_cases_array", f"""SELECT id, 'say "hi", {{' || CAST(doc_id AS VARCHAR) || '}} [x]' AS input,
+  CASE quality WHEN 0 THEN 'general_chat' ELSE 'meal_retrieval' END AS expected_intent, 'oats' AS entity FROM ({_ARRAY_CASES}) WHERE doc_id % 10 <> 0""")
+def q_read_eval_cases_array(spark, d):
+    rows, _ = fs.read_json_array(spark, _case_array_files(spark, d), CASE_SCHEMA)
+    return rows.select("id", "input", "expected_intent", F.col("expected_entities")["query"].alias("entity"))
+
+
+@register("eval_case_rejects", f"""SELECT '{{"id": "' || id || '", "category":' AS reject FROM ({_ARRAY_CASES}) WHERE doc_id % 10 = 0""")
+def q_eval_case_rejects(spark, d):
+    _, rejects = fs.read_json_array(spark, _case_array_files(spark, d), CASE_SCHEMA)
+    return rejects.select(F.col("text").alias("reject"))
+
+
 @register("apply_table_defaults", f"""SELECT thread_id, user_id, CASE WHEN thread_id % 3 = 0 THEN 'New conversation' ELSE 'Thread ' || CAST(thread_id AS VARCHAR) END AS title,
   CAST(0 AS BIGINT) AS message_count, true AS is_active, sha256(CAST(user_id AS VARCHAR) || '|' || CAST(thread_id AS VARCHAR)) AS row_key FROM ({an.THREADS_SQL})""")
 def q_apply_table_defaults(spark, d):
@@ -297,9 +331,10 @@ FOOD_PORTION_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("fdc_id", T.LongType()), T.StructField("seq_num", T.IntegerType()),
     T.StructField("amount", T.DoubleType()), T.StructField("measure_unit_id", T.IntegerType()),
     T.StructField("portion_description", T.StringType()), T.StructField("modifier", T.StringType()),
-    T.StructField("gram_weight", T.DoubleType())])
+    T.StructField("gram_weight", T.DoubleType()), T.StructField("data_points", T.IntegerType()), T.StructField("footnote", T.StringType()),
+    T.StructField("min_year_acquired", T.IntegerType())])
 
 
-@register("copy_into_raw_food_portion", an.RAW_FOOD_PORTION_SQL)
+@register("copy_into_raw_food_portion", an.RAW_FOOD_PORTION_FILE_SQL)
 def q_copy_into_raw_food_portion(spark, d):
-    return _copy(spark, an.raw_food_portion(spark, d), "copy_into_raw_food_portion", FOOD_PORTION_SCHEMA)
+    return _copy(spark, an.raw_food_portion_file(spark, d), "copy_into_raw_food_portion", FOOD_PORTION_SCHEMA)

@@ -42,6 +42,32 @@ def read_json_cases(spark: SparkSession, path: str, schema: T.StructType, multil
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
+#: A quoted string, and an object that holds objects three levels deep at most.
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_OBJECT = rf'\{{(?:[^{{}}"]++|{_STRING})*+\}}'
+for _ in range(3):
+    _OBJECT = rf'\{{(?:[^{{}}"]++|{_STRING}|{_OBJECT})*+\}}'
+
+
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Files that are one JSON array each, as rows and as rejects.
+
+    A parser of the whole array gives up at the first broken element. Here
+    the objects are cut out of the text and parsed one by one, so a broken
+    one costs no other. Rejects (file, pos, text) are objects that do not fit
+    ``schema`` or lack its first column, and whatever else stands between
+    objects. A file is read by one task; files are the unit of work.
+    """
+    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"^\s*\[|\]\s*$", "").alias("body"))
+    cut = whole.select("file", F.posexplode(F.regexp_extract_all("body", F.lit(_OBJECT), 0)).alias("pos", "text"))
+    corrupt = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = cut.withColumn("r", F.from_json("text", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    good = F.col("r._corrupt").isNull() & F.col(f"r.{schema.fields[0].name}").isNotNull()
+    rest = whole.select("file", F.explode(F.split("body", _OBJECT, -1)).alias("text")).select("file", F.lit(None).cast("int").alias("pos"), F.regexp_replace("text", r"^[\s,]+|[\s,]+$", "").alias("text"))
+    rejects = parsed.where(~good).select("file", "pos", "text").unionByName(rest.where("text <> ''"))
+    return parsed.where(good).select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields]), rejects
+
+
 def apply_table_defaults(df: DataFrame, defaults: dict, id_col: str | None = None,
                          id_from: list[str] | None = None) -> DataFrame:
     """Column defaults and a stable generated id (sha2 of the natural
