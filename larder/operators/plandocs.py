@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.functions import schemas as sc
 from larder.functions.mathfn import pyround
@@ -83,6 +84,48 @@ def flatten_plan(parsed: DataFrame, key_cols: list[str], start_col: str = "start
             "shopping_lists": lists}
 
 
+def plan_rows(parsed: DataFrame, key_cols: list[str], start_col: str = "start_date") -> DataFrame:
+    """The rows of all four plan tables in one pass over the documents:
+    ``table`` and a struct column per table, of which that one is set.
+
+    A document is exploded once into its plan (position 0) and its days, and
+    each of these into its rows.
+    """
+    plan, start = F.lit(None).cast(sc.DAY), F.col(start_col)
+    days = F.concat(F.array(plan), F.coalesce("doc.meal_plan.days", F.array().cast(T.ArrayType(sc.DAY))))
+    units = parsed.select(*key_cols, start.alias("start_date"), "doc.meal_plan.week_summary", "doc.recommendations.shopping_list_summary",
+                          F.posexplode(days).alias("pos", "d"))
+    keys, at, shop = [F.col(k) for k in key_cols], F.col("pos") - 1, F.col("shopping_list_summary")
+    day = F.struct(*keys, at.alias("pos"), F.coalesce("d.day", F.lit(0)).alias("day_number"), F.coalesce("d.day_name", F.lit("")).alias("day_name"),
+                   F.date_add("start_date", F.coalesce("d.day", F.lit(1)) - 1).alias("meal_date"), F.col("d.total_nutrition").alias("total_nutrition"))
+    meals = []
+    for i, name in enumerate(MEAL_ORDER):
+        m = F.element_at("d.meals", F.lit(name))
+        meals.append((m.isNotNull(), F.struct(
+            *keys, at.alias("pos"), day["day_number"].alias("day_number"), day["meal_date"].alias("meal_date"), F.lit(i).alias("type_pos"), F.lit(name).alias("meal_type"),
+            F.coalesce(m["meal_name"], F.lit("Unknown Meal")).alias("meal_name"), F.coalesce(m["preparation_time"], F.lit(0)).alias("preparation_time"),
+            F.coalesce(m["cooking_time"], F.lit(0)).alias("cooking_time"), F.coalesce(m["servings"], F.lit(1)).alias("servings"),
+            F.coalesce(m["serving_size"], F.lit("1 serving")).alias("serving_size"),
+            F.coalesce(m["recipe"]["difficulty_level"], F.lit("medium")).alias("difficulty_level"), m["nutrition"]["calories"].alias("calories"))))
+    plan = F.struct(*keys, F.col("start_date"), F.date_add("start_date", 6).alias("end_date"), F.concat(F.lit("Week of "), F.date_format("start_date", "MMMM dd, yyyy")).alias("plan_name"),
+                    F.to_json("week_summary").alias("week_summary"), F.lit("ACTIVE").alias("status"))
+    bought = F.struct(*keys, F.coalesce(shop["total_estimated_cost"], F.lit(0.0)).alias("total_estimated_cost"),
+                      F.coalesce(shop["total_items_from_inventory"], F.lit(0)).alias("total_items_from_inventory"),
+                      F.coalesce(shop["total_items_to_purchase"], F.lit(0)).alias("total_items_to_purchase"))
+    first = F.col("pos") == 0
+    some = [("meal_plans", first, plan), ("shopping_lists", first & shop.isNotNull() & (F.to_json(shop) != "{}"), bought),
+            ("daily_meals", ~first, day), *[("meal_details", ~first & there, meal) for there, meal in meals]]
+    tables = ["meal_plans", "daily_meals", "meal_details", "shopping_lists"]
+
+    def row(table, there, value):
+        return F.when(there, F.struct(F.lit(table).alias("table"), *[(value if t == table else F.lit(None)).alias(t) for t in tables]))
+    # typed alike, so that they can stand in one array
+    shapes = units.select(*[next(v for t, _, v in some if t == n).alias(n) for n in tables]).schema
+    rows = F.array_compact(F.array(*[row(t, there, v).cast(T.StructType([T.StructField("table", T.StringType()), *[T.StructField(f.name, f.dataType) for f in shapes]]))
+                                     for t, there, v in some]))
+    return units.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def plan_suggestions(parsed: DataFrame, key_cols: list[str]) -> DataFrame:
     """Suggestions -> rows with display defaults."""
     s = parsed.select(*key_cols, F.posexplode("doc.future_suggestions").alias("pos", "s"))

@@ -170,8 +170,14 @@ UNION ALL SELECT 'daily_meals', CAST(COUNT(*) AS BIGINT) FROM lineitem
 UNION ALL SELECT 'meal_details', CAST(SUM(CASE WHEN l_linenumber = 3 THEN 3 ELSE 4 END) AS BIGINT) FROM lineitem
 UNION ALL SELECT 'shopping_lists', CAST(COUNT(*) AS BIGINT) FROM orders WHERE o_orderkey % 7 != 0""")
 def q_write_plan_tables(spark, d):
+    from larder.session import run_dir
     from larder.sources.sinks import write_plan_tables
-    return write_plan_tables(pd_.flatten_plan(parsed(spark, d), ["plan_id", "user_id"]), spark, "write_plan_tables")
+    tables = write_plan_tables(pd_.plan_rows(parsed(spark, d), ["plan_id", "user_id"]), run_dir(spark, "larder/write_plan_tables"))
+    counts = [df.agg(F.count(F.lit(1)).cast("long").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t, df in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 def _meal_rows(spark, d):

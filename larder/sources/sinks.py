@@ -6,10 +6,14 @@ Written intermediates go to a sub folder of the shared checkpoint folder
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from larder.session import run_dir
+from larder.sources.manifest import Manifest
 
 
 def materialize_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -28,12 +32,36 @@ def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None
     w.parquet(path)
 
 
-def write_plan_tables(tables: dict[str, DataFrame], spark: SparkSession, name: str) -> DataFrame:
-    """Write the four plan tables; return (table, rows) read back."""
-    base = run_dir(spark, f"larder/{name}")
-    out = None
-    for t, df in tables.items():
-        back = materialize_table(df, f"{base}/{t}")
-        c = back.agg(F.count(F.lit(1)).cast("long").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
-        out = c if out is None else out.unionByName(c)
-    return out
+#: The table that each column of ``plan_rows`` holds rows of.
+PLAN_TABLES = ["meal_plans", "daily_meals", "meal_details", "shopping_lists"]
+
+
+def write_plan_tables(rows: DataFrame, base: str) -> dict[str, DataFrame]:
+    """Write the rows of all plan tables in one pass and make the tables
+    visible together.
+
+    ``rows`` (``operators.plandocs.plan_rows``) has one struct column per
+    table, of which one is set, and ``table``. One job writes them, a folder
+    per table, under a name of its own; the manifest of ``base`` then names
+    that folder. A run that fails before shows no table and leaves the tables
+    of an earlier run as they were.
+    """
+    spark = rows.sparkSession
+    manifest = Manifest(spark, base)
+    folder = f"data/{uuid.uuid4().hex}"
+    rows.write.partitionBy("table").parquet(f"{base}/{folder}")
+    before = manifest.read()
+    manifest.commit({"folder": folder, "schema": rows.drop("table").schema.json()})
+    if before:
+        manifest.discard(before["folder"])
+    return read_plan_tables(spark, base)
+
+
+def read_plan_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The tables that the last complete run wrote; none before the first."""
+    now = Manifest(spark, base).read()
+    if now is None:
+        return {}
+    schema = StructType.fromJson(json.loads(now["schema"])).add("table", "string")
+    rows = spark.read.schema(schema).parquet(f"{base}/{now['folder']}")
+    return {t: rows.where(F.col("table") == t).select(f"{t}.*") for t in PLAN_TABLES}
