@@ -6,10 +6,11 @@ before and after it; a transition weight ties neighbouring labels.
 Forward-backward gives each line's probability of being good, and their mean,
 weighted by the lines' lengths, is the document's quality.
 
-Training: document labels hold for all lines of the document. The bounded
-sample (``SAMPLE`` labelled documents at most, by a hash of the id, and
-``LINES`` lines of each) is fitted by gradient ascent on the conditional
-likelihood; scoring takes whole texts.
+Training: document labels hold for all lines of the document. The whole texts
+of a bounded sample (``SAMPLE`` labelled documents at most, by a hash of the
+id) are fitted by gradient ascent on the conditional likelihood, some
+``BLOCK`` lines at a time. The bound is one on documents: the task that fits
+holds 46 numbers for each of their lines.
 
 Cases: a null or empty text is one empty line; null labels and labels of
 unknown documents teach nothing, repeated labels of a document count once
@@ -30,7 +31,9 @@ from larder.llm import textvec
 from larder.llm.common import text_of
 from larder.llm.toxicity import held_out_at, labelled_sample
 
-SAMPLE, LINES = 4_000, 200
+SAMPLE = 4_000
+#: Lines whose chains are worked on at a time in training.
+BLOCK = 1 << 16
 STEPS, RATE, PENALTY = 300, 0.1, 1e-4
 THRESHOLD = 0.3
 
@@ -147,12 +150,22 @@ def fit(x: np.ndarray, ptr: np.ndarray, y: np.ndarray, steps: int = STEPS) -> tu
     kept = np.zeros((2, 2))
     for k in (0, 1):
         kept[k, k] = (share * (size - 1) / size)[y == k].sum()
+    # whole texts in blocks: their gradients add up
+    cuts = [0]
+    for k in range(1, len(ptr)):
+        if k == len(ptr) - 1 or ptr[k + 1] - ptr[cuts[-1]] > BLOCK:
+            cuts.append(k)
     w, stay = np.zeros(x.shape[1]), np.zeros((2, 2))
     m = [np.zeros_like(w), np.zeros_like(stay)]
     v = [np.zeros_like(w), np.zeros_like(stay)]
     for step in range(1, steps + 1):
-        p, expected = _pair_expectations(x @ w, ptr, stay, weight)
-        grads = [x.T @ ((label - p) * weight) - PENALTY * w, kept - expected - PENALTY * stay]
+        grads = [-PENALTY * w, kept - PENALTY * stay]
+        for a, b in zip(cuts, cuts[1:]):
+            i = slice(ptr[a], ptr[b])
+            own = x[i].astype(np.float64)
+            p, expected = _pair_expectations(own @ w, ptr[a:b + 1] - ptr[a], stay, weight[i])
+            grads[0] += own.T @ ((label[i] - p) * weight[i])
+            grads[1] -= expected
         for k, (value, g) in enumerate(zip((w, stay), grads)):  # Adam
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
@@ -167,11 +180,11 @@ def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for rows, data, offs in textvec.pieces(batches):
             x, ptr, _ = line_features(data, offs)
             for k, y in enumerate(rows.column(rows.schema.get_field_index("label")).to_pylist()):
-                xs.append(x[ptr[k]:min(ptr[k + 1], ptr[k] + LINES)])
+                xs.append(x[ptr[k]:ptr[k + 1]])
                 sizes.append(len(xs[-1]))
                 ys.append(y)
         if ys:
-            w, stay = fit(np.concatenate(xs).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)]), np.array(ys))
+            w, stay = fit(np.concatenate(xs), np.concatenate([[0], np.cumsum(sizes)]), np.array(ys))
             yield pa.RecordBatch.from_arrays([pa.array([[*w, *stay.ravel()]], pa.list_(pa.float64()))], ["model"])
 
     found = sample.repartition(1).sortWithinPartitions("ord").select("text", "label").mapInArrow(learn, "model array<double>").collect()

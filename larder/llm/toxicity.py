@@ -6,8 +6,9 @@ keeps a learning rate per coordinate and an L1 penalty, so few weights are
 left; they are collected as (feature, weight) pairs and sent to all tasks.
 
 Training: passes over a bounded sample of labelled documents (``SAMPLE`` at
-most, half of each label where there are as many, chosen by a hash of the id) in one task that streams the
-sample and holds two numbers per feature; ``DIMENSIONS`` bounds the weights.
+most, half of each label where there are as many, chosen by a hash of the id) in one task. The bound is one
+on documents: the task holds the features of their whole texts (four bytes
+each) and two numbers for each of the ``DIMENSIONS`` weights.
 
 Cases: a null or empty text has only the constant feature; null labels and
 labels of unknown documents teach nothing; repeated labels of a document
