@@ -103,33 +103,65 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], values: lis
     return scanned(laid_out(df, keys, order, n_parts), keys, {v: F.col(v) for v in values}, "sum").select(*df.columns)
 
 
+#: Cells of a counting pass, and values of a bracket that are looked at one by one.
+QUANTILE_CELLS, QUANTILE_ROWS = 4096, 100_000
+
+
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                    tiebreak: str) -> DataFrame:
+                    tiebreak: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per group (numpy/pandas
-    'linear'), without holding a group in one task.
-
-    ``percentile`` keeps every value of a group in one aggregation buffer;
-    a group holding a third of the data would not fit. Here rows get their
-    rank inside the group from a range-partitioned global index (a hot
-    group is spread over many partitions), the ranks needed for each
-    probability are computed from the group counts, and the two bracketing
-    values are fetched with an equi-join on (group, rank).
-    Output: group columns, ``q`` (probability) and ``value``.
+    'linear'), by selection: nothing is sorted but a few values.
+
+    The ranks that the probabilities need lie between the group's least and
+    greatest value. A counting pass divides such a bracket into cells and
+    keeps the one that each rank falls in; passes go on while a bracket holds
+    more than ``QUANTILE_ROWS`` rows of different values. Then the values of
+    the brackets are counted, value by value, and read off. Passes are partial
+    aggregates, so a group with a third of the rows is work for all tasks;
+    brackets are two a probability and group.
+    Output: group columns, ``q`` (probability) and ``value``; groups with a
+    NULL key are left out.
     """
-    spark = df.sparkSession
-    order = list(group_cols) + [value_col, tiebreak]
-    base = df.select(*group_cols, F.col(value_col).cast("double").alias("_v"), tiebreak) \
-        .where(F.col("_v").isNotNull())
-    idx = global_index(base, list(group_cols) + ["_v", tiebreak], name="_gi")
-    g = idx.groupBy(*group_cols).agg(F.min("_gi").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    t = g.select(*group_cols, "_start", "_n",
-                 F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-    t = t.withColumn("_pos", F.col("q") * (F.col("_n") - 1)) \
-         .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")) \
-         .withColumn("_frac", F.col("_pos") - F.col("_lo"))
-    ranked = idx.join(g.select(*group_cols, "_start"), list(group_cols)) \
-        .select(*group_cols, (F.col("_gi") - F.col("_start")).alias("_r"), "_v")
-    lo = ranked.select(*group_cols, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = ranked.select(*group_cols, F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    j = t.join(lo, list(group_cols) + ["_lo"]).join(hi, list(group_cols) + ["_hi"])
-    return j.select(*group_cols, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value"))
+    from pyspark.sql import Window
+
+    g = list(group_cols)
+    base = df.select(*g, F.col(value_col).cast("double").alias("_v")).dropna()
+    whole = base.groupBy(*g).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n")).checkpoint()
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(F.lit(float(p)) * (F.col("n") - 1)), F.ceil(F.lit(float(p)) * (F.col("n") - 1))) for p in probs])))
+    wanted = whole.select(*g, "lo", "hi", F.lit(0).cast("long").alias("before"), "n", F.col("n").alias("total"), F.explode(ranks).alias("r"))
+
+    def inside(brackets: DataFrame) -> DataFrame:
+        """The rows of the brackets, each with its own."""
+        of = brackets.groupBy(*g).agg(F.collect_set(F.struct("lo", "hi", "before")).alias("_b"))
+        fits = F.filter("_b", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
+        return base.join(broadcast_if_small(of), g).select(*g, "_v", F.explode(fits).alias("x"))
+
+    def narrowed(cells: DataFrame, order: str) -> DataFrame:
+        """Per wanted rank the cell (lo, hi, n) of its bracket that holds it."""
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*g, "x").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = cells.withColumn("before", F.col("x.before") + before)
+        asked = broadcast_if_small(wanted.select(*[F.col(c).alias(f"_g_{c}") for c in g], "r", "total"))
+        on = [F.col(c) == F.col(f"_g_{c}") for c in g]
+        return placed.join(asked, [*on, F.col("r") >= F.col("before"), F.col("r") < F.col("before") + F.col("n")]).select(*g, "lo", "hi", "before", "n", "total", "r")
+
+    found = None
+    while True:
+        done, rest = wanted.where("lo = hi"), wanted.where("lo < hi")
+        found = done if found is None else found.unionByName(done)
+        most = rest.agg(F.max("n")).collect()[0][0]  # one row
+        if most is None:
+            break
+        wanted = rest
+        if most <= QUANTILE_ROWS:
+            values = inside(rest).groupBy(*g, "x", "_v").agg(F.count(F.lit(1)).alias("n"))
+            found = found.unionByName(narrowed(values.withColumns({"lo": F.col("_v"), "hi": F.col("_v")}), "_v"))
+            break
+        cell = F.least(F.floor((F.col("_v") - F.col("x.lo")) / (F.col("x.hi") - F.col("x.lo")) * QUANTILE_CELLS), F.lit(QUANTILE_CELLS - 1))
+        cells = inside(rest).groupBy(*g, "x", cell.alias("c")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n"))
+        wanted = narrowed(cells, "c").checkpoint()
+    # a group's few values in one map, looked up for every probability
+    known = found.groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("r", "lo"))).alias("_at"), F.max("total").alias("n"))
+    pos = F.col("q") * (F.col("n") - 1)
+    at = known.select(*g, "_at", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q")).select(
+        *g, "q", F.element_at("_at", F.floor(pos)).alias("_l"), F.element_at("_at", F.ceil(pos)).alias("_h"), (pos - F.floor(pos)).alias("_f"))
+    return at.select(*g, "q", (F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("_f")).alias("value"))

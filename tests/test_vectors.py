@@ -74,6 +74,23 @@ def test_exact_quantiles_match_numpy(spark):
             assert abs(got[(g, q)] - np.percentile(xs, q * 100)) < 1e-12
 
 
+def test_exact_quantiles_by_many_passes(spark, monkeypatch):
+    """Heavy tails, ties and one value only, with brackets so small that several passes are due."""
+    monkeypatch.setattr(cm, "QUANTILE_CELLS", 100)
+    monkeypatch.setattr(cm, "QUANTILE_ROWS", 20)
+    rng = np.random.default_rng(6)
+    groups = {"tail": np.exp(rng.normal(size=400) * 5), "ties": rng.integers(0, 3, 500).astype(float), "same": np.full(50, 2.5), "one": np.array([7.0]),
+              "mixed": np.append(rng.normal(size=100), np.full(300, 0.25))}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("tail", None), (None, 1.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    probs = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {(r.g, r.q): r.value for r in cm.exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == {(g, q) for g in groups for q in probs}
+    for (g, q), v in got.items():
+        assert abs(v - np.percentile(groups[g], q * 100)) <= 1e-12 * max(1.0, abs(v)), (g, q)
+    assert cm.exact_quantiles(df.limit(0), ["g"], "v", probs).count() == 0
+
+
 def test_ttest_p_value(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(1.0, 1.0, 40), rng.normal(1.4, 1.0, 50)
