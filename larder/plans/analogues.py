@@ -316,9 +316,24 @@ MEAL_DETAILS_SQL = f"""SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey
   CAST(l_shipdate AS DATE) AS ship_date FROM lineitem"""
 
 
-def daily_meals(spark: SparkSession, d: str) -> DataFrame:
-    """One row per (plan, day) with the user and date taken from the plan."""
+#: Days of a plan: no meal is later than this after its plan's start.
+PLAN_DAYS = 7
+
+
+def daily_meals(spark: SparkSession, d: str, since: str | None = None) -> DataFrame:
+    """One row per (plan, day) with the user and date taken from the plan.
+
+    With ``since`` only plans that can have a day from then on are read: the
+    date bounds the orders, and their least and greatest key bound the scan of
+    lineitem before the join, so old row groups are skipped.
+    """
     li = table(spark, d, "lineitem")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if since is not None:
+        o = o.where(F.col("o_orderdate") >= F.date_sub(F.lit(since).cast("date"), PLAN_DAYS - 1).cast("timestamp_ntz"))
+        ends = o.agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+        li = li.where((F.col("l_orderkey") >= ends.select("lo").scalar()) & (F.col("l_orderkey") <= ends.select("hi").scalar()))
+        li = li.join(o.select("o_orderkey"), li.l_orderkey == o.o_orderkey, "left_semi")
     days = li.groupBy("l_orderkey", "l_linenumber").agg(
         F.count(F.lit(1)).alias("n_meals"),
         F.sum(F.col("l_quantity") * 20 + F.col("l_linenumber")).alias("calories"),
@@ -329,7 +344,6 @@ def daily_meals(spark: SparkSession, d: str) -> DataFrame:
     total = (F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
              .when(F.col("l_linenumber") == 6, F.lit("oops{"))
              .otherwise(F.to_json(F.struct("calories", "protein_g", "carbohydrates_g", "fat_g", "fiber_g"))))
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = days.join(o, days.l_orderkey == o.o_orderkey, "inner")
     meal_date = F.date_add(F.to_date("o_orderdate"), F.col("l_linenumber") - 1)
     return j.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("meal_id"),

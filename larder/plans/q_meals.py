@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from larder.functions import jsonfn
@@ -108,11 +110,17 @@ def _r(df, digits=4):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _recent(spark, d, weeks=4):
+    """Days of the trailing weeks and the plans, from orders that reach into them."""
+    since = (dt.date.fromisoformat(AS_OF) - dt.timedelta(weeks=weeks)).isoformat()
+    return an.daily_meals(spark, d, since), an.meal_plans(spark, d)
+
+
 @register("weekly_averages", f"""SELECT user_id, week_start, round(avg_calories, 4) AS avg_calories,
   round(avg_protein, 4) AS avg_protein, round(avg_carbs, 4) AS avg_carbs, round(avg_fat, 4) AS avg_fat,
   round(avg_fiber, 4) AS avg_fiber FROM ({WEEKLY_SQL})""")
 def q_weekly_averages(spark, d):
-    daily, _, plans = _frames(spark, d)
+    daily, plans = _recent(spark, d)
     return _r(ml.weekly_averages(daily, plans, AS_OF))
 
 
@@ -124,7 +132,7 @@ SELECT a.user_id, a.week_start, round(a.c - b.c, 4) AS delta_calories, round(a.p
   round(a.cb - b.cb, 4) AS delta_carbs, round(a.f - b.f, 4) AS delta_fat, round(a.fb - b.fb, 4) AS delta_fiber
 FROM w a JOIN w b ON a.user_id = b.user_id AND a.rn = 1 AND b.rn = 2""")
 def q_week_over_week_delta(spark, d):
-    daily, _, plans = _frames(spark, d)
+    daily, plans = _recent(spark, d)
     return _r(ml.week_over_week_delta(ml.weekly_averages(daily, plans, AS_OF)))
 
 
