@@ -12,6 +12,12 @@ with all at once). If all but ``SMALL`` are then of one component, those few
 are compared with all; else the node branches again. What is still large at
 the last level is compared in full across components, so nothing is capped.
 
+A comparison first proposes: of all pairs that sizes and sketches leave
+possible in a node, the best-agreeing forest, at most one pair for each set.
+Once these are confirmed and merged, only the possible pairs that still lie
+between components are left, and all of them are confirmed, so a group of
+near copies costs as many pairs as it has members, and no pair is skipped.
+
 Only sets of different components are compared, since a link within one adds
 nothing to the result. A pair whose sizes cannot reach the similarity, or
 whose 32 half-byte minwise sketches agree in too few places, is not confirmed
@@ -39,13 +45,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm import textvec
-from larder.llm.common import text_of, written
+from larder.llm.common import dropped, text_of, written
 from larder.llm.graph import components
 
 SHINGLE, PERCENT = 3, 85
 TOKENS, TREES, SMALL, LEVELS = 32, 10, 256, 8
 PLACES, SKETCH_MISS = 32, 2e-6
 PER_SALT = 500
+#: Sets of a large node that a task compares with the few outside its main component.
+PER_TASK = 4096
 
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, TOKENS + PLACES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -162,6 +170,88 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return same.where((F.col("_i") > 0) & (F.col("_i") * 100 >= (F.col("_n") - F.col("_i")) * percent)).select("a", "b").distinct()
 
 
+def _proposing(percent: int):
+    """Per (path, _salt), rows sorted by both: the forest of best-agreeing
+    possible pairs between components, each with a set that asks (``_asks``),
+    as (a, b); and each set with a possible partner as (a, null)."""
+    least = least_agreeing(percent)
+
+    def forest(rows: pa.Table) -> pa.RecordBatch:
+        ids = rows["id"].combine_chunks()
+        comp = rows["comp"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = rows["n_shingles"].to_numpy()
+        s = [rows[c].to_numpy().view(np.uint64) for c in ("s1", "s2")]
+        asks = np.flatnonzero(rows["_asks"].to_numpy(zero_copy_only=False))
+        apart = np.zeros((len(asks), len(n)), np.int16)
+        for x in s:
+            z = x[asks][:, None] ^ x[None, :]
+            z |= z >> np.uint64(1)
+            z |= z >> np.uint64(2)
+            apart += np.bitwise_count(z & np.uint64(0x1111111111111111))
+        agree = (PLACES - apart).astype(np.int16)
+        sizes = np.minimum(n[asks][:, None], n[None, :]) * 100 >= np.maximum(n[asks][:, None], n[None, :]) * percent
+        agree[~sizes | (agree < least) | (comp[asks][:, None] == comp[None, :])] = -1
+        possible = agree >= 0
+        due = np.union1d(asks[possible.any(1)], np.flatnonzero(possible.any(0)))
+        a, b = [], []
+        while True:
+            best = agree.argmax(1)
+            worth = agree[np.arange(len(asks)), best]
+            some = np.flatnonzero(worth >= 0)
+            if not len(some):
+                break
+            some = some[np.argsort(-worth[some], kind="stable")]
+            some = some[np.unique(comp[asks[some]], return_index=True)[1]]  # one of each component
+            for k in some:
+                x, y = comp[asks[k]], comp[best[k]]
+                if x != y:
+                    a.append(asks[k])
+                    b.append(best[k])
+                    comp[comp == y] = x
+            agree[comp[asks][:, None] == comp[None, :]] = -1
+        left = pa.array(np.concatenate([np.array(a, np.int64), due]))
+        right = pa.array([*map(int, b), *[None] * len(due)], pa.int64())
+        return pa.RecordBatch.from_arrays([ids.take(left), ids.take(right)], ["a", "b"])
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            path, salt = (batch.column(c).to_numpy() for c in ("path", "_salt"))
+            cuts = np.flatnonzero((path[1:] != path[:-1]) | (salt[1:] != salt[:-1])) + 1
+            for x, y in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if x == y:
+                    continue
+                if held and now != (path[x], salt[x]):
+                    yield forest(pa.Table.from_batches(held))
+                    held = []
+                now = path[x], salt[x]
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield forest(pa.Table.from_batches(held))
+
+    return propose
+
+
+def _proposed(small: DataFrame, few: DataFrame | None, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b), ids of sets that have a possible partner) of the small
+    nodes, and of large ones between the ``few`` outside the main component
+    and all others; a large node is shared out, its few go to each share."""
+    cols = ["path", "comp", "id", "n_shingles", "s1", "s2"]
+    rows = small.select("path", F.lit(0).alias("_salt"), F.lit(True).alias("_asks"), *cols[1:])
+    if few is not None:
+        shares = F.ceil(F.col("_n") / PER_TASK).cast("int")
+        outside = F.col("comp") != F.col("_main")
+        dealt = F.when(outside, F.sequence(F.lit(1), shares)).otherwise(F.array(F.pmod(F.xxhash64("id"), shares).cast("int") + 1))
+        rows = rows.unionByName(few.select("path", F.explode(dealt).alias("_salt"), outside.alias("_asks"), *cols[1:]))
+    parts = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = small.schema["id"].dataType.simpleString()
+    found = written(rows.repartition(parts, "path", "_salt").sortWithinPartitions("path", "_salt")
+                    .mapInArrow(_proposing(percent), f"a {kind}, b {kind}").distinct(), name)
+    ordered = found.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered, found.where("b IS NULL").select(F.col("a").alias("id"))
+
+
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return members.withColumn("comp", F.col("id"))
@@ -193,19 +283,31 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     reps = written(linkable.join(classes.select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "rep"),
                                  (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & (F.col("doc_id") == F.col("rep")))
                    .select(F.col("doc_id").alias("id"), "n_shingles", "s1", "s2", "sig"), "near-reps")
-    labels, sets, found = None, None, [links]
+    labels, sets, found, tested, old = None, None, [links], [], []
     rows = reps.withColumn("path", F.explode(F.array(*[F.xxhash64(F.lit(f"tree {k}")) for k in range(TREES)])))
     me = F.struct("id", "n_shingles", "s1", "s2")
 
     def settle(pairs: DataFrame) -> None:
         """Confirms pairs and merges what they link."""
         nonlocal labels
+        if tested:  # what was refuted is not asked again
+            before = tested[0]
+            for x in tested[1:]:
+                before = before.unionByName(x)
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
-        found.append(written(_confirmed(pairs, sets, percent), "near-links"))
+        if pairs.limit(1).count() == 0:
+            return
+        tested.append(pairs)
+        linked = written(_confirmed(pairs, sets, percent), "near-links")
+        if linked.limit(1).count() == 0 and labels is not None:
+            return
+        found.append(linked)
         every = found[0]
         for x in found[1:]:
             every = every.unionByName(x)
         labels = components(every)
+        dropped(spark)
 
     def across(members: DataFrame, others: DataFrame | None = None) -> DataFrame:
         """Possible pairs of different components within one node; with
@@ -226,7 +328,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
             small = _labelled(members.where(F.col("_n") <= SMALL).drop("pivot", "_me"), labels)
             due = (members.where(F.col("_n") > SMALL).select("id").unionByName(members.where(_close("_me", "pivot", percent)).select(F.col("pivot.id").alias("id")))
                    .unionByName(members.where(_close("_me", "pivot", percent)).select("id"))
-                   .unionByName(across(small).select(F.explode(F.array("a", "b")).alias("id"))).distinct())
+                   .unionByName(_proposed(small, None, percent, "near-possible")[1]).distinct())
             due = written(due, "near-due").withColumnRenamed("id", "_id")
             texts = (docs.select(F.col("doc_id").alias("id"), text_of().alias("text"))
                      .join(due.hint("shuffle_hash"), F.col("id") == F.col("_id"), "left_semi"))
@@ -245,9 +347,15 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
         most = share.groupBy("path").agg(F.max_by("comp", F.struct("_k", "comp")).alias("_main"), (F.sum("_k") - F.max("_k")).alias("_few"))
         split = written(split.join(most.withColumnRenamed("path", "_path"), F.col("path") == F.col("_path"), "left").drop("_path"), "near-parts")
         few = split.where((F.col("_n") > SMALL) & (F.col("_few") <= SMALL))
-        pairs = across(split.where(F.col("_n") <= SMALL))
-        pairs = pairs.unionByName(across(few, few.where(F.col("comp") != F.col("_main")))).distinct()
-        settle(pairs)
+        settle(_proposed(split.where(F.col("_n") <= SMALL), few, percent, "near-proposed")[0])
+        # what the proposals have not joined: all possible pairs that are left
+        again = _labelled(split.drop("comp"), labels)
+        few = again.where((F.col("_n") > SMALL) & (F.col("_few") <= SMALL))
+        outside = few.join(split.where(F.col("comp") != F.col("_main")).select(F.col("path").alias("_pp"), F.col("id").alias("_ii")),
+                           (F.col("path") == F.col("_pp")) & (F.col("id") == F.col("_ii")), "left_semi")
+        settle(across(again.where(F.col("_n") <= SMALL)).unionByName(across(few, outside)).distinct())
+        dropped(spark, *old)
+        old = [nodes, members, split]
         rest = split.where((F.col("_n") > SMALL) & (F.col("_few") > SMALL)).drop("_n", "comp", "_main", "_few")
         if rest.limit(1).count() == 0:
             break
@@ -255,6 +363,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
             settle(across(_labelled(rest, labels)))
             break
         rows = rest.join(reps.select(F.col("id").alias("_i"), "sig"), F.col("id") == F.col("_i")).drop("_i")
+    if labels is None:
+        labels = components(links)
     final = _labelled(member.select("doc_id", F.col("rep").alias("id")), labels).groupBy("doc_id").agg(F.min("comp").alias("_comp"))
     out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left")
     comp = F.coalesce("_comp", "doc_id")

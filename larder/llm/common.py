@@ -10,6 +10,7 @@ Conventions every operator follows, unless its docstring says otherwise:
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,6 +44,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more. Shuffle files
+    go when Spark's cleaner finds their frames unreachable, so both collectors
+    are asked to look."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/larder-llm/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def only(df: DataFrame, flag: Column) -> DataFrame:
     """The rows for which ``flag`` holds. A filter would be pushed below the
     projections that compute it, with a copy of every expression on the way;

@@ -350,3 +350,10 @@ def test_held_out_accuracy(spark, name, col, parts, part):
     good, bad = [s for s, y in pairs if y], [s for s, y in pairs if not y]
     auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
     assert auc > (0.95 if name == "quality" else 0.75), auc
+
+
+def test_chosen_path_id_with_two_texts(spark):
+    """No pair is alike, yet an id with two texts is one document."""
+    rows = [(2, "a b c d e f g"), (2, "h i j k l m n"), (1, "h i j k l m n"), (3, "o p q r s t u"), (3, None)]
+    got = {r.doc_id: (r.component_id, r.kept) for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (3, True)}
