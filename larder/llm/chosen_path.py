@@ -5,27 +5,29 @@ in the same order are one class and are represented by their smallest id.
 Representatives descend ``TREES`` independent trees. At a node, a hash of its
 path chooses minwise tokens to follow (one, sometimes two: 1 / similarity on
 average), and every set goes to the child named by its token. Nodes of up to
-``SMALL`` sets are compared exhaustively. In a larger one every set is
-compared with two pivots: the smallest, and the one most like a few others
-(sets alike on average do not part by branching, so their centre is compared
-with all at once). If all but ``SMALL`` are then of one component, those few
-are compared with all; else the node branches again. What is still large at
-the last level is compared in full across components, so nothing is capped.
-
-A comparison first proposes: of all pairs that sizes and sketches leave
-possible in a node, the best-agreeing forest, at most one pair for each set.
-Once these are confirmed and merged, only the possible pairs that still lie
-between components are left, and all of them are confirmed, so a group of
-near copies costs as many pairs as it has members, and no pair is skipped.
+``SMALL`` sets are compared exhaustively. In one of more than ``STAR`` sets
+every set is first compared with a pivot, the smallest; in one of more than
+``SMALL`` with a second, the one most like a few others (sets alike on average
+do not part by branching, so their centre is compared with all at once). If
+all but ``SMALL`` are then of one component, those few are compared with all;
+else the node branches again. What is still large at the last level is
+compared in full, share by share, so nothing is capped.
 
 Only sets of different components are compared, since a link within one adds
-nothing to the result. A pair whose sizes cannot reach the similarity, or
-whose 32 half-byte minwise sketches agree in too few places, is not confirmed
-further (``least_agreeing``: a pair at the threshold fails that with a chance
-of ``SKETCH_MISS`` at most). Links are confirmed on the full sets.
+nothing to the result. Sizes and 32 half-byte minwise sketches say which sets
+of a node have a possible partner (``least_agreeing``: a pair at the threshold
+agrees in too few places with a chance of ``SKETCH_MISS`` at most). Only these
+travel, each once for a block of sets that are compared with one another;
+equal blocks of several trees are one. A task counts what the full sets of a
+block share, the best partner of each set first, and returns the links that
+connect it: no pair is written before it is confirmed, and a block holds at
+most ``PER_BLOCK`` shingles, or two parts of a node that has more.
 
 A pair at similarity s is missed by all trees with a chance of
-``(1 - s)**TREES`` or less at the first level (6e-9 at 0.85).
+``(1 - s)**TREES`` or less at the first level (6e-9 at 0.85). One whose nodes
+stay larger than ``SMALL`` and of many components goes on by branching only:
+it is lost before the last level with a chance of 4e-5 at 0.85 and 2e-4 at
+0.80, unless a pivot or a chain of other links joins it.
 
 Cases: null and empty texts have no shingles and link with nothing; fewer
 words than a shingle are one shingle; rows that repeat an id are one vertex;
@@ -41,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +52,13 @@ from larder.llm.common import dropped, text_of, written
 from larder.llm.graph import components
 
 SHINGLE, PERCENT = 3, 85
-TOKENS, TREES, SMALL, LEVELS = 32, 10, 256, 8
+TOKENS, TREES, SMALL, LEVELS = 32, 10, 1024, 4
 PLACES, SKETCH_MISS = 32, 2e-6
 PER_SALT = 500
-#: Sets of a large node that a task compares with the few outside its main component.
-PER_TASK = 4096
+#: Nodes of more sets than that are first compared with their pivot.
+STAR = 8
+#: Sets of a share of a large node, and shingles of a block that is compared exhaustively.
+PER_TASK, PER_BLOCK = 4096, 1 << 22
 
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, TOKENS + PLACES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -170,86 +175,138 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return same.where((F.col("_i") > 0) & (F.col("_i") * 100 >= (F.col("_n") - F.col("_i")) * percent)).select("a", "b").distinct()
 
 
-def _proposing(percent: int):
-    """Per (path, _salt), rows sorted by both: the forest of best-agreeing
-    possible pairs between components, each with a set that asks (``_asks``),
-    as (a, b); and each set with a possible partner as (a, null)."""
-    least = least_agreeing(percent)
-
-    def forest(rows: pa.Table) -> pa.RecordBatch:
-        ids = rows["id"].combine_chunks()
-        comp = rows["comp"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = rows["n_shingles"].to_numpy()
-        s = [rows[c].to_numpy().view(np.uint64) for c in ("s1", "s2")]
-        asks = np.flatnonzero(rows["_asks"].to_numpy(zero_copy_only=False))
-        apart = np.zeros((len(asks), len(n)), np.int16)
-        for x in s:
-            z = x[asks][:, None] ^ x[None, :]
+def _runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
+    """The groups of rows sorted by ``by``."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = [batch.column(c).to_numpy() for c in by]
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        for x, y in zip([0, *(cuts := np.flatnonzero(new))], [*cuts, batch.num_rows]):
+            if x == y:
+                continue
+            here = tuple(k[x] for k in keys)
+            if held and now != here:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = here
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbered(rows: pa.Table) -> np.ndarray:
+    return rows["comp"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _agreement(rows: pa.Table, asks: np.ndarray, comp: np.ndarray, percent: int) -> np.ndarray:
+    """In how many places the sketches of ``asks`` agree with those of all
+    rows; -1 where a pair cannot be a link or is of one component."""
+    n = rows["n_shingles"].to_numpy()
+    s = [rows[c].to_numpy().view(np.uint64) for c in ("s1", "s2")]
+    out = np.empty((len(asks), len(n)), np.int8)
+    for a in range(0, len(asks), 256):
+        x = asks[a:a + 256]
+        agree = np.full((len(x), len(n)), PLACES, np.int8)
+        for half in s:
+            z = half[x][:, None] ^ half[None, :]
             z |= z >> np.uint64(1)
             z |= z >> np.uint64(2)
-            apart += np.bitwise_count(z & np.uint64(0x1111111111111111))
-        agree = (PLACES - apart).astype(np.int16)
-        sizes = np.minimum(n[asks][:, None], n[None, :]) * 100 >= np.maximum(n[asks][:, None], n[None, :]) * percent
-        agree[~sizes | (agree < least) | (comp[asks][:, None] == comp[None, :])] = -1
-        possible = agree >= 0
-        due = np.union1d(asks[possible.any(1)], np.flatnonzero(possible.any(0)))
-        a, b = [], []
-        while True:
-            best = agree.argmax(1)
-            worth = agree[np.arange(len(asks)), best]
-            some = np.flatnonzero(worth >= 0)
-            if not len(some):
-                break
-            some = some[np.argsort(-worth[some], kind="stable")]
-            some = some[np.unique(comp[asks[some]], return_index=True)[1]]  # one of each component
-            for k in some:
-                x, y = comp[asks[k]], comp[best[k]]
-                if x != y:
-                    a.append(asks[k])
-                    b.append(best[k])
-                    comp[comp == y] = x
-            agree[comp[asks][:, None] == comp[None, :]] = -1
-        left = pa.array(np.concatenate([np.array(a, np.int64), due]))
-        right = pa.array([*map(int, b), *[None] * len(due)], pa.int64())
-        return pa.RecordBatch.from_arrays([ids.take(left), ids.take(right)], ["a", "b"])
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-        for batch in batches:
-            path, salt = (batch.column(c).to_numpy() for c in ("path", "_salt"))
-            cuts = np.flatnonzero((path[1:] != path[:-1]) | (salt[1:] != salt[:-1])) + 1
-            for x, y in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if x == y:
-                    continue
-                if held and now != (path[x], salt[x]):
-                    yield forest(pa.Table.from_batches(held))
-                    held = []
-                now = path[x], salt[x]
-                held.append(batch.slice(x, y - x))
-        if held:
-            yield forest(pa.Table.from_batches(held))
-
-    return propose
-
-
-def _proposed(small: DataFrame, few: DataFrame | None, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b), ids of sets that have a possible partner) of the small
-    nodes, and of large ones between the ``few`` outside the main component
-    and all others; a large node is shared out, its few go to each share."""
-    cols = ["path", "comp", "id", "n_shingles", "s1", "s2"]
-    rows = small.select("path", F.lit(0).alias("_salt"), F.lit(True).alias("_asks"), *cols[1:])
-    if few is not None:
-        shares = F.ceil(F.col("_n") / PER_TASK).cast("int")
-        outside = F.col("comp") != F.col("_main")
-        dealt = F.when(outside, F.sequence(F.lit(1), shares)).otherwise(F.array(F.pmod(F.xxhash64("id"), shares).cast("int") + 1))
-        rows = rows.unionByName(few.select("path", F.explode(dealt).alias("_salt"), outside.alias("_asks"), *cols[1:]))
-    parts = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = small.schema["id"].dataType.simpleString()
-    found = written(rows.repartition(parts, "path", "_salt").sortWithinPartitions("path", "_salt")
-                    .mapInArrow(_proposing(percent), f"a {kind}, b {kind}").distinct(), name)
-    ordered = found.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return ordered, found.where("b IS NULL").select(F.col("a").alias("id"))
+            agree -= np.bitwise_count(z & np.uint64(0x1111111111111111)).astype(np.int8)
+        sizes = np.minimum(n[x][:, None], n[None, :]) * 100 >= np.maximum(n[x][:, None], n[None, :]) * percent
+        agree[~sizes | (agree < least_agreeing(percent)) | (comp[x][:, None] == comp[None, :])] = -1
+        out[a:a + 256] = agree
+    return out
+
+
+def _due(percent: int):
+    """Per (path, _salt), rows sorted by both: the sets that have a possible
+    partner of another component (the one or the other in ``_asks``), as
+    (block, path, id). A block holds up to ``PER_BLOCK`` shingles; where the
+    sets of a node have more, every two of its parts share a block."""
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "path", "_salt"):
+            asks = np.flatnonzero(rows["_asks"].to_numpy(zero_copy_only=False))
+            possible = _agreement(rows, asks, _numbered(rows), percent) >= 0
+            due = np.union1d(asks[possible.any(1)], np.flatnonzero(possible.any(0)))
+            if not len(due):
+                continue
+            ids = rows["id"].combine_chunks().take(pa.array(due))
+            ids = ids.take(pc.sort_indices(ids))
+            size = rows["n_shingles"].combine_chunks().take(pa.array(due)).to_numpy()
+            part = (np.cumsum(size) - size) // (PER_BLOCK // 2) if size.sum() > PER_BLOCK else np.zeros(len(due), np.int64)
+            names = np.unique(part)
+            at = {k: np.flatnonzero(part == k) for k in names}
+            pairs = [(x, y) for x in names for y in names if x < y] or [(0, 0)]
+            for x, y in pairs:
+                chosen = ids.take(pa.array(np.union1d(at[x], at[y])))
+                block = int.from_bytes(hashlib.blake2b(repr(chosen.to_pylist()).encode(), digest_size=8).digest(), "little", signed=True)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(chosen), pa.int64()),
+                                                  pa.array([rows["path"][0].as_py()] * len(chosen), pa.int64()), chosen], ["block", "path", "id"])
+
+    return blocks
+
+
+def _shared(values: np.ndarray, owner: np.ndarray, m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values the sets a[k] and b[k] share: sets as bits, by column blocks."""
+    out = np.zeros(len(a), np.int64)
+    _, col, times = np.unique(values, return_inverse=True, return_counts=True)
+    often = np.cumsum(times > 1) - 1
+    of_two = times[col] > 1
+    col, owner = often[col[of_two]], owner[of_two]
+    order = np.argsort(col, kind="stable")
+    col, owner = col[order], owner[order]
+    for low in range(0, int(col[-1]) + 1 if len(col) else 0, 8192):
+        x, y = np.searchsorted(col, (low, low + 8192))
+        bits = np.zeros((m, 8192 if col[y - 1] - low > 1023 else 1024), bool)
+        bits[owner[x:y], col[x:y] - low] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        for k in range(0, len(a), 8192):
+            out[k:k + 8192] += np.bitwise_count(words[a[k:k + 8192]] & words[b[k:k + 8192]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _linked(percent: int):
+    """Per block, rows sorted by it: links (a, b) that connect what the links
+    between all its sets connect. Each set's most agreeing partner comes
+    first, then every possible pair that is still of two components."""
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "block"):
+            comp, n = _numbered(rows), rows["n_shingles"].to_numpy()
+            every = np.arange(len(n))
+            agree = _agreement(rows, every, comp, percent)
+            items = rows["items"].combine_chunks()
+            values, owner = items.flatten().to_numpy(), np.repeat(every, pc.list_value_length(items).to_numpy())
+            found: list[tuple[int, int]] = []
+            for first in (True, False):
+                if first:
+                    a, b = every, agree.argmax(1)
+                else:
+                    a, b = np.nonzero(np.triu(agree >= 0, 1))
+                ok = (agree[a, b] >= 0) & (comp[a] != comp[b])
+                a, b = a[ok], b[ok]
+                both = _shared(values, owner, len(n), a, b)
+                link = (both > 0) & (both * 100 >= (n[a] + n[b] - both) * percent)
+                for x, y in zip(a[link], b[link]):
+                    if comp[x] != comp[y]:
+                        found.append((x, y))
+                        comp[comp == comp[y]] = comp[x]
+            if found:
+                ids = rows["id"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array([x for x, _ in found])), ids.take(pa.array([y for _, y in found]))], ["a", "b"])
+
+    return links
+
+
+def _sharing(rows: DataFrame, salts: Column, asks: Column, percent: int, name: str) -> DataFrame:
+    """(block, path, id) of the sets with a possible partner, of rows (path,
+    comp, id, sizes and sketches) that go to the shares ``salts`` of a node."""
+    spark = rows.sparkSession
+    dealt = rows.select("path", F.explode(salts).alias("_salt"), asks.alias("_asks"), "comp", "id", "n_shingles", "s1", "s2")
+    return written(dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "_salt").sortWithinPartitions("path", "_salt")
+                   .mapInArrow(_due(percent), f"block long, path long, id {rows.schema['id'].dataType.simpleString()}"), name)
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -287,20 +344,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     rows = reps.withColumn("path", F.explode(F.array(*[F.xxhash64(F.lit(f"tree {k}")) for k in range(TREES)])))
     me = F.struct("id", "n_shingles", "s1", "s2")
 
-    def settle(pairs: DataFrame) -> None:
-        """Confirms pairs and merges what they link."""
+    def merge(linked: DataFrame) -> None:
         nonlocal labels
-        if tested:  # what was refuted is not asked again
-            before = tested[0]
-            for x in tested[1:]:
-                before = before.unionByName(x)
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        if pairs.limit(1).count() == 0:
-            return
-        tested.append(pairs)
-        linked = written(_confirmed(pairs, sets, percent), "near-links")
-        if linked.limit(1).count() == 0 and labels is not None:
+        if labels is not None and linked.limit(1).count() == 0:
             return
         found.append(linked)
         every = found[0]
@@ -309,58 +355,66 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
         labels = components(every)
         dropped(spark)
 
-    def across(members: DataFrame, others: DataFrame | None = None) -> DataFrame:
-        """Possible pairs of different components within one node; with
-        ``others``, those of a member and one of the others."""
-        x = members.select("path", "comp", me.alias("_x"))
-        y = (members if others is None else others).select(F.col("path").alias("_p"), F.col("comp").alias("_c"), me.alias("_y"))
-        once = F.col("_x.id") < F.col("_y.id") if others is None else F.lit(True)
-        return (x.join(y, (F.col("path") == F.col("_p")) & (F.col("comp") != F.col("_c")) & once & _close("_x", "_y", percent))
-                .select(F.least("_x.id", "_y.id").alias("a"), F.greatest("_x.id", "_y.id").alias("b")).distinct())
+    def settle(pairs: DataFrame) -> None:
+        """Confirms pairs and merges what they link."""
+        if tested:  # what was refuted is not asked again
+            before = tested[0]
+            for x in tested[1:]:
+                before = before.unionByName(x)
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = written(pairs, "near-pairs")
+        if pairs.limit(1).count() > 0:
+            tested.append(pairs)
+            merge(written(_confirmed(pairs, sets, percent), "near-links"))
 
     for level in range(1, LEVELS + 1):
         nodes = written(_children(rows, percent), "near-nodes")
         groups = (nodes.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.min(me).alias("pivot"))
                   .where("_n > 1").withColumnRenamed("path", "_path"))
         members = written(nodes.join(groups, F.col("path") == F.col("_path")).drop("_path").withColumn("_me", me), "near-members")
+        large = members.where(F.col("_n") > SMALL)
+        star = members.where((F.col("_n") > STAR) & _close("_me", "pivot", percent)).select("id", "_me", "pivot")
+        compared = members
         if sets is None:
-            # every set that a later level may compare: large nodes, and what is close to something in a small one
-            small = _labelled(members.where(F.col("_n") <= SMALL).drop("pivot", "_me"), labels)
-            due = (members.where(F.col("_n") > SMALL).select("id").unionByName(members.where(_close("_me", "pivot", percent)).select(F.col("pivot.id").alias("id")))
-                   .unionByName(members.where(_close("_me", "pivot", percent)).select("id"))
-                   .unionByName(_proposed(small, None, percent, "near-possible")[1]).distinct())
+            # small nodes go on with the sets that have a possible partner
+            possible = _sharing(_labelled(members.where(F.col("_n") <= SMALL), None), F.array(F.lit(0)), F.lit(True), percent, "near-possible")
+            asked = possible.select(F.col("path").alias("_p"), F.col("id").alias("_i")).distinct()
+            compared = members.join(asked, (F.col("path") == F.col("_p")) & (F.col("id") == F.col("_i")), "left_semi").unionByName(large)
+            # every set that this or a later level may compare
+            due = compared.select("id").unionByName(star.select("id")).unionByName(star.select(F.col("pivot.id").alias("id"))).distinct()
             due = written(due, "near-due").withColumnRenamed("id", "_id")
             texts = (docs.select(F.col("doc_id").alias("id"), text_of().alias("text"))
                      .join(due.hint("shuffle_hash"), F.col("id") == F.col("_id"), "left_semi"))
-            sets = full_sets(texts, n).repartition(parts, "id").checkpoint()
-        star = members.select("id", "_me", "pivot")
-        large = members.where(F.col("_n") > SMALL)
+            sets = full_sets(texts, n).dropDuplicates(["id"]).repartition(parts, "id").checkpoint()
         centres = _centres(large).withColumnRenamed("path", "_path")
-        star = star.unionByName(large.join(centres, F.col("path") == F.col("_path")).select("id", "_me", F.col("centre").alias("pivot")))
-        settle(star.where((F.col("id") != F.col("pivot.id")) & _close("_me", "pivot", percent))
-               .select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct())
-        split = _labelled(members.drop("pivot", "_me"), labels)
+        star = star.unionByName(large.join(centres, F.col("path") == F.col("_path")).where(_close("_me", "centre", percent))
+                                .select("id", "_me", F.col("centre").alias("pivot")))
+        settle(star.where(F.col("id") != F.col("pivot.id")).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct())
+        split = _labelled(compared.drop("pivot", "_me", "sig"), labels)
         mixed = split.groupBy("path").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select(F.col("path").alias("_path"))
-        split = written(split.join(mixed, F.col("path") == F.col("_path"), "left_semi"), "near-split")
+        split = split.join(mixed, F.col("path") == F.col("_path"), "left_semi")
         # of a large node, the sets outside its largest component
         share = split.where(F.col("_n") > SMALL).groupBy("path", "comp").agg(F.count(F.lit(1)).alias("_k"))
         most = share.groupBy("path").agg(F.max_by("comp", F.struct("_k", "comp")).alias("_main"), (F.sum("_k") - F.max("_k")).alias("_few"))
-        split = written(split.join(most.withColumnRenamed("path", "_path"), F.col("path") == F.col("_path"), "left").drop("_path"), "near-parts")
-        few = split.where((F.col("_n") > SMALL) & (F.col("_few") <= SMALL))
-        settle(_proposed(split.where(F.col("_n") <= SMALL), few, percent, "near-proposed")[0])
-        # what the proposals have not joined: all possible pairs that are left
-        again = _labelled(split.drop("comp"), labels)
-        few = again.where((F.col("_n") > SMALL) & (F.col("_few") <= SMALL))
-        outside = few.join(split.where(F.col("comp") != F.col("_main")).select(F.col("path").alias("_pp"), F.col("id").alias("_ii")),
-                           (F.col("path") == F.col("_pp")) & (F.col("id") == F.col("_ii")), "left_semi")
-        settle(across(again.where(F.col("_n") <= SMALL)).unionByName(across(few, outside)).distinct())
+        split = written(split.join(most.withColumnRenamed("path", "_path"), F.col("path") == F.col("_path"), "left").drop("_path"), "near-split")
+        shares, one = F.ceil(F.col("_n") / PER_TASK).cast("int"), F.array(F.lit(0))
+        mine = F.pmod(F.xxhash64("id"), shares).cast("int")
+        # the few go to each share of their node; at the last level every two shares meet
+        outside = F.coalesce(F.col("comp") != F.col("_main"), F.lit(True))
+        whole = F.coalesce(F.col("_few") > SMALL, F.lit(False))
+        met = F.transform(F.sequence(F.lit(0), shares - 1), lambda k: F.least(k, mine) * shares + F.greatest(k, mine))
+        salts = (F.when(F.col("_n") <= SMALL, one).when(whole, met).when(outside, F.sequence(F.lit(0), shares - 1)).otherwise(F.array(mine)))
+        now = split if level == LEVELS else split.where(~whole)
+        blocks = _sharing(now, salts, whole | outside, percent, "near-blocks").select("block", "id").distinct()
+        known = _labelled(reps.drop("sig"), labels)
+        known = known.join(sets.select(F.col("id").alias("_i"), "items"), F.col("id") == F.col("_i")).drop("_i")
+        merge(written(blocks.withColumnRenamed("id", "_b").join(known, F.col("_b") == F.col("id")).drop("_b")
+                      .repartition(parts, "block").sortWithinPartitions("block")
+                      .mapInArrow(_linked(percent), links.schema).distinct(), "near-links"))
         dropped(spark, *old)
         old = [nodes, members, split]
-        rest = split.where((F.col("_n") > SMALL) & (F.col("_few") > SMALL)).drop("_n", "comp", "_main", "_few")
-        if rest.limit(1).count() == 0:
-            break
-        if level == LEVELS:
-            settle(across(_labelled(rest, labels)))
+        rest = split.where(whole).drop("_n", "comp", "_main", "_few")
+        if level == LEVELS or rest.limit(1).count() == 0:
             break
         rows = rest.join(reps.select(F.col("id").alias("_i"), "sig"), F.col("id") == F.col("_i")).drop("_i")
     if labels is None:
