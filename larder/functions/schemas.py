@@ -46,3 +46,22 @@ PLAN_DOCUMENT = T.StructType([
     T.StructField("recommendations", T.StructType([T.StructField("shopping_list_summary", SHOPPING)])),
     T.StructField("metadata", T.MapType(S, S)),
     T.StructField("future_suggestions", T.ArrayType(SUGGESTION))])
+
+
+def only(schema: T.DataType, paths: list[str]) -> T.DataType:
+    """``schema`` with the fields on the dotted ``paths`` (each with all below
+    it); elements of arrays and values of maps have no name of their own. Text
+    that is parsed with it is read as a whole; fewer values are kept of it."""
+    if isinstance(schema, T.ArrayType):
+        return T.ArrayType(only(schema.elementType, paths), schema.containsNull)
+    if isinstance(schema, T.MapType):
+        return T.MapType(schema.keyType, only(schema.valueType, paths), schema.valueContainsNull)
+    below: dict[str, list[str]] = {}
+    for p in paths:
+        name, _, rest = p.partition(".")
+        below.setdefault(name, []).append(rest)
+    missing = set(below) - set(schema.names)
+    if missing:
+        raise KeyError(f"no field {sorted(missing)}")
+    return T.StructType([f if "" in below[f.name] else T.StructField(f.name, only(f.dataType, below[f.name]), f.nullable)
+                         for f in schema.fields if f.name in below])

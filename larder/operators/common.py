@@ -20,6 +20,28 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     return F.broadcast(df) if n <= max_rows else df
 
 
+def once(c: Column) -> Column:
+    """``c`` as a generated column, worked out once a row. Spark writes an
+    expression out anew wherever its column is used, also in filters that it
+    pushes down; it does not do so with what a generator returns. For costly
+    expressions such as the parse of a document; one in a ``select``."""
+    return F.explode(F.array(c))
+
+
+#: Rows of a task from which on a table is spread over more tasks.
+ROWS_OF_TASK = 250_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = ROWS_OF_TASK) -> DataFrame:
+    """``df`` hashed by ``keys`` into tasks of about ``rows`` rows, so that the
+    sorts and hash tables of what follows by these keys stay as small on large
+    tables. A table that fits into as few tasks as there are cores is left as
+    it is. Counts the rows (of a plain table: from its file footers)."""
+    spark = df.sparkSession
+    n = -(-df.count() // rows)
+    if n <= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def global_index(df: DataFrame, order_cols: list[str], n_parts: int | None = None,

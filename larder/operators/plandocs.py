@@ -14,29 +14,39 @@ from pyspark.sql import types as T
 
 from larder.functions import schemas as sc
 from larder.functions.mathfn import pyround
+from larder.operators.common import once
 
 REQUIRED_KEYS = ["user_summary", "meal_plan", "recommendations", "metadata"]
 MEAL_ORDER = ["breakfast", "lunch", "dinner", "snacks"]
 
 
-def parse_plan(docs: DataFrame, col: str = "document") -> DataFrame:
-    return docs.withColumn("doc", F.from_json(F.col(col), sc.PLAN_DOCUMENT, {"mode": "PERMISSIVE"}))
+def parse_plan(docs: DataFrame, col: str = "document", schema: T.StructType = sc.PLAN_DOCUMENT) -> DataFrame:
+    """The document as ``doc``, parsed once a row whatever is selected or
+    filtered after it; ``schema`` may name only the fields that are used
+    (``schemas.only``)."""
+    return docs.withColumn("doc", once(F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"})))
 
 
 def validate_plan(docs: DataFrame, col: str = "document") -> DataFrame:
-    """The four required keys and at least one day; with a reason."""
-    v = F.try_parse_json(F.col(col))
-
-    def has(path):
-        return F.try_variant_get(v, path, "variant").isNotNull()
-    days = F.try_variant_get(v, "$.meal_plan.days", "array<variant>")
-    reason = F.lit(None).cast("string")
-    for k in reversed(REQUIRED_KEYS):
-        reason = F.when(~has(f"$.{k}"), F.lit(f"missing {k}")).otherwise(reason)
-    reason = (F.when(v.isNull(), F.lit("not json")).otherwise(
-        F.coalesce(reason, F.when(days.isNull(), F.lit("missing days"))
-                   .when(F.size(days) < 1, F.lit("no days")))))
-    return docs.withColumn("is_valid", reason.isNull()).withColumn("reason", reason)
+    """The four required keys and at least one day; with a reason. A text
+    is parsed once; the checks read the parsed value. A value got as a variant
+    is copied, so the large one is only asked for where it has no days."""
+    def why(v):
+        # days as numbers: they are only counted (what is no number is a NULL)
+        days = F.try_variant_get(v, "$.meal_plan.days", "array<int>")
+
+        def has(key):
+            found = F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
+            return days.isNotNull() | found if key == "meal_plan" else found
+        reason = F.lit(None).cast("string")
+        for k in reversed(REQUIRED_KEYS):
+            reason = F.when(~has(k), F.lit(f"missing {k}")).otherwise(reason)
+        return (F.when(v.isNull(), F.lit("not json")).otherwise(
+            F.coalesce(reason, F.when(days.isNull(), F.lit("missing days"))
+                       .when(F.size(days) < 1, F.lit("no days")))))
+    rest = [c for c in docs.columns if c not in ("is_valid", "reason")]
+    checked = docs.select(*rest, F.explode(F.transform(F.array(F.try_parse_json(F.col(col))), why)).alias("reason"))
+    return checked.select(*rest, F.col("reason").isNull().alias("is_valid"), "reason")
 
 
 def fix_day_names(parsed: DataFrame, start_col: str = "start_date") -> DataFrame:
