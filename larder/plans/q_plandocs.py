@@ -9,90 +9,87 @@ from pyspark.sql import functions as F
 from larder.functions import schemas as sc
 from larder.functions.mathfn import pyround_sql
 from larder.operators import plandocs as pd_
+from larder.operators.common import spread
 from larder.plans.registry import register
 from larder.sources.tables import table
 
 
-def _meal(name, cal, prep=None, servings=None, size=None, difficulty=None):
-    nut = F.struct(cal.cast("double").alias("calories"), F.lit(None).cast("double").alias("protein_g"),
-                   F.lit(None).cast("double").alias("carbohydrates_g"), F.lit(None).cast("double").alias("fat_g"),
-                   F.lit(None).cast("double").alias("fiber_g"))
-    recipe = F.struct(*[F.lit(None).cast("array<string>").alias(n) for n in
-                        ("equipment_needed", "prep_steps", "cooking_instructions", "tips")],
-                      (difficulty if difficulty is not None else F.lit(None).cast("string")).alias("difficulty_level"))
-    none_i = F.lit(None).cast("int")
-    return F.struct(name.alias("meal_name"), F.lit(None).cast(sc.MEAL["ingredients_with_quantities"].dataType).alias("ingredients_with_quantities"),
-                    recipe.alias("recipe"), nut.alias("nutrition"),
-                    (prep if prep is not None else none_i).alias("preparation_time"), none_i.alias("cooking_time"),
-                    (servings if servings is not None else none_i).alias("servings"),
-                    (size if size is not None else F.lit(None).cast("string")).alias("serving_size"))
-
-
 def plan_documents(spark, d):
+    """One JSON document per order.
+
+    Only the plain columns of its lines are shuffled, sorted and collected; days,
+    items and suggestions are many times as large and are put together row by
+    row, right before they become text. Fields that are always null are left
+    out of the structs: their JSON has none of them either.
+    """
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem"), "l_orderkey")
     start = F.to_date("o_orderdate")
-    ln, pk, sk = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     lines = li.join(o, li.l_orderkey == o.o_orderkey)
-    day_name = F.when((ln <= 3) & (F.col("o_orderkey") % 4 == 0), F.lit("WrongName")) \
-        .otherwise(F.date_format(F.date_add(start, ln - 1), "EEEE"))
-    nut = F.struct((F.col("l_quantity") * 20 + ln).alias("calories"), F.col("l_quantity").alias("protein_g"),
-                   (ln * 10 + F.col("l_quantity")).alias("carbohydrates_g"),
-                   F.floor(F.col("l_discount") * 100).cast("double").alias("fat_g"), (F.col("l_quantity") / 10).alias("fiber_g"))
-    base = F.create_map(
-        F.lit("breakfast"), _meal(F.concat(F.lit("dish "), pk.cast("string")), F.col("l_quantity") * 5, ln.cast("int"),
-                                  F.lit(2), F.lit("1 bowl"), F.lit("easy")),
-        F.lit("lunch"), _meal(F.when(sk % 2 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("lunch "), sk.cast("string"))),
-                              F.col("l_quantity") * 7),
-        F.lit("dinner"), _meal(F.concat(F.lit("dinner "), pk.cast("string")), F.col("l_quantity") * 9, None, F.lit(3)))
-    snacks = F.create_map(F.lit("snacks"), _meal(F.concat(F.lit("snack "), ln.cast("string")), F.col("l_quantity")))
-    meals = F.when(ln == 3, base).otherwise(F.map_concat(base, snacks))
-    day = F.struct(ln.cast("int").alias("day"), day_name.alias("day_name"), nut.alias("total_nutrition"),
-                   F.struct(ln.cast("int").alias("items_used"), F.lit(1).alias("new_purchases_needed")).alias("inventory_impact"),
-                   meals.alias("meals"))
-    item = F.struct(F.concat(F.lit("part "), pk.cast("string")).alias("item"), F.col("l_quantity").cast("string").alias("quantity_to_purchase"),
-                    (F.col("l_quantity") + 1).cast("string").alias("total_quantity_needed"), F.lit("g").alias("unit"))
-    sugg = F.struct(F.concat(F.lit("part "), pk.cast("string")).alias("item"),
-                    F.when(F.col("l_returnflag") == "R", F.lit("low stock")).alias("reason"),
-                    F.when(F.col("l_linestatus") != "O", F.lit("Produce")).alias("category"),
-                    F.col("l_quantity").alias("suggested_quantity"), F.when(ln % 2 == 1, F.lit("kg")).alias("unit"))
-    key = F.struct(ln.alias("a"), pk.alias("b"), sk.alias("c"))
-
-    def ordered(arr):
-        # sort by the key only: the values hold maps, which have no ordering
-        return F.transform(F.array_sort(arr, lambda l, r: F.when(l["k"] < r["k"], -1)
-                                        .when(l["k"] > r["k"], 1).otherwise(0)), lambda x: x["v"])
-
-    def by_flag(flag):
-        return ordered(F.collect_list(F.when(F.col("l_returnflag") == flag, F.struct(key.alias("k"), item.alias("v")))))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", start.alias("start"))
     g = lines.groupBy("l_orderkey").agg(
-        ordered(F.collect_list(F.struct(key.alias("k"), day.alias("v")))).alias("days"),
-        ordered(F.collect_list(F.struct(key.alias("k"), sugg.alias("v")))).alias("sugg"),
-        by_flag("R").alias("proteins"), by_flag("N").alias("produce"), by_flag("A").alias("pantry_items"),
-        F.round(F.sum("l_extendedprice"), 2).alias("cost"),
+        F.sort_array(F.collect_list(line)).alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("cost"),
         F.count(F.when(F.col("l_linestatus") == "O", 1)).cast("int").alias("from_inv"),
         F.count(F.lit(1)).cast("int").alias("n_items"))
     j = o.join(g, o.o_orderkey == g.l_orderkey, "left")
-    empty = lambda t: F.array().cast(t)
-    shop = F.when(F.col("o_orderkey") % 7 == 0, F.lit(None).cast(sc.SHOPPING)).otherwise(F.struct(
-        *[(F.coalesce(F.col(k), empty(sc.SHOPPING[k].dataType)) if k in ("proteins", "produce", "pantry_items")
-           else F.lit(None).cast(sc.SHOPPING[k].dataType)).alias(k) for k in sc.SHOPPING_KEYS],
-        F.coalesce(F.col("cost"), F.lit(0.0)).alias("total_estimated_cost"),
-        F.coalesce(F.col("from_inv"), F.lit(0)).alias("total_items_from_inventory"),
-        F.coalesce(F.col("n_items"), F.lit(0)).alias("total_items_to_purchase")))
-    doc = F.struct(
-        F.create_map(F.lit("user_id"), F.col("o_custkey").cast("string")).alias("user_summary"),
-        F.struct(F.struct(F.coalesce(F.col("sugg"), empty(sc.T.ArrayType(sc.SUGGESTION))).alias("future_suggestions")).alias("week_summary"),
-                 F.coalesce(F.col("days"), empty(sc.T.ArrayType(sc.DAY))).alias("days")).alias("meal_plan"),
-        F.struct(shop.alias("shopping_list_summary")).alias("recommendations"),
-        F.when(F.col("o_orderkey") % 5 != 0, F.create_map(F.lit("source"), F.lit("generator"))).alias("metadata"),
-        F.col("sugg").alias("future_suggestions"))
-    return j.select(F.col("o_orderkey").alias("plan_id"), F.col("o_custkey").alias("user_id"),
-                    start.alias("start_date"), F.to_json(doc).alias("document"))
-
-
-def parsed(spark, d):
-    return pd_.parse_plan(plan_documents(spark, d))
+    easy, plain = (F.struct(F.lit(x).cast("string").alias("difficulty_level")) for x in ("easy", None))
+
+    def meal(name, recipe, cal, **more):
+        return F.struct(name.alias("meal_name"), recipe.alias("recipe"), F.struct(cal.cast("double").alias("calories")).alias("nutrition"),
+                        *[c.alias(k) for k, c in more.items()])
+
+    def day(x):
+        ln, pk, sk, qty = x["l_linenumber"], x["l_partkey"], x["l_suppkey"], x["l_quantity"]
+        day_name = F.when((ln <= 3) & (F.col("o_orderkey") % 4 == 0), F.lit("WrongName")) \
+            .otherwise(F.date_format(F.date_add(x["start"], ln - 1), "EEEE"))
+        nut = F.struct((qty * 20 + ln).alias("calories"), qty.alias("protein_g"), (ln * 10 + qty).alias("carbohydrates_g"),
+                       F.floor(x["l_discount"] * 100).cast("double").alias("fat_g"), (qty / 10).alias("fiber_g"))
+        meals = F.struct(
+            meal(F.concat(F.lit("dish "), pk.cast("string")), easy, qty * 5, preparation_time=ln.cast("int"),
+                 servings=F.lit(2), serving_size=F.lit("1 bowl")).alias("breakfast"),
+            meal(F.when(sk % 2 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("lunch "), sk.cast("string"))), plain, qty * 7).alias("lunch"),
+            meal(F.concat(F.lit("dinner "), pk.cast("string")), plain, qty * 9, servings=F.lit(3)).alias("dinner"),
+            F.when(ln == 3, F.lit(None)).otherwise(meal(F.concat(F.lit("snack "), ln.cast("string")), plain, qty)).alias("snacks"))
+        return F.struct(ln.cast("int").alias("day"), day_name.alias("day_name"), nut.alias("total_nutrition"),
+                        F.struct(ln.cast("int").alias("items_used"), F.lit(1).alias("new_purchases_needed")).alias("inventory_impact"),
+                        meals.alias("meals"))
+
+    def item(x):
+        return F.struct(F.concat(F.lit("part "), x["l_partkey"].cast("string")).alias("item"), x["l_quantity"].cast("string").alias("quantity_to_purchase"),
+                        (x["l_quantity"] + 1).cast("string").alias("total_quantity_needed"), F.lit("g").alias("unit"))
+
+    def suggestion(x):
+        return F.struct(F.concat(F.lit("part "), x["l_partkey"].cast("string")).alias("item"),
+                        F.when(x["l_returnflag"] == "R", F.lit("low stock")).alias("reason"),
+                        F.when(x["l_linestatus"] != "O", F.lit("Produce")).alias("category"),
+                        x["l_quantity"].alias("suggested_quantity"), F.when(x["l_linenumber"] % 2 == 1, F.lit("kg")).alias("unit"))
+
+    def of_lines(make, flag=None):
+        some = F.col("lines") if flag is None else F.filter("lines", lambda x: x["l_returnflag"] == flag)
+        return F.transform(some, make)
+
+    def or_none(c):
+        return F.coalesce(c, F.array())
+
+    def document(sugg):
+        shop = F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.struct(
+            *[or_none(of_lines(item, flag)).alias(k) for k, flag in (("proteins", "R"), ("produce", "N"), ("pantry_items", "A"))],
+            F.coalesce(F.col("cost"), F.lit(0.0)).alias("total_estimated_cost"),
+            F.coalesce(F.col("from_inv"), F.lit(0)).alias("total_items_from_inventory"),
+            F.coalesce(F.col("n_items"), F.lit(0)).alias("total_items_to_purchase")))
+        return F.to_json(F.struct(
+            F.create_map(F.lit("user_id"), F.col("o_custkey").cast("string")).alias("user_summary"),
+            F.struct(F.struct(or_none(sugg).alias("future_suggestions")).alias("week_summary"), or_none(of_lines(day)).alias("days")).alias("meal_plan"),
+            F.struct(shop.alias("shopping_list_summary")).alias("recommendations"),
+            F.when(F.col("o_orderkey") % 5 != 0, F.create_map(F.lit("source"), F.lit("generator"))).alias("metadata"),
+            sugg.alias("future_suggestions")))
+    return j.select(F.col("o_orderkey").alias("plan_id"), F.col("o_custkey").alias("user_id"), start.alias("start_date"),
+                    F.explode(F.transform(F.array(of_lines(suggestion)), document)).alias("document"))
+
+
+def parsed(spark, d, *fields):
+    """The documents, of which ``fields`` are kept (all, if none is named)."""
+    return pd_.parse_plan(plan_documents(spark, d), schema=sc.only(sc.PLAN_DOCUMENT, fields) if fields else sc.PLAN_DOCUMENT)
 
 
 LINES = "SELECT l.*, o.o_custkey, CAST(o.o_orderdate AS DATE) AS start_date FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey"
@@ -107,7 +104,9 @@ MEAL_COLS = ["plan_id", "day_number", "meal_date", "meal_type", "meal_name", "pr
 
 @register("flatten_plan", MEALS_SQL)
 def q_flatten_plan(spark, d):
-    t = pd_.flatten_plan(parsed(spark, d), ["plan_id"])
+    meal = ("meal_name", "preparation_time", "cooking_time", "servings", "serving_size", "recipe.difficulty_level", "nutrition.calories")
+    t = pd_.flatten_plan(parsed(spark, d, "meal_plan.days.day", "meal_plan.days.day_name", "meal_plan.days.total_nutrition", *[f"meal_plan.days.meals.{m}" for m in meal],
+                                "meal_plan.week_summary", "recommendations.shopping_list_summary"), ["plan_id"])
     return t["meal_details"].select(*MEAL_COLS)
 
 
@@ -122,7 +121,7 @@ def q_validate_plan(spark, d):
   SELECT l_orderkey AS plan_id, start_date, CASE WHEN l_linenumber <= 3 AND l_orderkey % 4 = 0 THEN 'WrongName' ELSE strftime(start_date + (l_linenumber - 1), '%A') END AS old_day_name,
     ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM ({LINES}))""")
 def q_fix_day_names(spark, d):
-    f = pd_.fix_day_names(parsed(spark, d))
+    f = pd_.fix_day_names(parsed(spark, d, "meal_plan.days.day_name"))
     return f.select("plan_id", F.col("pos").cast("int").alias("pos"), F.col("d.day_name").alias("old_day_name"),
                     F.col("fixed_day").cast("int").alias("fixed_day"), "fixed_day_name")
 
@@ -131,7 +130,7 @@ def q_fix_day_names(spark, d):
   CASE WHEN l_returnflag = 'R' THEN 'low stock' ELSE '' END AS reason, CASE WHEN l_linestatus != 'O' THEN 'Produce' ELSE 'General' END AS category,
   l_quantity AS suggested_quantity, CASE WHEN l_linenumber % 2 = 1 THEN 'kg' ELSE 'unit' END AS unit FROM ({LINES})""")
 def q_plan_suggestions(spark, d):
-    return pd_.plan_suggestions(parsed(spark, d), ["plan_id"]).drop("pos")
+    return pd_.plan_suggestions(parsed(spark, d, "future_suggestions"), ["plan_id"]).drop("pos")
 
 
 @register("shopping_list_items", f"""SELECT l_orderkey AS plan_id, CASE l_returnflag WHEN 'R' THEN 'proteins' WHEN 'N' THEN 'produce' ELSE 'pantry_items' END AS category,
@@ -141,7 +140,7 @@ def q_shopping_list_items(spark, d):
 
 
 def shopping_items(spark, d):
-    return pd_.shopping_list_items(parsed(spark, d), ["plan_id"]).drop("pos")
+    return pd_.shopping_list_items(parsed(spark, d, "recommendations.shopping_list_summary"), ["plan_id"]).drop("pos")
 
 
 @register("week_summary", f"""SELECT plan_id, CAST(trunc(list_reduce(cal, lambda a, b: a + b) / n) AS INTEGER) AS average_daily_calories,
@@ -153,14 +152,15 @@ def shopping_items(spark, d):
     list(CAST(floor(l_discount * 100) AS DOUBLE) ORDER BY l_linenumber, l_partkey, l_suppkey) AS fat,
     list(l_quantity / 10 ORDER BY l_linenumber, l_partkey, l_suppkey) AS fib FROM ({LINES}) GROUP BY l_orderkey)""")
 def q_week_summary(spark, d):
-    return pd_.week_summary(parsed(spark, d), ["plan_id"])
+    return pd_.week_summary(parsed(spark, d, "meal_plan.days.total_nutrition"), ["plan_id"])
 
 
 @register("inventory_utilization", f"""SELECT l_orderkey AS plan_id, CASE WHEN COUNT(*) > 0 THEN {pyround_sql('least(COUNT(CASE WHEN l_linestatus = ' + "'O'" + ' THEN 1 END) * 3 * 100.0 / COUNT(*), 100.0)', 1)} ELSE 0.0 END AS utilization_rate
 FROM lineitem WHERE l_orderkey % 7 != 0 GROUP BY l_orderkey""")
 def q_inventory_utilization(spark, d):
     shop = F.col("doc.recommendations.shopping_list_summary")
-    p = parsed(spark, d).where(shop.isNotNull() & (shop["total_items_to_purchase"] > 0))
+    totals = ("total_items_from_inventory", "total_items_to_purchase")
+    p = parsed(spark, d, *[f"recommendations.shopping_list_summary.{t}" for t in totals]).where(shop.isNotNull() & (shop["total_items_to_purchase"] > 0))
     return p.select("plan_id", pd_.inventory_utilization(shop["total_items_from_inventory"] * 3,
                                                          shop["total_items_to_purchase"]).alias("utilization_rate"))
 
@@ -227,7 +227,7 @@ def q_merge_meal_misses(spark, d):
 @register("replace_suggestions", """SELECT o_orderkey AS plan_id, CAST(1 AS BIGINT) AS n_suggestions, 'oats for ' || CAST(o_custkey AS VARCHAR) AS item
 FROM orders WHERE o_orderkey % 3 = 0""")
 def q_replace_suggestions(spark, d):
-    plans = parsed(spark, d)
+    plans = parsed(spark, d, "meal_plan.week_summary")
     item = F.struct(F.concat(F.lit("oats for "), F.col("user_id").cast("string")).alias("item"), F.lit("liked").alias("reason"), F.lit("Grains").alias("category"),
                     F.lit(2.0).alias("suggested_quantity"), F.lit("kg").alias("unit"))
     new = plan_documents(spark, d).where("plan_id % 3 = 0").select("plan_id", F.array(item).alias("items"))
