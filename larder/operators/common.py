@@ -29,7 +29,7 @@ def once(c: Column) -> Column:
 
 
 #: Rows of a task from which on a table is spread over more tasks.
-ROWS_OF_TASK = 250_000
+ROWS_OF_TASK = 100_000
 
 
 def spread(df: DataFrame, *keys: str, rows: int = ROWS_OF_TASK) -> DataFrame:
