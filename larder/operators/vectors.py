@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from larder.functions import blockscore
 from larder.functions import vector as vf
 from larder.functions.blockscore import BlockTopK
 from larder.operators.common import global_index, running_totals
 
-QUERY_BLOCK = 4096          # queries that a task scores its vectors with at a time
+QUERY_BLOCK = 4096          # queries (or vectors) that a task holds at a time
+PART_ROWS = 262_144         # vectors that stream past a block in one task, about
 
 
 def centroids(vectors: DataFrame, key_cols: list[str], vec_col: str = "embedding") -> DataFrame:
@@ -55,10 +57,12 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
     Vectors are scored in Arrow batches, a matrix product for a batch and a
     block of queries, and a task holds the k best rows of each query of its
     block. Up to ``block`` queries are one block that is sent to all tasks;
-    vectors do not move. More queries are a table of blocks: every part of
-    the vectors meets every block in an exchange keyed by both, whose task
-    reads the block first and then streams the vectors. Either way the plan
-    has the same size however many queries there are.
+    vectors do not move. Of more queries and up to ``block`` vectors, the
+    vectors are sent and the queries stay where they are. Otherwise queries
+    are a table of blocks: every part of the vectors meets every block in an
+    exchange keyed by both, whose task reads the block first and then streams
+    the vectors. Either way the plan has the same size however many queries
+    there are.
     Output: qid, rank, id, similarity, plus the vector's other columns; NULL
     similarities (a zero or NULL vector, unequal lengths) rank last.
     """
@@ -66,7 +70,11 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
     v = vectors.select(F.struct(*keep).alias("row"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     q = queries.select(F.col(qid_col).alias("qid"), "qvec")
     some = q.limit(block + 1).toArrow()  # block + 1 rows at most
-    best = _scored_by_one(v, q, some, k) if some.num_rows <= block else _scored_by_blocks(v, q, k, block)
+    if some.num_rows <= block:
+        best = _scored_by_one(v, q, some, k)
+    else:
+        few = v.limit(block + 1).toArrow()  # likewise
+        best = _scored_in_place(v, q, few, k) if few.num_rows <= block else _scored_by_blocks(v, q, k, block)
     w = Window.partitionBy("qid").orderBy(F.col("similarity").desc_nulls_last(), F.col("id").asc())
     ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("row.*", "qid", "similarity", "rank")
@@ -89,11 +97,39 @@ def _scored_by_one(v: DataFrame, q: DataFrame, block: pa.Table, k: int) -> DataF
     return v.mapInArrow(score, _result_type(v, q))
 
 
+def _scored_in_place(v: DataFrame, q: DataFrame, vectors: pa.Table, k: int) -> DataFrame:
+    shared = v.sparkSession.sparkContext.broadcast(vectors.combine_chunks())  # QUERY_BLOCK rows at most
+
+    def score(batches):
+        # small pieces of both sides: many ties make a piece's whole product candidates
+        pieces = [p for b in shared.value.to_batches() for p in _pieces(b, blockscore.ROWS)]
+        for batch in batches:
+            for asking in _pieces(batch, blockscore.QUERIES):
+                best = BlockTopK(asking.column("qid"), asking.column("qvec"), k)
+                for piece in pieces:
+                    best.add(piece)
+                yield from best.results()
+
+    return q.mapInArrow(score, _result_type(v, q))
+
+
+def _pieces(batch: pa.RecordBatch, rows: int) -> list[pa.RecordBatch]:
+    return [batch.slice(a, rows) for a in range(0, batch.num_rows, rows)]
+
+
+def _parts(n_vectors: int, n_blocks: int, tasks: int) -> int:
+    """Parts of the vectors: every query goes to each, so as few as give
+    ``tasks`` pairs of part and block, and ``PART_ROWS`` rows a part."""
+    return max(1, -(-tasks // n_blocks), -(-n_vectors // PART_ROWS))
+
+
 def _scored_by_blocks(v: DataFrame, q: DataFrame, k: int, block: int) -> DataFrame:
     spark = v.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     q = global_index(q, ["qid"], name="_at").withColumn("block", F.floor((F.col("_at") - 1) / block))
     n_blocks = q.agg(F.max("block")).collect()[0][0] + 1
+    v = v.checkpoint()  # counted, then read once
+    parts = _parts(v.count(), n_blocks, tasks)
     row, vec = (v.schema[c].dataType for c in ("row", "vec"))
     # queries go to every part, vectors to every block; the queries of a pair come first
     asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "block", F.lit(0).alias("kind"), "qid", "qvec",
@@ -101,7 +137,7 @@ def _scored_by_blocks(v: DataFrame, q: DataFrame, k: int, block: int) -> DataFra
     given = v.select(F.pmod(F.xxhash64("id", "vec"), F.lit(parts)).cast("int").alias("part"),
                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"),
                      F.lit(None).cast(q.schema["qid"].dataType).alias("qid"), F.lit(None).cast(q.schema["qvec"].dataType).alias("qvec"), "row", "id", "vec")
-    both = asked.unionByName(given).repartition(parts * 4, "part", "block").sortWithinPartitions("part", "block", "kind")
+    both = asked.unionByName(given).repartition(max(tasks * 4, parts * n_blocks), "part", "block").sortWithinPartitions("part", "block", "kind")
 
     def score(batches):
         now, asking, best = None, [], None
@@ -323,10 +359,10 @@ def context_retention(turns: DataFrame, foods: DataFrame, k: int = 3, dim: int =
     def vec(name):
         return F.array(*[F.col(c).cast("double") for c in cols]).alias(name)
     counted = token_counts(turns, "content", ["thread_id", "turn"], dim)
-    asked = running_totals(counted, ["thread_id"], ["turn"], cols).select(F.struct("thread_id", "turn").alias("qid"), vec("qvec"))
+    asked = running_totals(counted, ["thread_id"], ["turn"], cols).select(F.struct("thread_id", "turn").alias("qid"), vec("qvec")).checkpoint()  # sized up, then scored
     known = token_counts(foods, "embedding_text", ["fdc_id", "food_name"], dim).select("fdc_id", "food_name", vec("embedding"))
     top = vector_topk_batch(known, asked, k)
-    names = top.select("qid.thread_id", "qid.turn", "food_name").distinct()
+    names = top.select("qid.thread_id", "qid.turn", "food_name").distinct().checkpoint()  # read twice, scored once
     first = names.groupBy("thread_id", "food_name").agg(F.min("turn").alias("first_turn"))
     start = turns.groupBy("thread_id").agg(F.min("turn").alias("t0"))
     j = names.join(first, ["thread_id", "food_name"]).join(start, "thread_id").where(F.col("turn") > F.col("t0"))

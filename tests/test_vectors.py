@@ -164,6 +164,33 @@ def test_topk_batch_edge_cases(spark):
     assert vx.vector_topk_batch(v, q.limit(0), 2).count() == 0
 
 
+def test_topk_batch_many_queries_few_vectors(spark, monkeypatch):
+    """Queries stay where they are: none is copied to every part, and what the
+    two other ways give comes out, ties of more than a piece included."""
+    from larder.functions import blockscore
+    monkeypatch.setattr(blockscore, "ROWS", 4)
+    monkeypatch.setattr(blockscore, "QUERIES", 16)
+    rng = np.random.default_rng(3)
+    rows = [(i, f"f{i}", None if i == 5 else [0.0, 0.0] if i == 6 else [1.0, 1.0] if i > 12 else rng.integers(-2, 3, 2).astype(float).tolist()) for i in range(24)]
+    v = spark.createDataFrame(rows, "fdc_id long, food_name string, embedding array<double>").repartition(3)
+    asked = [(i, None if i == 7 else rng.integers(-2, 3, 2).astype(float).tolist()) for i in range(60)] + [(3, [1.0, 0.5]), (None, [0.0, 1.0])]
+    q = spark.createDataFrame(asked, "qid long, qvec array<double>").repartition(3)
+
+    def got(df):
+        return sorted(((r.qid, r.rank, r.fdc_id, r.food_name, None if r.similarity is None else round(r.similarity, 9)) for r in df.collect()), key=str)
+    few = vx.vector_topk_batch(v, q, 3, block=30)
+    assert "Generate" not in few._jdf.queryExecution().toString()
+    assert got(few) == got(vx.vector_topk_batch(v, q, 3, block=100)) == got(vx.vector_topk_batch(v, q, 3, block=8))
+    assert len(got(few)) == 3 * 61
+    assert vx.vector_topk_batch(v.limit(0), q, 3, block=30).count() == 0
+
+
+def test_parts_go_by_the_vectors():
+    """Every query is copied to each part: more blocks of queries than tasks leave one part."""
+    assert [vx._parts(1000, b, 600) for b in (1, 2, 250, 700)] == [600, 300, 3, 1]
+    assert vx._parts(10 * vx.PART_ROWS, 700, 600) == 10
+
+
 def test_topk_batch_many_ties_in_one_batch(spark, monkeypatch):
     """More equal vectors than a chunk holds: the smallest ids win."""
     from larder.functions import blockscore
@@ -229,3 +256,22 @@ def test_context_retention_brute_force(spark):
     assert set(got) == set(exp) == {1, 2}
     for t, x in exp.items():
         assert abs(got[t][0] - np.mean(x)) < 1e-9 and abs(got[t][1] - (1 - np.std(x))) < 1e-9
+
+
+def test_context_retention_scores_once(spark, monkeypatch):
+    """The retrieved rows are read twice, but scored once."""
+    m = spark.createDataFrame([(t, i, w) for t in range(3) for i, w in enumerate(("oats", "milk", "oats rice"))], "thread_id long, turn long, content string")
+    f = spark.createDataFrame([(i, f"f{i}", w) for i, w in enumerate(("oats", "milk", "rice"))], "fdc_id long, food_name string, embedding_text string")
+    seen, topk = spark.sparkContext.accumulator(0), vx.vector_topk_batch
+
+    def counting(v, q, k):
+        top = topk(v, q, k)
+
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+        return top.mapInArrow(count, top.schema)
+    monkeypatch.setattr(vx, "vector_topk_batch", counting)
+    assert vx.context_retention(m, f, dim=16).count() == 3
+    assert seen.value == 9 * 3
